@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import similar
+from bidweave.llm import leaks, pieces, plain, similar
 from bidweave.sources.tables import table
 
 
@@ -22,5 +22,65 @@ def p1_groups(spark: SparkSession, directory: str) -> DataFrame:
         F.col("key").alias("seq"), F.col("rid").alias("class_seq"), F.coalesce("root", "key").alias("group_seq"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
-SQL: dict[str, str] = {}
+
+def _pages_and_chunks(spark: SparkSession, directory: str) -> DataFrame:
+    pages = table(spark, directory, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
+    chunks = table(spark, directory, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "text")
+    return pages.unionByName(chunks)
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    ranges = pieces.cell_ranges(_pages_and_chunks(spark, directory))
+    cut = pieces.piece_offsets(ranges)
+    return cut.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces themselves."""
+    cut = pieces.split_texts(_pages_and_chunks(spark, directory))
+    return cut.withColumnsRenamed({"kind": "record_kind", "id": "record_id"})
+
+
+def _quotes_and_pages(spark: SparkSession, directory: str) -> DataFrame:
+    quotes = table(spark, directory, "items").select(F.lit("item").alias("kind"), F.col("seq").alias("id"), F.col("quote").alias("text"))
+    pages = table(spark, directory, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
+    return quotes.unionByName(pages)
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    forms = plain.to_plain(_quotes_and_pages(spark, directory))
+    return forms.where("plain <> text AND id IS NOT NULL").select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id")).distinct()
+
+
+def p5_plain(spark: SparkSession, directory: str) -> DataFrame:
+    """Both fields in their plain form, one row for each record."""
+    forms = plain.to_plain(_quotes_and_pages(spark, directory))
+    return forms.dropDuplicates(["kind", "id"]).select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "plain", (F.col("plain") != F.col("text")).alias("changed"))
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    found = leaks.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+    return found.where(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id").distinct()
+
+
+def p6_leaked_items(spark: SparkSession, directory: str) -> DataFrame:
+    """The items given away: by how many documents, wholly (within the error budget) or in part."""
+    found = leaks.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+    whole = F.col("edit_distance") <= F.col("error_budget")
+    return found.where((F.col("longest_run") >= leaks.RUN) | whole).groupBy("item_id").agg(
+        F.count("*").alias("documents"), F.count_if(whole).alias("whole"), F.max("longest_run").alias("longest_run"), F.min("edit_distance").alias("least_distance"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_groups": p1_groups,
+    "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p5_found": p5_found, "p5_plain": p5_plain,
+    "p6_found": p6_found, "p6_leaked_items": p6_leaked_items,
+}
+
+_ENDS = "regexp_replace(regexp_replace(text, '^[\\s\\x1c-\\x1f\\x0b\\x{85}\\p{Z}]+', ''), '[\\s\\x1c-\\x1f\\x0b\\x{85}\\p{Z}]+$', '')"
+SQL: dict[str, str] = {
+    "p4_found": f"""
+        SELECT DISTINCT 'page' AS record_kind, page_id AS record_id FROM pages WHERE length(text) > 9000 AND length({_ENDS}) > 9000
+        UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE length(text) > 9000 AND length({_ENDS}) > 9000""",
+}
