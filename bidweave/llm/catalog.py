@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import leaks, pieces, plain, similar
+from bidweave.llm import leaks, pieces, plain, residue, similar
 from bidweave.sources.tables import table
 
 
@@ -71,11 +71,27 @@ def p6_leaked_items(spark: SparkSession, directory: str) -> DataFrame:
         F.count("*").alias("documents"), F.count_if(whole).alias("whole"), F.max("longest_run").alias("longest_run"), F.min("edit_distance").alias("least_distance"))
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return residue.residue(table(spark, directory, "documents")).select("doc_id")
+
+
+def p8_reasons(spark: SparkSession, directory: str) -> DataFrame:
+    """What was found in each document, and in how many of its sentences."""
+    return residue.residue(table(spark, directory, "documents"))
+
+
+def p8_clean(spark: SparkSession, directory: str) -> DataFrame:
+    """The corpus without the documents found."""
+    docs = table(spark, directory, "documents")
+    return residue.without_residue(docs, residue.residue(docs))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_plain": p5_plain,
     "p6_found": p6_found, "p6_leaked_items": p6_leaked_items,
+    "p8_found": p8_found, "p8_reasons": p8_reasons, "p8_clean": p8_clean,
 }
 
 _ENDS = "regexp_replace(regexp_replace(text, '^[\\s\\x1c-\\x1f\\x0b\\x{85}\\p{Z}]+', ''), '[\\s\\x1c-\\x1f\\x0b\\x{85}\\p{Z}]+$', '')"
