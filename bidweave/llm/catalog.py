@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import leaks, pieces, plain, residue, similar
+from bidweave.llm import leaks, pieces, plain, residue, similar, truncated
 from bidweave.sources.tables import table
 
 
@@ -23,6 +23,17 @@ def p1_groups(spark: SparkSession, directory: str) -> DataFrame:
 
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    cut, _ = truncated.truncated(table(spark, directory, "items"), "seq", "model", ["statement", "quote"])
+    return cut.select(F.col("key").alias("seq"), F.col("field").alias("field_name"))
+
+
+def p2_rates(spark: SparkSession, directory: str) -> DataFrame:
+    """How often each model's values and items were cut."""
+    cut, values = truncated.truncated(table(spark, directory, "items"), "seq", "model", ["statement", "quote"])
+    return truncated.rates(cut, values).withColumnRenamed("source", "model")
+
+
 def _pages_and_chunks(spark: SparkSession, directory: str) -> DataFrame:
     pages = table(spark, directory, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
     chunks = table(spark, directory, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "text")
@@ -88,6 +99,7 @@ def p8_clean(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
+    "p2_found": p2_found, "p2_rates": p2_rates,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_plain": p5_plain,
     "p6_found": p6_found, "p6_leaked_items": p6_leaked_items,

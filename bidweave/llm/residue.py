@@ -15,7 +15,13 @@ combined before the shuffle, so a message that a third of all documents carry is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+){0,4}"
@@ -34,7 +40,7 @@ FILLER = rf"(?i)\b(?:{_LOREM})(?:\W+(?:{_LOREM})\b){{3,}}" + "|" + "|".join([
     r"(?i)\bcoming soon\b\W*$", r"(?i)\bto be (?:written|supplied|filled in) later\b",
 ])
 _SCRIPT = r"(?:java ?script|scripts?|scripting|active content|cookies)"
-NOTICE = "(?iu)" + "|".join([
+NOTICE = "(?i)" + "|".join([
     rf"\b(?:enable|enabling|activate|switch on|turn on|allow|permit|accept|needs?|requires?|without|only works with)\b.{{0,30}}\b{_SCRIPT}\b",
     rf"\b{_SCRIPT}\b.{{0,30}}\b(?:is|are|appears?(?: to be)?|must be|needs? to be|seems?)\b.{{0,20}}\b(?:blocked|disabled|off|required|enabled|needed|turned off|switched off)\b",
     r"\b(?:update|upgrade|change) (?:the|your) browser\b", r"\byour browser\b.{0,40}\b(?:out of date|outdated|old|not supported|unsupported|cannot|can't|does not|doesn't)\b", r"\bbrowser (?:is )?(?:not|no longer) supported\b",
@@ -44,7 +50,7 @@ NOTICE = "(?iu)" + "|".join([
     r"\b(?:javascript|cookies|skripte?)\b.{0,30}\b(?:aktivier|akzeptier|einschalt|erlaub|zulass|anschalt)", r"\b(?:aktivieren|akzeptieren|erlauben) sie\b.{0,30}\b(?:javascript|cookies|skripte?)\b", r"\bbrowser\b.{0,20}(?:nicht unterst|veraltet)",
 ])
 _THING = r"(?:page|site|website|portal|service|listing|tender|bid|notice|document|record|file|attachment|solicitation|amendment|folder|view|application|app|request|resource|content|link|url|item|board|viewer)"
-ERROR = "(?iu)" + "|".join([
+ERROR = "(?i)" + "|".join([
     rf"\b(?:the|this|that|requested)\b.{{0,30}}\b{_THING}\b.{{0,12}}\b(?:has expired|failed to (?:load|open)|timed out|was blocked|returned an empty response|(?:is|was) no longer (?:hosted|available|here|online)|(?:could|can) ?not be (?:opened|located|found|displayed|shown|reached|loaded|retrieved)|can't be (?:found|shown|displayed|reached|opened)|(?:is|was) (?:currently |temporarily )?(?:not available|not found|unavailable|offline|down)|has (?:been )?(?:moved|removed)|does(?: not|n't) exist|is down for)\b",
     r"\bpage (?:was )?not found\b", r"\bhttp(?: error)? [45]\d\d\b", r"^\W*(?:error|status|code)?\W*[45]\d\d\W*(?:$|:|[-–—])", r"\berror (?:code )?[45]\d\d\b", r"\bfatal error\b|\bunhandled exception\b|\bstack ?trace\b|\bnull reference\b|\bnullpointer|\btraceback \(|\b\w+(?:error|exception)\b at \w|\bsegmentation fault\b|\btimeout after \d",
     r"\bgateway\b.{0,20}\b(?:no valid answer|timed? ?out|timeout|error)\b", r"\bupstream server\b", r"\b(?:your )?session (?:has )?(?:timed out|expired|ended)\b", r"\btoo many requests\b|\bslow down and try\b|\brate limit exceeded\b", r"\b(?:hit a snag|something went wrong)\b",
@@ -56,60 +62,115 @@ ERROR = "(?iu)" + "|".join([
     r"\berror\s*\d{3}\b",
 ])
 #: Sentences that speak of such things as part of the work.
-WORK = "(?iu)" + "|".join([
+WORK = "(?i)" + "|".join([
     r"\b(?:shall|contractor|vendors?|bidders?|offerors?|firms|crews)\b", r"\b(?:must|will) (?:be|answer|log|list|test|show|name|support|return|report|handle|include|stay)\b", r"\b(?:stay|remain)s? readable\b", r"\b(?:described|listed|named|defined) in the\b", r"\bpolicy\b(?! rule)", r"\btrigger a review\b",
     r"\bmessages? (?:of|is|are)\b", r"\bmerge fields\b|\bfields such as\b|\bcompleted by the\b|\bto be completed by\b", r"\bwas struck\b", r"\bin column <", r"\bmock-?ups?\b",
     r"\bdebe(?:rá|rán|n)\b.{0,60}\b(?:mostrar|probar|incluir|registrar)|\bdevra\b|\bmuss\b.{0,80}\b(?:anzeigen|prüfen|melden)\b",
 ])
 #: Sentences that speak of fields as part of the work.
-FIELDS = r"(?iu)\b(?:merge fields|(?:fields|placeholders|tokens|variables|tags) (?:such as|like|named))\b|\bcompleted by the\b|\bto be completed by\b|\bin column <|\bwas struck\b"
+FIELDS = r"(?i)\b(?:merge fields|(?:fields|placeholders|tokens|variables|tags) (?:such as|like|named))\b|\bcompleted by the\b|\bto be completed by\b|\bin column <|\bwas struck\b"
 #: Terms of pages and their delivery, for duplicated sentences of which no pattern knows.
-WEB = r"(?iu)\b(?:web ?page|this page|that page|the page|home ?page|browser|cookies?|java ?script|scripts?|server|session|reload|refresh|log ?in|captcha|ad ?blocker|url|hyperlink|loading|unavailable|navegador|página|navigateur|seite|browser)\b"
+WEB = r"(?i)\b(?:web ?page|this page|that page|the page|home ?page|browser|cookies?|java ?script|scripts?|server|session|reload|refresh|log ?in|captcha|ad ?blocker|url|hyperlink|loading|unavailable|navegador|página|navigateur|seite|browser)\b"
 #: A duplicated sentence stands under at least so many slugs or titles' worth of copies.
 COPIES = 3
 MOST_WORDS = 18
 
 
-def sentences(text: Column) -> Column:
+#: A sentence without any of a kind's words can't match the kind's pattern: the words of all kinds are sought in one
+#: pass over a text, and only sentences that hold one are held against the pattern of its kind. ``|`` stands for a space.
+TRIGGERS = {
+    "placeholder": "{ [ < « %( %% @@ __ xx/ $x here|to|enter",
+    "filler": "lorem ipsum dolor amet consect adipis eiusmod tempor| incidid labore magna aliqua veniam nostrud nulla velit vitae porta| risus felis justo massa augue |arcu |orci |nunc |quis |enim |elit morbi tellus "
+    "test|entry testing a|test in|this|space goes|here text|here |here sample|text sample|copy sample|content dummy filler placeholder go|here come|here asdf qwerty foo|bar blah coming|soon filled|in supplied|later written|later",
+    "notice": "|script javascript <noscript java|script cookie browser blocker captcha robot are|human navegador navigateur skript active|content load|without",
+    "error": "http error erreur fehler fatal exception traceback stack|trace stacktrace null|ref nullpointer segmentation timeout timed|out gateway|gave gateway|time gateway|err bad|gateway no|valid upstream session sesión sitzung "
+    "too|many|requests slow|down rate|limit snag went|wrong find|that find|this find|the expir failed|to was|blocked empty|response no|longer be|opened be|located be|found be|displayed be|shown be|reached be|loaded be|retrieved "
+    "not|found not|available unavailable is|offline was|offline currently temporarily is|down was|down down|for moved been|removed was|removed or|removed not|exist n't|exist maintenance upkeep forbidden access|denied have|permission have|access again|later try|again "
+    "in|a|few in|a|moment come|back log|in oops whoops uh-oh uh|oh página pagina encontr introuvable indisponible nicht|gefunden nicht|verf nicht|vorhanden nicht|erreich wartungsarbeiten versuchen abgelaufen fuera|de|servicio mantenimiento "
+    "caduc inténtelo intentelo intentarlo disponible plus|tard réessayez 400 401 403 404 405 408 410 418 429 451 500 501 502 503 504",
+    "web": "this|page the|page that|page webpage web|page home|page homepage server browser cookie |script javascript session reload refresh log|in login captcha blocker url hyperlink loading unavailable navegador página navigateur seite",
+}
+
+
+@lru_cache(maxsize=1)
+def _compiled():
+    machine = ahocorasick.Automaton()
+    kinds: dict[str, set] = {}
+    for kind, words in TRIGGERS.items():
+        for word in words.split(" "):
+            kinds.setdefault(word.replace("|", " "), set()).add(kind)
+    for word, of in kinds.items():
+        machine.add_word(word, frozenset(of))
+    machine.make_automaton()
+    patterns = {"placeholder": PLACEHOLDER, "filler": FILLER, "notice": NOTICE, "error": ERROR, "work": WORK, "fields": FIELDS, "web": WEB}
+    # flags inside a pattern hold for the whole of it, but for those in groups of their own
+    made = {k: re.compile(p.replace("(?i)", ""), re.I) if k != "placeholder" else re.compile(re.sub(r"\(\?i:", "(?i:", p)) for k, p in patterns.items()}
+    return machine, made, re.compile(r"\n+|(?<=[.!?;])\s+"), re.compile(r"(?<=[a-zà-ÿ0-9,])[ \t]*\r?\n(?=[a-zà-ÿ])"), re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+
+
+def sentences(text: str) -> list[str]:
     """Lines, cut further behind sentence ends; wrapped lines are put together first."""
-    joined = F.regexp_replace(text, r"(?<=[a-zà-ÿ0-9,])[ \t]*\r?\n(?=[a-zà-ÿ])", " ")
-    return F.filter(F.transform(F.split(joined, r"\n+|(?<=[.!?;])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    _, _, cut, wrap, _ = _compiled()
+    return [s for s in map(str.strip, cut.split(wrap.sub(" ", text))) if s]
+
+
+def reasons_of(sentence: str) -> set[str]:
+    """What one sentence is by itself: residue of some kind, ``suspect`` (to be held against its copies), or nothing."""
+    machine, p, _, _, _ = _compiled()
+    kinds: set[str] = set()
+    for _, of in machine.iter(f" {sentence.lower()} "):
+        kinds |= of
+    found = {k for k in kinds if p[k].search(sentence)}
+    if "placeholder" in found and p["fields"].search(sentence):
+        found.discard("placeholder")
+    if found - {"placeholder"} and p["work"].search(sentence):
+        found &= {"placeholder"}
+    if "web" in found:
+        found.discard("web")
+        if not found and len(sentence.split()) <= MOST_WORDS:
+            found.add("suspect")
+    return found
 
 
-def _form(s: Column) -> Column:
-    """A sentence without digits and codes."""
-    return F.regexp_replace(F.lower(s), r"[0-9a-f]*\d[0-9a-f]*", "#")
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    machine, _, _, _, code = _compiled()
+    for batch in batches:
+        out: dict[str, list] = {"doc_id": [], "reason": [], "form": [], "host": [], "slug": []}
+        for doc, text, host, slug in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "host", "slug"))):
+            if next(machine.iter(f" {text.lower()} "), None) is None:
+                continue
+            terms = None
+            for s in sentences(text):
+                low = s.lower()
+                for reason in reasons_of(s):
+                    if reason == "suspect":
+                        terms = terms if terms is not None else set(re.findall(r"[^\W\d_]{4,}", slug.lower()))
+                        if terms & set(re.findall(r"[^\W\d_]{4,}", low)):
+                            continue
+                    for k, v in zip(out, (doc, reason, code.sub("#", low) if reason == "suspect" else None, host, slug)):
+                        out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), *(pa.array(out[k], pa.string()) for k in list(out)[1:])], names=list(out))
 
 
 def residue(docs: DataFrame, copies: int = COPIES) -> DataFrame:
-    """(doc_id, reasons ARRAY<STRING>, residue INT) for each document with residue.
+    """(doc_id, reasons ARRAY<STRING>, residue INT) for each document with residue, ``residue`` being the number of
+    findings.
 
     ``docs`` is (doc_id, text, source, title, package_id), ``doc_id`` unique. NULL text has no residue; NULL source,
     title and package_id are treated as empty; a NULL doc_id stays out; other columns are ignored; an empty table gives
     no rows. Whole texts are looked at.
     """
     d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"),
-        F.lower(F.concat_ws(" ", F.coalesce("package_id", F.lit("")), F.coalesce("title", F.lit("")))).alias("slug"), sentences(F.col("text")).alias("all"))
-    s = d.select("doc_id", "host", "slug", F.explode("all").alias("s"))
-    own = F.array_distinct(F.filter(F.split(F.lower("s"), r"[^\p{L}]+"), lambda w: F.length(w) > 3))
-    slug = F.split("slug", r"[^\p{L}]+")
-    mismatch = ~F.arrays_overlap(own, slug)
-    marked = s.select(
-        "doc_id", "host", "slug", "s",
-        F.col("s").rlike(PLACEHOLDER).alias("placeholder"), F.col("s").rlike(FILLER).alias("filler"), F.col("s").rlike(NOTICE).alias("notice"), F.col("s").rlike(ERROR).alias("error"), F.col("s").rlike(WORK).alias("work"), F.col("s").rlike(FIELDS).alias("fields"),
-        (F.col("s").rlike(WEB) & (F.size(F.split("s", r"\s+")) <= MOST_WORDS) & mismatch).alias("suspect"))
-    suspects = marked.where("suspect AND NOT work AND NOT notice AND NOT error AND NOT filler AND NOT placeholder").select("doc_id", "host", F.xxhash64("slug").alias("slug"), F.xxhash64(_form(F.col("s"))).alias("form"))
-    # one row a form: how often it stands anywhere, under how many slugs at least, at how many hosts at least
-    evidence = suspects.groupBy("form").agg(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("host"), F.concat_ws(" ", "package_id", "title").alias("slug"))
+    marked = d.mapInArrow(_mark, "doc_id long, reason string, form string, host string, slug string")
+    marked = marked.select("doc_id", "reason", F.xxhash64("form").alias("form"), F.xxhash64("host").alias("host"), F.xxhash64("slug").alias("slug"))
+    # one row a form: how often it stands anywhere, whether under several slugs, whether at several hosts; a host of
+    # its own asks for twice the copies that several hosts together do
+    evidence = marked.where("reason = 'suspect'").groupBy("form").agg(
         F.count("*").alias("n"), (F.min("slug") != F.max("slug")).alias("slugs"), (F.min("host") != F.max("host")).alias("hosts"))
-    # a host of its own asks for twice the copies that several hosts together do
-    known = evidence.where(F.col("slugs") & (F.col("n") >= F.when(F.col("hosts"), copies).otherwise(2 * copies)))
-    duplicated = suspects.join(known, "form", "left_semi").select("doc_id", F.lit("duplicate").alias("reason"))
-    reasons = F.array_compact(F.array(
-        F.when(F.col("placeholder") & ~F.col("fields"), F.lit("placeholder")), F.when(F.col("filler") & ~F.col("work"), F.lit("filler")),
-        F.when(F.col("notice") & ~F.col("work"), F.lit("notice")), F.when(F.col("error") & ~F.col("work"), F.lit("error"))))
-    direct = marked.where("(placeholder AND NOT fields) OR ((filler OR notice OR error) AND NOT work)").select("doc_id", F.explode(reasons).alias("reason"))
+    known = evidence.where(F.col("slugs") & (F.col("n") >= F.when(F.col("hosts"), copies).otherwise(2 * copies))).select("form")
+    duplicated = marked.where("reason = 'suspect'").join(known, "form", "left_semi").select("doc_id", F.lit("duplicate").alias("reason"))
+    direct = marked.where("reason <> 'suspect'").select("doc_id", "reason")
     return direct.unionByName(duplicated).groupBy("doc_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.count("*").cast("int").alias("residue"))
 
 
