@@ -35,7 +35,7 @@ BEYOND, HABIT = 0.05, 0.02
 #: An ending seen so often, of which at most this share ended a sentence, ends none.
 SEEN, ENDS = 60, 0.01
 GRAMS = (2, 3, 4, 6)
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:/%-]*|[.;!?,:(]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\d.,:/%-]*|[.;!?,:(]")
 # English function words, which keep their form when an ending is masked.
 FUNCTION = frozenset(
     "a an the this that these those each every any all some no not and or but nor so if unless while when where whether which who whose what than then as at by "
@@ -64,7 +64,7 @@ class _Codes:
             if len(self.held) > 500_000:
                 self.held.clear()
             kind = 2 if token in ".;!?" else 1 if token in ",:(" else 0
-            code = self.held[token] = (_hash(_masked(token)), _hash(token.lower()), kind)
+            code = self.held[token] = (_hash(_masked(token)), _hash("#" if token[0].isdigit() else token.lower()), kind)
         return code
 
 
@@ -210,8 +210,11 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> tuple[
     keys = loose.where("NOT habit").select("rid", "text").mapInArrow(_endings, "rid long, k int, code long")
     # each value has added one to its own ending
     seen, ended = F.col("seen") - 1, F.col("ended") - 1
-    odd = F.when(F.col("k") == 1, (seen == 0) | ((seen >= SEEN) & (ended <= ENDS * seen))).otherwise((seen >= SEEN) & (ended <= ENDS * seen))
-    endings = keys.join(counts, "code").where(odd).select("rid").distinct().withColumn("ending", F.lit(True))
+    often = seen >= SEEN
+    last = (F.col("k") == 1) & ((seen == 0) | (often & (ended <= ENDS * seen)))
+    # of the longer endings the longest that is seen often decides
+    longest = F.max_by(ended <= ENDS * seen, F.when((F.col("k") > 1) & often, F.col("k")))
+    endings = keys.join(counts, "code").groupBy("rid").agg((F.bool_or(last) | F.coalesce(longest, F.lit(False))).alias("ending")).where("ending")
     known = held.where("mark OR limit").select("key", "source", "field", F.when(F.col("mark"), F.lit("mark")).otherwise(F.lit("limit")).alias("reason"))
     rest = loose.join(endings, "rid", "left").where("habit OR ending").select("key", "source", "field", F.when(F.col("habit"), F.lit("habit")).otherwise(F.lit("ending")).alias("reason"))
     return known.unionByName(rest), values
