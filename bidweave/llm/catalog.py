@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import leaks, pieces, plain, residue, similar, truncated
+from bidweave.llm import leaks, pieces, pii, plain, residue, similar, truncated
 from bidweave.sources.tables import table
 
 
@@ -34,6 +34,21 @@ def p2_rates(spark: SparkSession, directory: str) -> DataFrame:
     return truncated.rates(cut, values).withColumnRenamed("source", "model")
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    found = pii.details(table(spark, directory, "items"), "seq", ["statement", "quote"])
+    return found.select(F.col("key").alias("seq"), F.col("field").alias("field_name"), F.explode("types").alias("pii_type")).distinct()
+
+
+def p3_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    """Statement and quote of every item with placeholders in place of details, and where these stood."""
+    items = table(spark, directory, "items").where("seq IS NOT NULL")
+    found = pii.details(items, "seq", ["statement", "quote"]).dropDuplicates(["key", "field"])
+    by = found.groupBy("key").pivot("field", ["statement", "quote"]).agg(F.first("redacted").alias("text"), F.first("spans").alias("spans"))
+    one = items.select("seq", "statement", "quote").dropDuplicates(["seq"])
+    return one.join(by, one["seq"] == by["key"], "left").select(
+        "seq", F.coalesce("statement_text", "statement").alias("statement"), F.coalesce("quote_text", "quote").alias("quote"), "statement_spans", "quote_spans")
+
+
 def _pages_and_chunks(spark: SparkSession, directory: str) -> DataFrame:
     pages = table(spark, directory, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
     chunks = table(spark, directory, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), "text")
@@ -100,6 +115,7 @@ def p8_clean(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
     "p2_found": p2_found, "p2_rates": p2_rates,
+    "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_plain": p5_plain,
     "p6_found": p6_found, "p6_leaked_items": p6_leaked_items,
