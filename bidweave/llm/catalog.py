@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import leaks, pieces, pii, plain, residue, similar, truncated
+from bidweave.llm import leaks, mixing, pieces, pii, plain, residue, similar, truncated
 from bidweave.sources.tables import table
 
 
@@ -97,6 +97,15 @@ def p6_leaked_items(spark: SparkSession, directory: str) -> DataFrame:
         F.count("*").alias("documents"), F.count_if(whole).alias("whole"), F.max("longest_run").alias("longest_run"), F.min("edit_distance").alias("least_distance"))
 
 
+def p7_mixture(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.mix(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """The shares really reached."""
+    return mixing.mix(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return residue.residue(table(spark, directory, "documents")).select("doc_id")
 
@@ -119,6 +128,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_plain": p5_plain,
     "p6_found": p6_found, "p6_leaked_items": p6_leaked_items,
+    "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_reasons": p8_reasons, "p8_clean": p8_clean,
 }
 

@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,9 @@ class Tagger:
         self.chunks: dict[str, int] = {"": 0}
         self.tok = np.zeros((1024, len(OFFSETS), L), np.float32)
         self.chk = np.zeros((1024, 3, L), np.float32)
+        self.store: list[int] = []  # the tokens of all chunks met, one after another
+        self.stored = np.zeros(0, np.int32)
+        self.chunk_start, self.chunk_size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.shapes: dict[str, int] = {}
         self.sid = np.zeros(1024, np.int32)
         self.pair_row = np.zeros(1024, np.int32)
@@ -133,32 +137,39 @@ class Tagger:
         k = self.chunks[chunk] = len(self.chunks)
         if k >= len(self.chk):
             self.chk = np.concatenate([self.chk, np.zeros_like(self.chk)])
+            self.chunk_start = np.concatenate([self.chunk_start, np.zeros_like(self.chunk_start)])
+            self.chunk_size = np.concatenate([self.chunk_size, np.zeros_like(self.chunk_size)])
         self.chk[k] = self._chunk_rows(chunk)
+        own = [self.tokens[t] if t in self.tokens else self.token_id(t) for t in TOKEN.findall(chunk)]
+        self.chunk_start[k], self.chunk_size[k] = len(self.store), len(own)
+        self.store += own
         return k
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all tokens of all texts, and where each text begins (one more at the end)."""
         if len(self.tokens) > self.MOST or len(self.chunks) > self.MOST:
             self._clear()
-        tids, cids, counts = [], [], []
-        tokens, chunks, find = self.tokens, self.chunks, TOKEN.findall
         # tokens never cross white space, so a text's tokens are those of its chunks
-        pieces: dict[str, tuple[int, list[int]]] = {}
+        get, flat, words = self.chunks.get, [], []
         for text in texts:
-            n = 0
-            for chunk in text.split():
-                held = pieces.get(chunk)
-                if held is None:
-                    own = [tokens[t] if t in tokens else self.token_id(t) for t in find(chunk)]
-                    held = pieces[chunk] = (chunks[chunk] if chunk in chunks else self.chunk_id(chunk), own)
-                tids += held[1]
-                cids.append((held[0], len(held[1])))
-                n += len(held[1])
-            counts.append(n)
-        tid = np.array(tids, np.int32)
-        begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        if not len(tid):
+            own = text.split()
+            words.append(len(own))
+            flat += own
+        ids = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+        for k in np.flatnonzero(ids < 0):
+            held = get(flat[k])
+            ids[k] = self.chunk_id(flat[k]) if held is None else held
+        sizes = self.chunk_size[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        edge = np.concatenate([[0], np.cumsum(words)])
+        begin = np.concatenate([[0], ends])[edge].astype(np.int64)
+        if not total:
             return np.zeros((0, L), np.float32), begin
+        counts = np.diff(begin)
+        store = np.fromiter(self.store, np.int32, len(self.store)) if len(self.store) != len(self.stored) else self.stored
+        self.stored = store
+        tid = store[np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(self.chunk_start[ids], sizes)]
         row = np.repeat(np.arange(len(texts)), counts)
         at = np.arange(len(tid))
         lo, hi = begin[row], begin[row + 1]
@@ -167,8 +178,6 @@ class Tagger:
             j = at + o
             near = np.where((j >= lo) & (j < hi), tid[np.clip(j, 0, len(tid) - 1)], 0)
             score += self.tok[near, i]
-        ids = np.array([c for c, _ in cids], np.int32)
-        sizes = np.array([k for _, k in cids], np.int32)
         own = np.repeat(np.arange(len(ids)), sizes)  # each token's chunk
         first = np.searchsorted(own, np.arange(len(ids)))
         chunk_row = row[np.minimum(first, len(row) - 1)]
