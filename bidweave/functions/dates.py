@@ -21,10 +21,15 @@ def _month(name: Column) -> Column:
     return ((F.instr(F.lit(_MONTHS), F.lower(F.substring(name, 1, 3))) + 2) / 3).cast("int")
 
 
+def _digits(c: Column) -> Column:
+    """Wide digits as plain ones; the patterns read both."""
+    return F.translate(c, "０１２３４５６７８９", "0123456789")
+
+
 def make_date(year: Column, month: Column, day: Column) -> Column:
     """A date, or NULL where there is none; two-digit years are of this century."""
-    y = F.when(year.cast("int") < 100, year.cast("int") + 2000).otherwise(year.cast("int"))
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, month.cast("int"), day.cast("int")), "yyyy-MM-dd")
+    y = F.when(year.try_cast("int") < 100, year.try_cast("int") + 2000).otherwise(year.try_cast("int"))
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, month.try_cast("int"), day.try_cast("int")), "yyyy-MM-dd")
 
 
 def _dates_of(m: Column) -> Column:
@@ -49,18 +54,18 @@ def find_dates(c: Column) -> Column:
     One alternation reads all notations in one pass. It differs from trying one notation after another only where an
     invalid date hides a valid one of another notation inside its own text.
     """
-    found = F.flatten(F.transform(F.regexp_extract_all(empty(c), F.lit(ANY_DATE), 0), _dates_of))
+    found = F.flatten(F.transform(F.regexp_extract_all(_digits(empty(c)), F.lit(ANY_DATE), 0), _dates_of))
     return F.transform(F.array_distinct(F.filter(found, lambda d: d.isNotNull())), lambda d: F.date_format(d, "yyyy-MM-dd"))
 
 
 def find_times(c: Column) -> Column:
     """Clock times as ``HH:MM``: 12-hour ones, then 24-hour ones, then military ones, then noon; none twice."""
-    text = empty(c)
+    text = _digits(empty(c))
 
     def twelve(m: Column) -> Column:
         p = r"(?iU)^(\d{1,2})(?::(\d{2}))?\s*([ap])"
-        hour = F.regexp_extract(m, p, 1).cast("int")
-        minute = F.coalesce(F.nullif(F.regexp_extract(m, p, 2), F.lit("")), F.lit("0")).cast("int")
+        hour = F.regexp_extract(m, p, 1).try_cast("int")
+        minute = F.coalesce(F.nullif(F.regexp_extract(m, p, 2), F.lit("")), F.lit("0")).try_cast("int")
         late = F.lower(F.regexp_extract(m, p, 3)) == "p"
         return F.when(hour.between(1, 12), F.format_string("%02d:%02d", F.pmod(hour, F.lit(12)) + F.when(late, 12).otherwise(0), minute))
 

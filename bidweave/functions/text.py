@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from bidweave.functions import constants as K
 
@@ -26,7 +27,7 @@ def has(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike("(?iU)" + pattern), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

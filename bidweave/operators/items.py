@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.functions import constants as K
@@ -114,77 +114,80 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[keep, ["a", "b"]]
 
 
-#: A candidate pair shares at least two of the this many rarest words of each side.
+#: A candidate pair shares two of the this many rarest words of each side.
 RARE = 8
 
 
+def _place() -> Column:
+    """Reading order as one comparable value."""
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(reading_order())])
+
+
 def twins(items: DataFrame) -> DataFrame:
-    """(a, b): ranks of items of one package and kind that state the same, a before b in reading order.
+    """(a, pa, b): items of one package and kind that state the same, by seq, a (at place pa) before b in reading order.
 
     Candidates share two of each other's rarest words (of statement and quote, by how many items of the package and
-    kind have them), so no group is compared pair by pair; equal quotes are candidates by themselves, each with the first of its equals.
+    kind have them), so no group is compared pair by pair; of equal quotes each meets only the first of its equals.
     """
-    base = items.select("package_id", "kind", "rank", "date", "weight", F.array_join(words(F.col("quote")), " ").alias("q"), F.array_join(words(F.col("statement")), " ").alias("s"))
-    base = written(base, "merge")
-    word = base.select("package_id", "kind", "rank", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "q", "s"), " "))).alias("w")).where("w <> ''")
-    df = word.groupBy("package_id", "kind", "w").agg(F.count("*").alias("df"))
-    own = Window.partitionBy("package_id", "kind", "rank").orderBy("df", "w")
-    rare = word.join(df.where("df > 1"), ["package_id", "kind", "w"]).withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= RARE)
-    pick = rare.groupBy("package_id", "kind", "rank").agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    n = F.size("ws")
-    pairs_of = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.slice("ws", i + 1, n), lambda v: F.xxhash64(F.element_at("ws", i), v))))
-    keys = pick.where(n >= 2).select("package_id", "kind", "rank", F.explode(pairs_of).alias("k"))
-    equal = base.withColumn("k", F.xxhash64("q"))
-    # copies of one quote meet their first only
-    first = equal.groupBy("package_id", "kind", "k").agg(F.min("rank").alias("a"))
-    copies = equal.join(first, ["package_id", "kind", "k"]).where("a < rank").select("package_id", "kind", "a", F.col("rank").alias("b"))
-    heads = keys.join(copies.select("package_id", "kind", F.col("b").alias("rank")), ["package_id", "kind", "rank"], "left_anti")
-    met = heads.withColumnRenamed("rank", "a").join(heads.withColumnRenamed("rank", "b"), ["package_id", "kind", "k"]).where("a < b").select("package_id", "kind", "a", "b")
-    found = met.unionByName(copies).distinct()
-    left, right = (base.select("package_id", "kind", F.col("rank").alias(x), F.col("q").alias("q" + x), F.col("s").alias("s" + x), F.col("date").alias("d" + x), F.col("weight").alias("w" + x)) for x in "ab")
-    both = found.join(left, ["package_id", "kind", "a"]).join(right, ["package_id", "kind", "b"])
-    differ = lambda f: (empty(F.col(f + "a")) != "") & (empty(F.col(f + "b")) != "") & (F.col(f + "a") != F.col(f + "b"))
-    return both.where(~differ("d") & ~differ("w")).select("a", "b", "qa", "qb", "sa", "sb").mapInPandas(_alike, "a long, b long")
+    base = written(items.select(
+        "package_id", "kind", "seq", _place().alias("place"), empty(F.col("date")).alias("date"), empty(F.col("weight")).alias("weight"),
+        F.array_join(words(F.col("quote")), " ").alias("q"), F.array_join(words(F.col("statement")), " ").alias("s")), "merge")
+    group = ["package_id", "kind"]
+    word = base.select(*group, "seq", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "q", "s"), " "))).alias("w")).where("w <> ''")
+    df = word.groupBy(*group, "w").agg(F.count("*").alias("df")).where("df > 1")
+    # an item has as many words as its text: this gathers one item's words, never a group's items
+    rare = word.join(df, [*group, "w"]).groupBy(*group, "seq").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, RARE).alias("r"))
+    pick = rare.select(*group, "seq", F.array_sort("r.w").alias("ws")).withColumn("n", F.size("ws")).where("n >= 2")
+    pairs_of = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.transform(F.slice("ws", i + 1, F.col("n")), lambda v: F.xxhash64(F.element_at("ws", i), v))))
+    keys = pick.select(*group, "seq", F.explode(pairs_of).alias("k"))
+    equal = base.select(*group, "seq", "place", F.xxhash64("q", "date", "weight").alias("k"))
+    first = equal.groupBy(*group, "k").agg(F.min_by("seq", "place").alias("a"))
+    copies = written(equal.join(first, [*group, "k"]).where("a <> seq").select("a", F.col("seq").alias("b")), "copies")
+    heads = keys.join(copies.select(F.col("b").alias("seq")), "seq", "left_anti")
+    met = heads.withColumnRenamed("seq", "a").join(heads.withColumnRenamed("seq", "b"), [*group, "k"]).where("a < b").select("a", "b")
+    found = met.unionByName(copies.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    sides = {x: base.select(F.col("seq").alias(x), F.col("place").alias("p" + x), F.col("q").alias("q" + x), F.col("s").alias("s" + x), F.col("date").alias("d" + x), F.col("weight").alias("w" + x)) for x in "ab"}
+    both = found.join(sides["a"], "a").join(sides["b"], "b")
+    differ = lambda f: (F.col(f + "a") != "") & (F.col(f + "b") != "") & (F.col(f + "a") != F.col(f + "b"))
+    ahead = F.col("pa") < F.col("pb")
+    turn = lambda f: (F.when(ahead, F.col(f + "a")).otherwise(F.col(f + "b")), F.when(ahead, F.col(f + "b")).otherwise(F.col(f + "a")))
+    in_order = both.where(~differ("d") & ~differ("w")).select(
+        F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"),
+        *[c.alias(n) for f in "qs" for c, n in zip(turn(f), (f + "a", f + "b"))])
+    # comparing is dear and rows are few: they are spread over all tasks
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = in_order.repartition(tasks).mapInPandas(_alike, "a long, b long")
+    return alike.join(base.select(F.col("seq").alias("a"), F.col("place").alias("pa")), "a").select("a", "pa", "b")
 
 
 def merge(items: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """One item for each fact: repeats are folded into the first of their kind in reading order.
+    """One item for each fact: repeats are folded into the first of their kind in reading order. ``seq`` is unique.
 
     An item is kept if no kept item before it is its twin; the first such twin absorbs it. This is settled in rounds
     over the twin table: whatever has only settled twins before it is settled next. ``also_on`` gets the absorbed
     items' pages, if these are pages of the same document, not NULL and not the item's own.
     """
-    order = Window.orderBy("p", "__o")  # over one row for each package, not over items
-    per = items.groupBy("package_id").agg(F.count("*").alias("n"))
-    starts = per.select("package_id", F.col("n"), F.col("package_id").alias("p"), F.lit(0).alias("__o")).withColumn("base", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("package_id", "base")
-    ranked = items.withColumn("__r", F.struct(*[c.cast("string") if i in (0, 1) else c for i, c in enumerate(reading_order())]))
-    own = Window.partitionBy("package_id", "kind").orderBy("__r")
-    kinds = items.groupBy("package_id", "kind").agg(F.count("*").alias("n"))
-    offsets = kinds.withColumn("off", F.coalesce(F.sum("n").over(Window.partitionBy("package_id").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("package_id", "kind", "off")
-    ranked = ranked.join(starts, "package_id").join(offsets, ["package_id", "kind"]).withColumn("rank", F.row_number().over(own) + F.col("off") + F.col("base")).drop("__r", "base", "off")
-    ranked = written(ranked, "ranked")
-    pairs = written(twins(ranked), "twins")
-    open_ = written(pairs, "open")
-    state = None  # (rank, kept) of items with twins
-    nodes = written(pairs.select(F.col("a").alias("rank")).union(pairs.select("b")).distinct(), "nodes")
-    settled = written(nodes.join(pairs.select(F.col("b").alias("rank")).distinct(), "rank", "left_anti").select("rank", F.lit(True).alias("kept")), "settled")
+    pairs = written(twins(items), "twins")
+    nodes = written(pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct(), "nodes")
+    settled = written(nodes.join(pairs.select(F.col("b").alias("seq")).distinct(), "seq", "left_anti").select("seq", F.lit(True).alias("kept")), "settled")
     for _ in range(most_rounds):
-        todo = nodes.join(settled, "rank", "left_anti")
+        todo = nodes.join(settled, "seq", "left_anti")
         if todo.isEmpty():
             break
-        known = open_.join(todo.select(F.col("rank").alias("b")), "b").join(settled.select(F.col("rank").alias("a"), "kept"), "a", "left")
+        known = pairs.select("a", "b").join(todo.select(F.col("seq").alias("b")), "b").join(settled.select(F.col("seq").alias("a"), "kept"), "a", "left")
         now = known.groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("taken"), F.bool_and(F.col("kept").isNotNull()).alias("ready"))
         # absorbed by a kept one before it, or kept once all before it are settled
-        new = now.where("taken OR ready").select(F.col("b").alias("rank"), (~F.col("taken")).alias("kept"))
-        settled = written(settled.unionByName(new), "settled")
+        settled = written(settled.unionByName(now.where("taken OR ready").select(F.col("b").alias("seq"), (~F.col("taken")).alias("kept"))), "settled")
     else:
         raise RuntimeError("the merge did not settle")
-    into = pairs.join(settled.where("kept").select(F.col("rank").alias("a")), "a").join(settled.where("NOT kept").select(F.col("rank").alias("b")), "b").groupBy("b").agg(F.min("a").alias("a"))
-    facts = ranked.select("rank", "document", "page")
-    pages = into.join(facts.select(F.col("rank").alias("b"), F.col("document").alias("db"), F.col("page").alias("pb")), "b").join(facts.select(F.col("rank").alias("a"), F.col("document").alias("da"), F.col("page").alias("pa")), "a")
-    pages = pages.where("da = db AND pb IS NOT NULL AND pb <> 0 AND NOT (pb <=> pa)").groupBy(F.col("a").alias("rank")).agg(F.min("b").alias("__f"), F.array_sort(F.collect_set("pb")).alias("__pages"))
-    kept = ranked.join(into.select(F.col("b").alias("rank")), "rank", "left_anti").join(pages.drop("__f"), "rank", "left")
-    return kept.withColumn("also_on", F.array_union(F.coalesce("also_on", F.array().cast("array<int>")), F.coalesce("__pages", F.array().cast("array<int>")))).drop("__pages", "rank")
+    into = pairs.join(settled.where("kept").select(F.col("seq").alias("a")), "a").join(settled.where("NOT kept").select(F.col("seq").alias("b")), "b").groupBy("b").agg(F.min_by("a", "pa").alias("a"))
+    into = written(into, "into")
+    facts = items.select("seq", "document", "page")
+    pages = into.join(facts.select(F.col("seq").alias("b"), F.col("document").alias("db"), F.col("page").alias("pb")), "b").join(facts.select(F.col("seq").alias("a"), F.col("document").alias("da"), F.col("page").alias("pa")), "a")
+    pages = pages.where("da = db AND pb IS NOT NULL AND pb <> 0 AND NOT (pb <=> pa)").groupBy(F.col("a").alias("seq")).agg(F.array_sort(F.collect_set("pb")).alias("__pages"))
+    kept = items.join(into.select(F.col("b").alias("seq")), "seq", "left_anti").join(pages, "seq", "left")
+    none = F.array().cast("array<int>")
+    return kept.withColumn("also_on", F.array_union(F.coalesce("also_on", none), F.coalesce("__pages", none))).drop("__pages")
 
 
 def apply_amendments(items: DataFrame) -> DataFrame:

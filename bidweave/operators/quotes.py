@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,16 +57,61 @@ def ratio(a: list[str], b: list[str]) -> float:
     return SequenceMatcher(None, " ".join(a), " ".join(b), autojunk=False).ratio()
 
 
-def window_ratio(quote: list[str], page: list[str]) -> float:
-    """The best likeness of the quote to any run of about its length that begins with one of its first four words."""
-    n, best, target = len(quote), 0.0, " ".join(quote)
-    lead = set(quote[:4])
-    for at in (i for i, w in enumerate(page) if w in lead):
-        for size in {max(1, int(n * 0.85)), n, int(n * 1.15) + 1}:
-            m = SequenceMatcher(None, target, " ".join(page[at : at + size]), autojunk=False)
-            if m.real_quick_ratio() > best and m.quick_ratio() > best:
-                best = max(best, m.ratio())
-    return best
+def _letters(words_: list[str]) -> np.ndarray:
+    """Running counts of letters, digits and spaces over a list of words."""
+    out = np.zeros((len(words_) + 1, 37), np.int32)
+    for i, w in enumerate(words_):
+        codes = np.frombuffer(w.encode(), np.uint8)
+        at = np.where(codes >= 97, codes - 97, codes - 48 + 26)
+        out[i + 1] = np.bincount(at, minlength=37)[:37]
+    out[1:, 36] = 1
+    return out.cumsum(axis=0)
+
+
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence (bit-parallel): the likeness can't be based on more."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+def window_ratio(quote: list[str], page: list[str], floor: float = 0.0) -> float:
+    """The best likeness of the quote to any run of about its length that begins with one of its first four words; 0 if
+    it is less than ``floor``.
+
+    Letters in common, then the longest common subsequence, bound the likeness from above; windows are compared from
+    the best bound on, until no bound is better than what was found.
+    """
+    n, lead = len(quote), set(quote[:4])
+    starts = np.array([i for i, w in enumerate(page) if w in lead], np.int64)
+    if not n or not len(starts):
+        return 0.0
+    sizes = np.array(sorted({max(1, int(n * 0.85)), n, int(n * 1.15) + 1}))
+    begin = np.repeat(starts, len(sizes))
+    end = np.minimum(begin + np.tile(sizes, len(starts)), len(page))
+    run = _letters(page)
+    own = _letters(quote)[-1].copy()
+    own[36] -= 1
+    held = run[end] - run[begin]
+    held[:, 36] -= 1
+    bound = 2.0 * np.minimum(held, own).sum(axis=1) / (held.sum(axis=1) + own.sum())
+    best, target = 0.0, " ".join(quote)
+    for k in np.argsort(-bound, kind="stable"):
+        if bound[k] <= best or bound[k] < floor:
+            break
+        window = " ".join(page[begin[k] : end[k]])
+        most = 2.0 * _common(target, window) / (len(target) + len(window))
+        if most <= best or most < floor:
+            continue
+        # likeness depends on the order of its arguments: the quote is the first
+        best = max(best, SequenceMatcher(None, target, window, autojunk=False).ratio())
+    return best if best >= floor else 0.0
 
 
 def covering(needed: set[str], page: list[str]) -> int | None:
@@ -81,10 +127,13 @@ def covering(needed: set[str], page: list[str]) -> int | None:
     return best
 
 
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b["ratio"] = [window_ratio(list(q), list(w)) for q, w in zip(b["qw"], b["pw"])]
-        yield b[["seq", "page", "end_page", "span", "other", "ratio"]]
+def _near(floor: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["ratio"] = [window_ratio(list(q), list(w), floor) for q, w in zip(b["qw"], b["pw"])]
+            yield b[["seq", "page", "end_page", "span", "other", "ratio"]]
+
+    return run
 
 
 def _table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,18 +173,27 @@ def locate(items: DataFrame, pages: DataFrame, fold: bool = True) -> DataFrame:
         pairs.select("doc_id", "page", (F.col("page") + 1).alias("end_page"), F.lit(1).alias("span"), words(F.col("body")).alias("pw")))
     near = left.join(places, "doc_id").where(_overlap(F.col("qw"), F.array_distinct("pw")) >= K.OVERLAP_FLOOR)
     near = near.select("seq", "page", "end_page", "span", (~F.col("page").eqNullSafe(F.col("cited"))).alias("other"), "qw", "pw")
-    scored = near.mapInPandas(_near, "seq long, page int, end_page int, span int, other boolean, ratio double")
-    best = written(scored.groupBy("seq").agg(F.min(F.struct((-F.bround("ratio", 9)).alias("ratio"), "span", "other", "page", "end_page")).alias("b")).select(
-        "seq", (-F.col("b.ratio")).alias("ratio"), F.col("b.page").alias("page"), F.col("b.end_page").alias("end_page")), "near")
-    three = best.where(F.col("ratio") >= K.FUZZY_FLOOR).select("seq", F.lit("fuzzy").alias("status"), "page", F.bround("ratio", 3).alias("similarity"), "end_page")
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def best_of(rows: DataFrame, floor: float) -> DataFrame:
+        # comparing is dear and rows are few: they are spread over all tasks
+        scored = rows.repartition(tasks).mapInPandas(_near(floor), "seq long, page int, end_page int, span int, other boolean, ratio double").where("ratio > 0")
+        return scored.groupBy("seq").agg(F.min(F.struct((-F.bround("ratio", 9)).alias("ratio"), "span", "other", "page", "end_page")).alias("b")).select(
+            "seq", (-F.col("b.ratio")).alias("ratio"), F.col("b.page").alias("page"), F.col("b.end_page").alias("end_page"))
+
+    best = written(best_of(near, K.FUZZY_FLOOR), "near")
+    three = best.select("seq", F.lit("fuzzy").alias("status"), "page", F.bround("ratio", 3).alias("similarity"), "end_page")
     needed = F.array_except(F.array_distinct("qw"), F.array(*[F.lit(w) for w in K.STOPWORDS]))
     open_ = left.join(three.select("seq"), "seq", "left_anti").withColumn("needed", needed).where(F.size("needed") >= 5)
     cells = open_.join(places.where("span = 0"), "doc_id").where(F.size(F.array_except("needed", "pw")) == 0)
     cells = cells.select("seq", "page", (~F.col("page").eqNullSafe(F.col("cited"))).alias("other"), "needed", "qw", "pw")
-    runs = cells.mapInPandas(_table, "seq long, page int, other boolean, run int, size int").where(F.col("run") <= 3 * F.col("size"))
+    runs = cells.repartition(tasks).mapInPandas(_table, "seq long, page int, other boolean, run int, size int").where(F.col("run") <= 3 * F.col("size"))
     four = runs.groupBy("seq").agg(F.min(F.struct("other", "page", "run", "size")).alias("b")).select(
         "seq", F.lit("assembled").alias("status"), F.col("b.page").alias("page"), F.bround(F.col("b.size") / F.col("b.run"), 3).alias("similarity"), F.lit(None).cast("int").alias("end_page"))
     found = written(one.unionByName(two).unionByName(three).unionByName(four), "found")
-    none = quotes.select("seq").join(found, "seq", "left_anti").join(best.select("seq", "ratio"), "seq", "left").select(
+    # how near a missing quote came is worked out for these alone
+    none = quotes.select("seq").join(found, "seq", "left_anti")
+    came = best_of(near.join(none, "seq", "left_semi"), 0.0)
+    none = none.join(came.select("seq", "ratio"), "seq", "left").select(
         "seq", F.lit("missing").alias("status"), F.lit(None).cast("int").alias("page"), F.coalesce(F.bround("ratio", 3), F.lit(0.0)).alias("similarity"), F.lit(None).cast("int").alias("end_page"))
     return found.unionByName(none)
