@@ -1 +1,168 @@
-SQL: dict[str, str] = {}
+"""SQL twins (DuckDB dialect) of the queries, over the same whole tables."""
+
+from __future__ import annotations
+
+from bidweave.functions import constants as K
+
+_PAGES = "p AS (SELECT * FROM pages WHERE page_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
+_ITEMS = "i AS (SELECT * FROM items WHERE seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seq ORDER BY loaded_at DESC NULLS LAST) = 1)"
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace(coalesce({c}, ''), '^{_SPACE}+', ''), '{_SPACE}+$', '')"
+
+
+def _squash(c: str) -> str:
+    return f"regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', '', 'g')"
+
+
+def _words(c: str) -> str:
+    return f"list_filter(string_split_regex(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+def _has(c: str, pattern: str) -> str:
+    return f"regexp_matches(coalesce({c}, ''), '(?i){pattern}')"
+
+
+def _case(table: dict[str, str], c: str, otherwise: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {otherwise} END"
+
+
+_CATEGORY = _case({k: f"'{c}'" for c, kinds in K.CATEGORIES.items() for k in kinds}, "kind", "'requirement'")
+_SECTION = _case({c: str(n) for n, c in enumerate(K.CATEGORIES)}, "category", "NULL")
+_FEATURES = f"""feats AS (SELECT doc_id, page, {_squash("CASE WHEN coalesce(reading, '') = '' THEN coalesce(text, '') ELSE coalesce(text, '') || chr(10) || 'zzrenderingbreakzz' || chr(10) || reading END")} AS sq FROM p)"""
+_KEYS = f"q AS (SELECT seq, document AS doc_id, page AS cited, {_squash('quote')} AS key FROM i WHERE length({_squash('quote')}) >= {K.LEAST_KEY})"
+_EXACT = f"""{_PAGES}, {_ITEMS}, {_FEATURES}, {_KEYS},
+  hits AS (SELECT q.seq, feats.page, row_number() OVER (PARTITION BY q.seq ORDER BY feats.page IS DISTINCT FROM q.cited, feats.page) AS nth
+           FROM q JOIN feats USING (doc_id) WHERE contains(feats.sq, q.key)),
+  found AS (SELECT seq, page FROM hits WHERE nth = 1)"""
+_LIVE = "coalesce(superseded_by, '') = ''"
+_TITLED = f"""{_ITEMS}, t AS (SELECT i.*, pk.base, coalesce(nullif(m.short, ''), nullif(m.title, '')) AS short
+  FROM i LEFT JOIN packages pk USING (package_id) LEFT JOIN manifest_documents m ON m.id = i.document)"""
+_WHERE = """CASE WHEN coalesce(end_page, 0) <> 0 THEN 'pp. ' || coalesce(page::VARCHAR, 'None') || '–' || end_page::VARCHAR ELSE 'p. ' || coalesce(page::VARCHAR, 'None') END
+  || CASE WHEN len(also_on) > 0 THEN ', also p. ' || array_to_string(also_on, ', ') ELSE '' END"""
+_CITE = f"CASE WHEN document IS NOT DISTINCT FROM base THEN {_WHERE} ELSE coalesce(short, document, '') || ', ' || {_WHERE} END"
+_FOOT = r"[^\S\n]*(?:page[^\S\n]*)?\d{1,3}(?:[^\S\n]*of[^\S\n]*\d{1,3})?[^\S\n]*|[^\n]{0,60}\bpage[^\S\n]+\d{1,3}(?:[^\S\n]+of[^\S\n]+\d{1,3})?[^\S\n]*"
+_SENT = f"""{_PAGES}, blocks AS (SELECT package_id, doc_id, role, page, unnest(string_split_regex(coalesce(text, ''), '\\n\\s*\\n')) AS b FROM p),
+  marked AS (SELECT package_id, doc_id, role, page, regexp_replace({_strip(f"regexp_replace(b, '{_SPACE}+', ' ', 'g')")}, '([.;])\\s+([A-Z(])', concat('\\1', chr(1), '\\2'), 'g') AS b FROM blocks),
+  s AS (SELECT package_id, doc_id AS document, role, page, text FROM (SELECT package_id, doc_id, role, page, unnest(string_split(b, chr(1))) AS text FROM marked) WHERE length(text) > 15)"""
+
+
+def _dated(kind: str) -> str:
+    return f"""SELECT package_id, '{kind}' AS fact, seq, date, page FROM (
+      SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY amended DESC, d DESC, CASE WHEN NOT amended THEN votes END DESC NULLS LAST, CASE WHEN d THEN date END DESC NULLS LAST, seq) AS nth
+      FROM (SELECT *, coalesce(date, '') <> '' AS d, coalesce(date, '') <> '' AND role = 'amendment' AS amended,
+                   CASE WHEN coalesce(date, '') <> '' THEN count(*) OVER (PARTITION BY package_id, date) END AS votes
+            FROM live WHERE kind = '{kind}')) WHERE nth = 1"""
+
+
+def _first(kind: str) -> str:
+    return f"SELECT package_id, '{kind}' AS fact, arg_min(seq, seq) AS seq, arg_min(coalesce(date, chr(0)), seq) AS date, arg_min(coalesce(page, -1), seq) AS page FROM live WHERE kind = '{kind}' GROUP BY package_id"
+
+
+def _best(fact: str, kinds: str, rank: str, floor: int) -> str:
+    return f"""SELECT package_id, '{fact}' AS fact, seq, date, page FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY r DESC, seq) AS nth
+      FROM (SELECT *, {rank} AS r FROM live WHERE kind IN ({kinds})) WHERE r >= {floor}) WHERE nth = 1"""
+
+
+_TEXT = "concat(coalesce(statement, ''), ' ', coalesce(quote, ''))"
+_SUBMIT_RANK = f"2 * {_has(_TEXT, K.CHANNEL_WORDS)}::INT + 2 * {_has(_TEXT, K.RESPONSE_WORDS)}::INT + (kind = 'submission_method')::INT - 4 * {_has('statement', K.NOT_THE_RESPONSE)}::INT"
+_AWARD_RANK = f"2 * contains(lower({_TEXT}), 'award')::INT + regexp_matches(lower({_TEXT}), '{K.AWARD_WORDS}')::INT"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+# one alternation for the dates of a text, as in the query
+_DATE = "|".join([K.DATE_REVISED, K.DATE_NAMED, K.DATE_DAY_FIRST, K.DATE_NUMERIC, K.DATE_ISO])
+
+
+def _date_of(y: str, m: str, d: str) -> str:
+    year = f"CASE WHEN try_cast({y} AS INT) < 100 THEN try_cast({y} AS INT) + 2000 ELSE try_cast({y} AS INT) END"
+    return f"try_cast(printf('%04d-%02d-%02d', {year}, try_cast({m} AS INT), try_cast({d} AS INT)) AS DATE)"
+
+
+def _g(pattern: str, k: int) -> str:
+    return f"regexp_extract(m, '(?i)^(?:{pattern})$', {k})"
+
+
+def _is(pattern: str) -> str:
+    return f"regexp_matches(m, '(?i)^(?:{pattern})$')"
+
+
+def _month(g: str) -> str:
+    return f"((strpos('{_MONTHS}', lower({g}[1:3])) + 2) // 3)"
+
+
+_R, _N, _D, _U, _I = K.DATE_REVISED, K.DATE_NAMED, K.DATE_DAY_FIRST, K.DATE_NUMERIC, K.DATE_ISO
+_ONE_MATCH = f"""CASE WHEN {_is(_R)} THEN [{_date_of(_g(_R, 4), _month(_g(_R, 1)), _g(_R, 2))}, {_date_of(_g(_R, 4), _month(_g(_R, 1)), _g(_R, 3))}]
+  WHEN {_is(_N)} THEN [{_date_of(_g(_N, 3), _month(_g(_N, 1)), _g(_N, 2))}] WHEN {_is(_D)} THEN [{_date_of(_g(_D, 3), _month(_g(_D, 2)), _g(_D, 1))}]
+  WHEN {_is(_U)} THEN [{_date_of(_g(_U, 3), _g(_U, 1), _g(_U, 2))}] ELSE [{_date_of(_g(_I, 1), _g(_I, 2), _g(_I, 3))}] END"""
+_EMAIL = K.EMAIL.replace(r"\w", r"\pL\pM\pN_")
+_EMAIL = r"[\pL\pM\pN_.+-]+@[\pL\pM\pN_-]+(?:\.[\pL\pM\pN_-]+)+"
+
+SQL: dict[str, str] = {
+    "page_records": f"WITH {_PAGES} SELECT package_id, role, count(*) AS pages, sum(length(text))::BIGINT AS chars FROM p GROUP BY ALL",
+    "package_documents": """
+      WITH listed AS (SELECT package_id, base AS id, 'base' AS role FROM packages WHERE base IS NOT NULL UNION ALL SELECT package_id, unnest(amendments), 'amendment' FROM packages UNION ALL SELECT package_id, unnest(attachments), 'attachment' FROM packages),
+        late AS (SELECT pk.package_id, m.id, 'attachment' AS role FROM manifest_documents m JOIN packages pk ON pk.base = m.attachment_of),
+        every AS (SELECT * FROM listed WHERE id IS NOT NULL UNION ALL SELECT * FROM late WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.package_id = late.package_id AND l.id = late.id))
+      SELECT every.package_id, every.id, every.role, coalesce(nullif(m.short, ''), m.title) AS label FROM every LEFT JOIN manifest_documents m USING (id)""",
+    "packages_without_items": "SELECT package_id, package_id IN (SELECT package_id FROM items WHERE package_id IS NOT NULL) AS has_items FROM packages",
+    "page_split": f"""WITH {_PAGES}, n AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY doc_id ORDER BY page, text) AS page, row_number() OVER (PARTITION BY doc_id ORDER BY page DESC, text DESC) AS back FROM p)
+      SELECT doc_id, page::INT AS page, md5(text) AS text_md5 FROM n""",
+    "rendering_pairs": f"""WITH {_PAGES}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS here, count(*) FILTER (coalesce(reading, '') <> '') OVER (PARTITION BY doc_id) AS there FROM p),
+        r AS (SELECT doc_id, page, coalesce(text, '') AS text, CASE WHEN here = there THEN coalesce(reading, '') ELSE '' END AS reading FROM c)
+      SELECT doc_id, page, length(reading)::INT AS reading_chars, (length(text) + CASE WHEN reading = '' THEN 0 ELSE 20 + length(reading) END)::INT AS searchable_chars FROM r""",
+    "blank_pages": f"WITH {_PAGES} SELECT doc_id, array_to_string(list_sort(list_distinct(list(page))), ',') AS blank FROM p WHERE length({_strip('text')}) < {K.BLANK_CHARS} GROUP BY doc_id",
+    "chunk_pack": f"""
+      WITH RECURSIVE {_PAGES}, s AS (SELECT doc_id, page, length({_strip('text')}) AS n FROM p), o AS (SELECT doc_id, page, n + {K.CHUNK_OVERHEAD} AS block, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) AS nth FROM s WHERE n > 0),
+        fold AS (SELECT doc_id, nth, page, block AS size, 0 AS chunk FROM o WHERE nth = 1
+          UNION ALL SELECT o.doc_id, o.nth, o.page, CASE WHEN f.size + o.block > {K.CHUNK_CHARS} THEN o.block ELSE f.size + o.block END, CASE WHEN f.size + o.block > {K.CHUNK_CHARS} THEN f.chunk + 1 ELSE f.chunk END
+          FROM fold f JOIN o ON o.doc_id = f.doc_id AND o.nth = f.nth + 1)
+      SELECT doc_id, chunk::INT AS chunk_idx, string_agg(page::VARCHAR, ',' ORDER BY nth) AS pages FROM fold GROUP BY doc_id, chunk""",
+    "footer_trim": f"""WITH {_PAGES}, f AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_SPACE}+$', ''), '(?i)(?:(?:^|\\n)(?:[^\\S\\n]*|{_FOOT}))+$', '') AS t FROM p)
+      SELECT page_id, length(t)::INT AS chars, md5(t) AS text_md5 FROM f""",
+    "content_hash": f"WITH {_PAGES} SELECT sha256(text) AS sha256, count(*) AS pages, min(page_id) AS first_page FROM p GROUP BY 1",
+    "package_roles": """WITH c AS (SELECT package_id, count(DISTINCT doc_id) FILTER (role = 'base') AS bases, count(DISTINCT doc_id) FILTER (role = 'amendment') AS amendments, count(DISTINCT doc_id) FILTER (role = 'attachment') AS attachments FROM pages GROUP BY 1)
+      SELECT *, bases = 1 AS valid FROM c""",
+    "word_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) GROUP BY word",
+    "squash_text": f"WITH {_ITEMS} SELECT seq, md5({_squash('quote')}) AS squashed_md5, len({_words('quote')})::BIGINT AS words FROM i",
+    "sentence_split": f"WITH {_SENT} SELECT document, page, count(*) AS sentences, sum(length(text))::BIGINT AS chars FROM s GROUP BY ALL",
+    "html_escaped": f"""WITH {_ITEMS}, b AS (SELECT id, title AS text FROM manifest_documents UNION ALL SELECT seq::VARCHAR, statement FROM i)
+      SELECT id, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM b""",
+    "file_names": "SELECT id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+', ''), '[-.]+$', '')[1:60], ''), 'document') AS name FROM manifest_documents",
+    "keyword_flags": f"WITH {_SENT} SELECT document, " + ", ".join(f"count(*) FILTER ({_has('text', p)}) AS {k}" for k, p in K.KEYWORDS.items()) + " FROM s GROUP BY document",
+    "find_dates": f"""WITH {_ITEMS}, x AS (SELECT seq, list_filter(flatten(list_transform(regexp_extract_all(translate(regexp_replace(coalesce(quote, ''), '\\p{{Zs}}', ' ', 'g'), '０１２３４５６７８９', '0123456789'), '(?i){_DATE}'), lambda m: {_ONE_MATCH})), lambda d: d IS NOT NULL) AS ds FROM i)
+      SELECT seq, array_to_string(list_transform(list_filter(ds, lambda d, k: list_position(ds, d) = k), lambda d: strftime(d, '%Y-%m-%d')), ',') AS dates FROM x""",
+    "display_dates": f"""WITH {_ITEMS}, x AS (SELECT seq, CASE WHEN regexp_matches(trim(coalesce(date, '')), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN try_cast(trim(date) AS DATE) END AS d, try_cast(split_part(coalesce(time, ''), ':', 1) AS INT) AS h, try_cast(split_part(coalesce(time, ''), ':', 2) AS INT) AS m FROM i)
+      SELECT seq, CASE WHEN d IS NULL THEN 'Not found' ELSE strftime(d, '%B %-d, %Y') || CASE WHEN h IS NOT NULL AND m IS NOT NULL THEN printf(', %d:%02d %s', CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END, m, CASE WHEN h >= 12 THEN 'PM' ELSE 'AM' END) ELSE '' END END AS long,
+        coalesce(strftime(d, '%b %-d, %Y'), 'Not stated') AS short FROM x""",
+    "quote_exact": f"WITH {_EXACT} SELECT seq, page FROM found",
+    "quote_status": f"""WITH {_EXACT} SELECT i.model, CASE WHEN f.page IS NULL THEN 'open' WHEN f.page IS NOT DISTINCT FROM i.page THEN 'exact' ELSE 'moved' END AS status, count(*) AS items FROM i LEFT JOIN found f USING (seq) GROUP BY ALL""",
+    "quote_overlap": f"""WITH {_PAGES}, {_ITEMS}, q AS (SELECT seq, document AS doc_id, page, list_distinct({_words('quote')}) AS qw FROM i), w AS (SELECT doc_id, page, {_words('text')} AS pw FROM p)
+      SELECT seq, round_even(len(list_intersect(qw, pw)) / len(qw), 6) AS overlap FROM q JOIN w USING (doc_id, page) WHERE len(qw) > 0""",
+    "coerce_replies": f"""WITH {_ITEMS}, c AS (SELECT seq, kind, {_strip('statement')} AS st, {_strip('quote')} AS qt, page FROM i WHERE page IS NOT NULL)
+      SELECT seq, kind, md5(st) AS statement_md5, md5(qt) AS quote_md5, page::BIGINT AS page FROM c WHERE qt <> '' AND kind IN ({', '.join(repr(k) for k in K.KINDS)})""",
+    "reclassified": f"""WITH {_ITEMS}, a AS (SELECT *, coalesce(statement, '') AS s FROM i), w AS (SELECT *, regexp_extract(s, '(?i){K.KEYWORDS['questions']}') AS qw, regexp_extract(s, '(?i){K.RESPONSE_WORDS}') AS rw FROM a),
+        pos AS (SELECT *, CASE WHEN qw = '' THEN 0 ELSE length(string_split_regex(s, '(?i){K.KEYWORDS['questions']}')[1]) + 1 END AS q, CASE WHEN rw = '' THEN 0 ELSE length(string_split_regex(s, '(?i){K.RESPONSE_WORDS}')[1]) + 1 END AS r FROM w),
+        k1 AS (SELECT *, CASE WHEN kind = 'response_due' AND q > 0 AND (r = 0 OR q < r) THEN 'questions_due' ELSE kind END AS a1 FROM pos),
+        k2 AS (SELECT *, CASE WHEN a1 IN ('response_due', 'questions_due') AND coalesce(date, '') = '' THEN 'other_deadline' ELSE a1 END AS a2 FROM k1),
+        k3 AS (SELECT *, CASE WHEN a2 IN ({', '.join(repr(k) for k in K.GENERAL_KINDS)}) AND regexp_matches(s, '(?i){K.NAICS_CODE}') THEN 'naics' WHEN a2 IN ({', '.join(repr(k) for k in K.GENERAL_KINDS)}) AND regexp_matches(s, '(?i){K.SET_ASIDE_WORDS}') THEN 'set_aside' ELSE a2 END AS a3 FROM k2)
+      SELECT seq, CASE WHEN a3 = 'evaluation_factor' AND regexp_matches(s, '(?i){K.GOALS}') THEN 'participation_goal' ELSE a3 END AS kind FROM k3""",
+    "amendments": f"""WITH {_ITEMS}, l AS (SELECT package_id, kind, document, date, row_number() OVER (PARTITION BY package_id, kind ORDER BY date DESC, seq) AS nth FROM i WHERE kind IN ({', '.join(repr(k) for k in K.DEADLINE_KINDS)}) AND role = 'amendment' AND coalesce(date, '') <> '')
+      SELECT i.seq, l.document AS superseded_by FROM i JOIN l ON l.package_id = i.package_id AND l.kind = i.kind AND l.nth = 1 WHERE i.role = 'base' AND coalesce(i.date, '') <> '' AND i.date <> l.date""",
+    "equal_quotes": f"""WITH {_ITEMS}, g AS (SELECT min(seq) AS seq, count(*) AS items, list_sort(list_distinct(list(page) FILTER (page IS NOT NULL))) AS pages FROM (SELECT *, {_squash('quote')} AS q FROM i) WHERE q <> '' GROUP BY package_id, kind, document, q)
+      SELECT seq, items, array_to_string(coalesce(pages, []), ',') AS pages FROM g WHERE items > 1""",
+    "key_facts": f"""WITH {_ITEMS}, live AS (SELECT * FROM i WHERE {_LIVE}), f AS ({_dated('response_due')} UNION ALL {_dated('questions_due')} UNION ALL {_best('submission_method', "'submission_method', 'response_due'", _SUBMIT_RANK, 3)}
+        UNION ALL {_best('basis_of_award', "'basis_of_award'", _AWARD_RANK, 0)} UNION ALL {_first('page_limit')} UNION ALL {_first('set_aside')} UNION ALL {_first('naics')})
+      SELECT package_id, fact, seq, nullif(date, chr(0)) AS date, CASE WHEN page = -1 THEN NULL ELSE page END AS page FROM f""",
+    "report_stats": f"""WITH {_ITEMS} SELECT package_id, count(*) FILTER ({_LIVE} AND verification IS DISTINCT FROM 'missing') AS kept, count(*) FILTER (NOT ({_LIVE})) AS superseded, count(*) FILTER (verification = 'missing') AS rejected,
+        count(*) FILTER (verification = 'exact') AS exact, count(*) FILTER (verification = 'fuzzy') AS fuzzy, count(*) FILTER (verification = 'assembled') AS assembled, count(*) FILTER (len(warnings) > 0) AS warnings FROM i GROUP BY package_id""",
+    "category_sections": f"WITH {_ITEMS}, c AS (SELECT package_id, {_CATEGORY} AS category, count(*) AS items FROM i GROUP BY ALL) SELECT package_id, category, items, ({_SECTION})::BIGINT AS section FROM c",
+    "stats_by_model": f"""WITH {_ITEMS}, g AS (SELECT model, package_id, count(*) FILTER (verification IN ('exact', 'fuzzy', 'assembled')) AS verified, count(*) AS items FROM i GROUP BY ROLLUP (model, package_id))
+      SELECT *, CASE WHEN items = 0 THEN '0%' ELSE printf('%d/%d (%d%%)', verified, items, round_even(100.0 * verified / items, 0)::INT) END AS share FROM g""",
+    "redact_contacts": f"""WITH {_ITEMS}, r AS (SELECT seq, quote, regexp_replace(regexp_replace(coalesce(quote, ''), '{_EMAIL}', '[email]', 'g'), '(?i){K.PHONE}', '[phone]', 'g') AS redacted FROM i) SELECT seq, redacted FROM r WHERE redacted <> quote""",
+    "cite_labels": f"WITH {_TITLED} SELECT seq, {_CITE} AS label FROM t",
+    "markdown_items": f"""WITH {_TITLED}, l AS (SELECT package_id, {_CATEGORY} AS category, seq,
+          list_concat(['- [ ] ' || CASE WHEN {_LIVE} THEN '' ELSE '~~' END || coalesce(statement, '') || CASE WHEN {_LIVE} THEN '' ELSE '~~' END || CASE WHEN coalesce(weight, '') <> '' THEN ' **' || weight || '**' ELSE '' END || ' (' || {_CITE} || ')',
+            '  > ' || coalesce(quote, '')], list_transform(coalesce(warnings, []), lambda w: '  - Check: ' || w)) AS ls FROM t)
+      SELECT package_id, ({_SECTION})::BIGINT AS section, seq, (unnest(range(len(ls))))::BIGINT AS nth, unnest(ls) AS line FROM l""",
+}
