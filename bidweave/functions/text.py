@@ -62,9 +62,11 @@ def sentences(c: Column) -> Column:
 
 
 def strip_footer(c: Column) -> Column:
-    """Without the lines at the end that are blank or page numbers."""
-    line = rf"(?:(?:^|\n)(?:[^\S\n]*|{K.FOOTER}))+$"
-    return F.regexp_replace(F.regexp_replace(empty(c), r"(?U)\s+$", ""), "(?i)" + line, "")
+    """Without the lines at the end that are blank or page numbers: the lines up to the last one that is neither."""
+    lines = F.split(F.regexp_replace(empty(c), r"(?U)\s+$", ""), "\n")
+    furniture = rf"(?i)^(?:[^\S\n]*|{K.FOOTER})$"
+    last = F.array_max(F.transform(lines, lambda x, i: F.when(x.rlike(furniture), 0).otherwise(i + 1)))
+    return F.array_join(F.slice(lines, 1, F.coalesce(last, F.lit(0))), "\n")
 
 
 def html_escape(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bidweave.functions import constants as K
 from bidweave.functions import dates as D
 from bidweave.functions.text import has, sentences
+from bidweave.session import written
 
 
 def page_sentences(pages: DataFrame) -> DataFrame:
@@ -35,7 +36,8 @@ def baseline(pages: DataFrame) -> DataFrame:
     that names a response.
     """
     s = flagged(pages).withColumn("dates", D.find_dates(F.col("text"))).withColumn("times", D.find_times(F.col("text")))
-    s = s.withColumn("at", F.struct((F.col("role") != "amendment").alias("later"), "document", "page", "nth"))
+    # read three times below; written once, no pattern is tried twice on a sentence
+    s = written(s.withColumn("at", F.struct((F.col("role") != "amendment").alias("later"), "document", "page", "nth")), "sentences")
     is_dated = F.size("dates") > 0
     asks = is_dated & F.col("questions") & F.col("due")
     answers = is_dated & F.col("due") & F.col("response")

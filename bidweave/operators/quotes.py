@@ -102,11 +102,16 @@ def window_ratio(quote: list[str], page: list[str], floor: float = 0.0) -> float
     held[:, 36] -= 1
     bound = 2.0 * np.minimum(held, own).sum(axis=1) / (held.sum(axis=1) + own.sum())
     best, target = 0.0, " ".join(quote)
+    # what a start's longest window has in common with the quote bounds its shorter windows too
+    common: dict[int, int] = {}
     for k in np.argsort(-bound, kind="stable"):
         if bound[k] <= best or bound[k] < floor:
             break
         window = " ".join(page[begin[k] : end[k]])
-        most = 2.0 * _common(target, window) / (len(target) + len(window))
+        at = int(begin[k])
+        if at not in common:
+            common[at] = _common(target, " ".join(page[at : at + int(sizes[-1])]))
+        most = 2.0 * min(common[at], len(window)) / (len(target) + len(window))
         if most <= best or most < floor:
             continue
         # likeness depends on the order of its arguments: the quote is the first
