@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.session import written
@@ -41,6 +41,8 @@ MOST_FREQUENT = 512
 TINY = 6
 SKETCH_WORDS = 4
 PAIRS_AT_ONCE = 2_000_000
+#: Up to so many rows (16 bytes each) that repeat a class are broadcast.
+FEW_COPIES = 1_000_000
 
 
 def words_of(*columns: Column) -> Column:
@@ -139,8 +141,17 @@ def _signatures(token: np.ndarray, offsets: np.ndarray, order: _Order, t: float)
     return tuple(np.concatenate(x) for x in zip(*out)), size
 
 
-def _blocks(order: _Order, t: float, buckets: int):
+def _labels(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that hash partitioning sends to ``n`` different partitions."""
+    bucket = F.col("id").cast("int").alias("bucket")
+    held = spark.range(40 * n + 400).select(bucket).withColumn("to", F.pmod(F.hash("bucket"), F.lit(n))).groupBy("to").agg(F.min("bucket").alias("b")).collect()
+    found = {r["to"]: r["b"] for r in held}
+    return [found.get(k, 40 * n + 400 + k) for k in range(n)]
+
+
+def _blocks(order: _Order, t: float, labels: list[int]):
     """Arrow batches of (rid, tokens) -> one row of packed columns for each bucket."""
+    buckets = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,12 +171,14 @@ def _blocks(order: _Order, t: float, buckets: int):
                 if not len(r):
                     continue
                 used, loc = np.unique(r, return_inverse=True)
-                cols["bucket"].append(b)
+                cols["bucket"].append(labels[b])
                 cols["rid"].append(rid[used].tobytes())
                 cols["size"].append(size[used].astype(np.int32).tobytes())
                 cols["bits"].append(bits[used].tobytes())
-                cols["sig"].append(sig[ends[b] : ends[b + 1]].tobytes())
-                cols["loc"].append((loc.astype(np.uint32) * 2 + short[ends[b] : ends[b + 1]]).astype(np.uint32).tobytes())
+                # inside a bucket 32 bits tell signatures apart well enough: a clash only adds candidates
+                cols["sig"].append((sig[ends[b] : ends[b + 1]] >> np.uint64(32)).astype(np.uint32).tobytes())
+                place = loc.astype(np.uint32) * 2 + short[ends[b] : ends[b + 1]]
+                cols["loc"].append(place.astype(np.uint16 if len(used) < 1 << 15 else np.uint32).tobytes())
             yield pa.RecordBatch.from_pydict(
                 {"bucket": pa.array(cols["bucket"], pa.int32())} | {k: pa.array(cols[k], pa.binary()) for k in ("rid", "size", "bits", "sig", "loc")})
 
@@ -212,9 +225,9 @@ def _lists(t: float, hot_list: int):
         rid = np.concatenate([np.frombuffer(r["rid"], np.int64) for r in rows])
         size = np.concatenate([np.frombuffer(r["size"], np.int32) for r in rows])
         bits = np.concatenate([np.frombuffer(r["bits"], np.uint64).reshape(-1, SKETCH_WORDS) for r in rows])
-        sig = np.concatenate([np.frombuffer(r["sig"], np.uint64) for r in rows])
+        sig = np.concatenate([np.frombuffer(r["sig"], np.uint32) for r in rows])
         base = np.cumsum([0] + [len(r["size"]) // 4 for r in rows])
-        packed = [np.frombuffer(r["loc"], np.uint32) for r in rows]
+        packed = [np.frombuffer(r["loc"], np.uint16 if len(r["loc"]) * 2 == len(r["sig"]) else np.uint32) for r in rows]
         loc = np.concatenate([(p >> 1).astype(np.int64) + s for p, s in zip(packed, base)])
         short = np.concatenate([(p & 1).astype(bool) for p in packed])
         # signatures of one record only are dropped before anything is moved
@@ -369,13 +382,14 @@ def similar_sets(sets: DataFrame, threshold: float = 0.7, list_length: int = 200
     spark = sets.sparkSession
     order, n = _order(sets, list_length)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = blocks or max(2 * parts, math.ceil(n * 50 / 1_000_000))
+    buckets = blocks or max(parts, math.ceil(n * 50 / 2_000_000))
+    labels = _labels(spark, buckets)
     shared = spark.sparkContext.broadcast(order)  # of fixed size: see SKETCH_BITS and MOST_FREQUENT
 
     def blocks_of(batches):
-        yield from _blocks(shared.value, threshold, buckets)(batches)
+        yield from _blocks(shared.value, threshold, labels)(batches)
 
-    packed = sets.mapInArrow(blocks_of, BLOCK).repartition(min(buckets, max(parts, buckets // 4)), "bucket").sortWithinPartitions("bucket")
+    packed = sets.mapInArrow(blocks_of, BLOCK).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     sifted = written(packed.mapInArrow(_lists(threshold, hot_list), "a long, b long, left binary, right binary"), "sifted")
     hot = sifted.where("left IS NOT NULL").select("left", "right").repartition(parts)
     candidates = sifted.where("left IS NULL").select("a", "b").unionByName(hot.mapInArrow(_hot(threshold), "a long, b long")).distinct()
@@ -387,11 +401,11 @@ def similar_sets(sets: DataFrame, threshold: float = 0.7, list_length: int = 200
 
 
 def token_sets(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """A written table (key, tokens, h): each record's words as sorted hashes, without records that have no word or no
+    """A written table (key, tokens, h, row): each record's words as sorted hashes, without records that have no word or no
     key. Rows that repeat a key and its words stay."""
     base = (
         df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), tokens_of(words_of(*[F.col(c) for c in columns])).alias("tokens"))
-        .where(F.size("tokens") > 0).withColumn("h", F.xxhash64("tokens"))
+        .where(F.size("tokens") > 0).withColumn("h", F.xxhash64("tokens")).withColumn("row", F.monotonically_increasing_id())
     )
     return written(base, "tokens")
 
@@ -409,11 +423,16 @@ def near_duplicates(df: DataFrame, key: str, *columns: str, threshold: float = 0
     other columns are ignored.
     """
     base = token_sets(df, key, *columns)
-    reps = written(base.groupBy("h", "tokens").agg(F.min("key").alias("rid")), "sets")
-    ids = base.select("key", "h", F.size("tokens").alias("n"), F.hash("tokens").alias("h2")).distinct()
-    classes = reps.select("rid", "h", F.size("tokens").alias("n"), F.hash("tokens").alias("h2"))
-    members = written(ids.join(classes, ["h", "n", "h2"]).select("key", "rid"), "members")
-    links = similar_sets(reps.select("rid", "tokens"), threshold)
+    rows = base.select("row", "key", "h", F.size("tokens").alias("n"), F.hash("tokens").alias("h2"))
+    first = F.min(F.struct("key", "row"))
+    classes = rows.groupBy("h", "n", "h2").agg(first.alias("f")).select("h", "n", "h2", F.col("f.key").alias("rid"), F.col("f.row").alias("first"))
+    placed = written(rows.join(classes, ["h", "n", "h2"]).select("row", "key", "rid", "first"), "members")
+    members = placed.select("key", "rid").distinct()
+    copies = placed.where(F.col("row") != F.col("first")).select("row")
+    # only the first row of each class goes on; where copies are few, they are sent to all tasks instead of moving the sets
+    few = copies.count() <= FEW_COPIES
+    reps = written(base.join(F.broadcast(copies) if few else copies, "row", "left_anti").select(F.col("key").alias("rid"), "tokens"), "sets")
+    links = similar_sets(reps, threshold)
     held = members.groupBy("rid").agg(F.count("*").alias("copies"))
     shown = members.join(held, "rid").where((F.col("copies") <= expand) | (F.col("key") == F.col("rid"))).select("key", "rid")
     across = (
