@@ -9,6 +9,7 @@ from bidweave.functions import constants as K
 from bidweave.functions import dates as D
 from bidweave.functions import text as T
 from bidweave.operators import facts, items, keyword, pages, quotes, redaction, replies, reports, scoring
+from bidweave.plans import pipeline
 from bidweave.plans.sql import SQL  # noqa: F401
 from bidweave.sources.tables import records, table
 
@@ -306,6 +307,12 @@ def stats_by_model(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("share", T.percent(F.col("verified"), F.col("items")))
 
 
+@query
+def analyzed(spark: SparkSession, d: str) -> DataFrame:
+    """The whole analysis of the extracted items: counts of each package."""
+    return pipeline.analyze(records(spark, d, "items"), records(spark, d, "pages")).stats
+
+
 # baseline and scoring
 
 

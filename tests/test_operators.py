@@ -262,3 +262,39 @@ def test_files(spark, tmp_path):
     assert errors == {"a": None, "b": "exactly one base document is needed", "c": "no files", "d": "not a PDF", "e": "no files"}
     names = spark.createDataFrame([(0, "z.pdf"), (1, "Amendment_2.pdf"), (2, "map.pdf")], "at int, name string")
     assert [r["r"] for r in names.select(files.guessed_role(F.col("at"), F.col("name")).alias("r")).collect()] == ["base", "amendment", "attachment"]
+
+
+def test_analysis_and_report(spark):
+    from bidweave.plans import pipeline
+
+    p = spark.createDataFrame(PAGES, "doc_id string, page int, text string, reading string")
+    rows = [
+        item(1, "required_content", "Deliver it", "deliver the approach/solution within thirty days", page=1), item(2, "required_content", "Deliver it", "deliver the approach/solution within thirty days", page=2),
+        item(3, "naics", "Invented", "an invented sentence about submarines and volcanoes in space", page=1),
+    ]
+    done = pipeline.analyze(frame(spark, rows), p)
+    assert [(r["seq"], r["page"], len(r["warnings"])) for r in done.items.collect()] == [(1, 2, 1)]
+    assert [r["seq"] for r in done.rejected.collect()] == [3]
+    s = done.stats.first()
+    assert (s["kept"], s["rejected"], s["warnings"]) == (1, 1, 1)
+    packages = spark.createDataFrame([("p", "Title", "d")], "package_id string, title string, base string")
+    manifest = spark.createDataFrame([("d", "Doc", None)], "id string, title string, short string")
+    lines = [r["line"] for r in pipeline.report(done, packages, manifest).orderBy("part", "section", "seq", "nth").collect()]
+    assert lines[0] == "# Title" and "- [ ] Deliver it (p. 2)" in lines and lines[-1] == "- Invented (claimed p. 1)"
+
+
+def test_command(spark, tmp_path, monkeypatch):
+    from bidweave import __main__ as command
+
+    (tmp_path / "base.txt").write_text("Offers shall be delivered to pat.quill@example.gov by the portal.\f")
+    monkeypatch.setattr(command, "local_session", lambda: spark)
+    command.main(["baseline", str(tmp_path / "base.txt"), "--out", str(tmp_path / "out"), "--redact-contacts"])
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert {r["kind"] for r in got} == {"required_content", "submission_method"} and all("[email]" in r["quote"] for r in got)
+
+
+def test_landing_stream_counts_each_record_once(spark, small):
+    from bidweave.plans import catalog
+
+    counted = catalog.landed_items(spark, small).selectExpr("sum(items) AS n").first()["n"]
+    assert counted == spark.read.parquet(f"{small}/items.parquet").where("extracted_at IS NOT NULL").select("seq").distinct().count()
