@@ -37,6 +37,21 @@ LOOKALIKES = {
     # letters of the phonetic alphabet
     "ɡ": "g", "ɑ": "a", "ɩ": "i",
 }
+
+
+def _accented() -> dict[str, str]:
+    """The same letters with accents in one piece, where the Latin letter has that form too."""
+    out = {}
+    for code in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0] in LOOKALIKES:
+            form = unicodedata.normalize("NFC", LOOKALIKES[parts[0]] + parts[1:])
+            if len(form) == 1:
+                out[chr(code)] = form
+    return out
+
+
+LOOKALIKES |= _accented()
 #: Invisible although not of the category Cf.
 BLANKS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\u2800"
 #: Of the category Cf but seen.

@@ -11,7 +11,7 @@ Two records are near-duplicates when their distinct words overlap in at least ``
    tokens still shares enough of them: tokens rare enough to list by themselves are signatures, of more frequent ones
    pairs are, of the most frequent ones triples. Any two near-duplicates share a signature. The frequencies at which
    pairs and triples begin follow from the number of records, so that the expected lists stay as long at every size.
-4. Signatures are shuffled in column blocks, listed, and pairs on a list are sifted by size and by a 256-bit sketch of
+4. Signatures are shuffled in column blocks, listed, and pairs on a list are sifted by size and by a 192-bit sketch of
    the words (a lower bound of the difference, so nothing is lost).
 5. What is left is verified on the words themselves.
 
@@ -39,7 +39,7 @@ SKETCH_BITS = 17
 MOST_FREQUENT = 512
 #: Sets of at most so many words may be too small to form pairs or triples; they list single words besides.
 TINY = 6
-SKETCH_WORDS = 4
+SKETCH_WORDS = 3
 PAIRS_AT_ONCE = 2_000_000
 #: Up to so many rows (16 bytes each) that repeat a class are broadcast.
 FEW_COPIES = 1_000_000
@@ -93,7 +93,7 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
 
 
 def _bits(token: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """A sketch of each set: words hashed to 256 bits, each bit the parity of its words."""
+    """A sketch of each set: words hashed to bits, each bit the parity of its words."""
     bit = (_mix(token.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH_WORDS)
     parity = np.bincount(row * (64 * SKETCH_WORDS) + bit, minlength=n * 64 * SKETCH_WORDS).astype(np.uint8) & 1
     return np.packbits(parity.reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
@@ -173,7 +173,7 @@ def _blocks(order: _Order, t: float, labels: list[int]):
                 used, loc = np.unique(r, return_inverse=True)
                 cols["bucket"].append(labels[b])
                 cols["rid"].append(rid[used].tobytes())
-                cols["size"].append(size[used].astype(np.int32).tobytes())
+                cols["size"].append(size[used].astype(np.uint16 if size.max() < 1 << 16 else np.uint32).tobytes())
                 cols["bits"].append(bits[used].tobytes())
                 # inside a bucket 32 bits tell signatures apart well enough: a clash only adds candidates
                 cols["sig"].append((sig[ends[b] : ends[b + 1]] >> np.uint64(32)).astype(np.uint32).tobytes())
@@ -223,10 +223,10 @@ def _lists(t: float, hot_list: int):
 
     def bucket_of(rows: list[dict]) -> Iterator[dict]:
         rid = np.concatenate([np.frombuffer(r["rid"], np.int64) for r in rows])
-        size = np.concatenate([np.frombuffer(r["size"], np.int32) for r in rows])
+        size = np.concatenate([np.frombuffer(r["size"], np.uint16 if len(r["size"]) * 4 == len(r["rid"]) else np.uint32) for r in rows]).astype(np.int64)
         bits = np.concatenate([np.frombuffer(r["bits"], np.uint64).reshape(-1, SKETCH_WORDS) for r in rows])
         sig = np.concatenate([np.frombuffer(r["sig"], np.uint32) for r in rows])
-        base = np.cumsum([0] + [len(r["size"]) // 4 for r in rows])
+        base = np.cumsum([0] + [len(r["rid"]) // 8 for r in rows])
         packed = [np.frombuffer(r["loc"], np.uint16 if len(r["loc"]) * 2 == len(r["sig"]) else np.uint32) for r in rows]
         loc = np.concatenate([(p >> 1).astype(np.int64) + s for p, s in zip(packed, base)])
         short = np.concatenate([(p & 1).astype(bool) for p in packed])
