@@ -133,7 +133,18 @@ QUERIES = {
 }
 
 _ENDS = "regexp_replace(regexp_replace(text, '^[\\s\\x1c-\\x1f\\x0b\\x{85}\\p{Z}]+', ''), '[\\s\\x1c-\\x1f\\x0b\\x{85}\\p{Z}]+$', '')"
+_WORDS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+_GRAMS = "SELECT DISTINCT {k}, unnest(list_transform(range(1, len(w) - 10), lambda n: array_to_string(w[n:n + 11], ' '))) AS g FROM {t}"
 SQL: dict[str, str] = {
+    "p1_found": f"""
+        WITH s AS (SELECT DISTINCT seq, list_distinct({_WORDS.format("coalesce(statement, '') || ' ' || coalesce(quote, '')")}) AS ws FROM items WHERE seq IS NOT NULL),
+          t AS (SELECT seq, len(ws) AS n, unnest(ws) AS w FROM s),
+          b AS (SELECT x.seq AS seq_a, y.seq AS seq_b, any_value(x.n + y.n) AS n, count(*) AS common FROM t x JOIN t y ON x.w = y.w AND x.seq < y.seq AND x.n >= 0.7 * y.n AND y.n >= 0.7 * x.n GROUP BY 1, 2)
+        SELECT seq_a, seq_b FROM b WHERE common >= 0.7 * (n - common) - 1e-9""",
+    "p6_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM eval_items),
+          dg AS ({_GRAMS.format(k="doc_id", t="d")}), ig AS ({_GRAMS.format(k="item_id", t="i")})
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
     "p4_found": f"""
         SELECT DISTINCT 'page' AS record_kind, page_id AS record_id FROM pages WHERE length(text) > 9000 AND length({_ENDS}) > 9000
         UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE length(text) > 9000 AND length({_ENDS}) > 9000""",
