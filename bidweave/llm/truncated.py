@@ -25,8 +25,8 @@ from bidweave.session import written
 
 #: What may stand at the end of a finished value.
 TERMINAL = r"[.!?;:)\]}\"'”’»。．！？；：]\s*$"
-#: What only a cut leaves at the end: an ellipsis, a broken character, a hyphen behind a letter, a comma, an open bracket.
-MARK = r"(?:\.\.\.|…|\x{FFFD}|\p{L}-|[,(\[{<&/]|\s[-–—])\s*$"
+#: What only a cut leaves at the end: an ellipsis, a broken character, a hyphen behind a letter, a comma, an open bracket, a broken character reference.
+MARK = r"(?:\.\.\.|…|\x{FFFD}|\p{L}-|[,(\[{</]|&(?:#\w{0,6}|am?p?|lt?|gt?|qu?o?t?|nb?s?p?|apo?s?)?|\s[-–—])\s*$"
 #: A limit's spike: at least so many values, and so many times what the lengths before it lead to expect.
 LEAST, TIMES = 4, 6
 #: Share of the spike that may lie beyond it, and share of unfinished values up to which a source counts as one that

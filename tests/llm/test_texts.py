@@ -25,8 +25,8 @@ def test_limit_mark_habit_and_ending(spark):
             if not text.endswith("."):
                 cut.add(k)
         rows.append((k, "limited", text, ""))
-    rows += [(2000, "free", "The vendor delivers the crane and the…", ""), (2001, "free", "The vendor delivers the cra�", " "), (2002, "free", "The vendor delivers the crane and the", None), (2003, None, "Ends well.", "x"), (None, "free", "The vendor deliv", None)]
-    cut |= {2000, 2001, 2002}
+    rows += [(2000, "free", "The vendor delivers the crane and the…", ""), (2001, "free", "The vendor delivers the cra�", " "), (2002, "free", "The vendor delivers the crane and the", None), (2003, None, "Ends well.", "x"), (2004, "free", "The vendor delivers the crane to the pla&am", "R&D."), (None, "free", "The vendor deliv", None)]
+    cut |= {2000, 2001, 2002, 2004}
     df = spark.createDataFrame([(*x, "clash") for x in rows + rows[-5:]], "seq long, model string, quote string, statement string, source string")
     got, values = truncated.truncated(df, "seq", "model", ["quote", "statement"])
     found = {(x["key"], x["field"]): x["reason"] for x in got.collect()}
