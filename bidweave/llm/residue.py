@@ -37,6 +37,10 @@ _LOREM = "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tem
 FILLER = rf"(?i)\b(?:{_LOREM})(?:\W+(?:{_LOREM})\b){{3,}}" + "|" + "|".join([
     r"(?i)\btest entry \d*,? ?please ignore", r"(?i)\btesting(?:\W+\d)+\W+testing\b", r"(?i)\bthis is (?:only |just )?a test\b", r"(?i)\b(?:put|insert|add|write|place|type|enter) (?:the|your|a) [\w ]{0,40}\b(?:in this space|goes here|text here|here\b)",
     r"(?i)\b(?:text|description|content|summary) (?:goes|to go|to come) here\b", r"(?i)\b(?:sample|dummy|placeholder|filler) (?:text|copy|content)\b[^.]{0,20}(?:here|ignore|$)", r"(?i)\basdf(?:gh)?\b|\bqwerty\b|\bfoo bar\b|\bblah blah\b",
+    r"(?i)^\W*(?:to ?do|tbd|fixme)\s*[:\-–]\s*\w+(?:\W+\w+){0,4}\W*$", r"(?i)\b(?:dummy|sample|example|placeholder|filler|mock)\b[\w ]{0,40}\b(?:layout purposes|only\W+(?:please )?(?:overwrite|replace|delete)|to be replaced|to be overwritten|placeholder)\b",
+    r"(?i)\b(?:text|copy|content|paragraph|title|heading|headline|image|caption) placeholder\b", r"(?i)\bcontent for layout\b|\bfor layout purposes\b", r"(?i)\bto be replaced by the (?:author|editor|writer)\b|\bonly\W{1,4}overwrite\b|\boverwrite this\b|\breplace this (?:text|paragraph|sentence|section|with)\b",
+    r"(?i)\b(?:write|put|add|enter) (?:a|one|two|three|some|your)\b[\w ]{0,40}\b(?:sentences?|paragraphs?|words|lines)\b[\w ]{0,40}\b(?:here|in place of this|instead of this|below this)\b", r"(?i)\byour [\w ]{0,30}\b(?:text|paragraph|content|title|heading|name|logo|copy)\b[\w ]{0,12}\b(?:goes )?here\b",
+    r"(?i)\b(?:paragraph|heading|title|copy|image|table|chart) goes here\b", r"(?i)^\W*(?:sub)?heading(?: (?:one|two|three|\d))?\W*$", r"(?i)\bthis (?:section|page|text|paragraph) (?:is )?intentionally left (?:as )?(?:filler|placeholder)\b",
     r"(?i)\bcoming soon\b\W*$", r"(?i)\bto be (?:written|supplied|filled in) later\b",
 ])
 _SCRIPT = r"(?:java ?script|scripts?|scripting|active content|cookies)"
@@ -44,14 +48,14 @@ NOTICE = "(?i)" + "|".join([
     rf"\b(?:enable|enabling|activate|switch on|turn on|allow|permit|accept|needs?|requires?|without|only works with)\b.{{0,30}}\b{_SCRIPT}\b",
     rf"\b{_SCRIPT}\b.{{0,30}}\b(?:is|are|appears?(?: to be)?|must be|needs? to be|seems?)\b.{{0,20}}\b(?:blocked|disabled|off|required|enabled|needed|turned off|switched off)\b",
     r"\b(?:update|upgrade|change) (?:the|your) browser\b", r"\byour browser\b.{0,40}\b(?:out of date|outdated|old|not supported|unsupported|cannot|can't|does not|doesn't)\b", r"\bbrowser (?:is )?(?:not|no longer) supported\b",
-    r"\bturn (?:off|on)\b.{0,30}\b(?:ad ?blocker|in your browser)\b", r"\bdisable\b.{0,20}\bad ?blocker\b", r"\bcomplete the captcha\b|\bnot a robot\b|\bverify (?:that )?you are human\b", "<noscript", r"\bwill not load without them\b",
+    r"\bturn (?:off|on)\b.{0,30}\b(?:ad ?blocker|in your browser)\b", r"\bdisable\b.{0,20}\bad ?blocker\b", r"\bcomplete the captcha\b|\bnot a robot\b|\bverif(?:y|ying) (?:that )?you are (?:a )?human\b|\bchecking your browser\b", "<noscript", r"\bwill not load without them\b",
     r"\b(?:active|activar|habilite|habilitar|acepte|aceptar|permita|permitir)\b.{0,20}\b(?:javascript|cookies|scripts?)\b", r"\bnavegador\b.{0,40}\b(?:no (?:es|está|admite|soporta)|obsoleto|compatible|desactualizado)\b",
     r"\b(?:activer|activez|accepter|acceptez|autoriser|autorisez)\b.{0,20}\b(?:javascript|cookies|scripts?)\b", r"\bnavigateur\b.{0,40}(?:pas pris en charge|obsol|n'est plus|incompatible)",
     r"\b(?:javascript|cookies|skripte?)\b.{0,30}\b(?:aktivier|akzeptier|einschalt|erlaub|zulass|anschalt)", r"\b(?:aktivieren|akzeptieren|erlauben) sie\b.{0,30}\b(?:javascript|cookies|skripte?)\b", r"\bbrowser\b.{0,20}(?:nicht unterst|veraltet)",
 ])
 _THING = r"(?:page|site|website|portal|service|listing|tender|bid|notice|document|record|file|attachment|solicitation|amendment|folder|view|application|app|request|resource|content|link|url|item|board|viewer)"
 ERROR = "(?i)" + "|".join([
-    rf"\b(?:the|this|that|requested)\b.{{0,30}}\b{_THING}\b.{{0,12}}\b(?:has expired|failed to (?:load|open)|timed out|was blocked|returned an empty response|(?:is|was) no longer (?:hosted|available|here|online)|(?:could|can) ?not be (?:opened|located|found|displayed|shown|reached|loaded|retrieved)|can't be (?:found|shown|displayed|reached|opened)|(?:is|was) (?:currently |temporarily )?(?:not available|not found|unavailable|offline|down)|has (?:been )?(?:moved|removed)|does(?: not|n't) exist|is down for)\b",
+    rf"\b(?:the|this|that|requested)\b.{{0,30}}\b{_THING}\b.{{0,12}}\b(?:has expired|failed to (?:load|open)|timed out|was blocked|returned an empty response|(?:is|was) no longer (?:hosted|available|here|online)|(?:could|can) ?not be (?:opened|located|found|displayed|shown|reached|loaded|retrieved)|can't be (?:found|shown|displayed|reached|opened)|(?:is|was) (?:currently |temporarily )?(?:not available|not found|unavailable|offline|down)|has (?:been )?(?:moved|removed|deleted)|is gone|was deleted|does(?: not|n't) exist|is down for)\b",
     r"\bpage (?:was )?not found\b", r"\bhttp(?: error)? [45]\d\d\b", r"^\W*(?:error|status|code)?\W*[45]\d\d\W*(?:$|:|[-–—])", r"\berror (?:code )?[45]\d\d\b", r"\bfatal error\b|\bunhandled exception\b|\bstack ?trace\b|\bnull reference\b|\bnullpointer|\btraceback \(|\b\w+(?:error|exception)\b at \w|\bsegmentation fault\b|\btimeout after \d",
     r"\bgateway\b.{0,20}\b(?:no valid answer|timed? ?out|timeout|error)\b", r"\bupstream server\b", r"\b(?:your )?session (?:has )?(?:timed out|expired|ended)\b", r"\btoo many requests\b|\bslow down and try\b|\brate limit exceeded\b", r"\b(?:hit a snag|something went wrong)\b",
     r"\bcould ?n[o']t find (?:that|this|the) " + _THING, r"\bdown for (?:scheduled|planned|routine)?\s*(?:upkeep|maintenance)\b|\bunder maintenance\b", r"\binternal server error\b|\bbad gateway\b|\bservice unavailable\b|\bforbidden\b\W*$|^\W*access denied\W*$|\byou (?:do not|don't) have (?:permission|access)\b",
@@ -59,7 +63,7 @@ ERROR = "(?i)" + "|".join([
     r"\bp[aá]gina\b.{0,30}\b(?:no existe|no encontrada|no (?:está )?disponible)|\bno se (?:ha )?(?:encontr|pudo)\w*.{0,20}\bp[aá]gina\b|\b(?:servicio|sitio|portal)\b.{0,30}\b(?:no (?:está )?disponible|fuera de servicio|en mantenimiento)|\bsu sesión (?:ha )?(?:caducado|expirado|caducó|expiró)|\bint[eé]ntelo (?:de nuevo )?más tarde|\bvuelva a intentarlo",
     r"\b(?:page|document|ressource|fichier)\b.{0,20}\bintrouvable|\berreur\s*\d{3}|\b(?:votre )?session (?:a )?expir|\b(?:service|site|page|portail)\b.{0,20}\bindisponible|\b(?:en|de) maintenance\b.{0,30}\bplus tard|\bréessayez plus tard|\berreur (?:interne|fatale)",
     r"\b(?:seite|dokument|datei)\b.{0,30}\bnicht (?:gefunden|verfügbar|vorhanden)|\bfehler\s*\d{3}|\bsitzung\b.{0,20}\babgelaufen|\b(?:dienst|seite|portal)\b.{0,30}\bnicht erreichbar|\bwartungsarbeiten|\bversuchen sie es (?:später )?(?:erneut|noch|später)|\binterner (?:server)?fehler",
-    r"\berror\s*\d{3}\b",
+    r"\berror\s*\d{3}\b", r"\baccès (?:refusé|interdit|non autorisé)|\bzugriff\b.{0,40}\b(?:verweigert|nicht erlaubt|gesperrt)|\bacceso (?:denegado|prohibido|restringido)|\bzugang verweigert", r"\baccess (?:to (?:this|the|that) \w+ )?(?:is |was |has been )?(?:denied|refused|restricted)\W*(?:$|\()",
 ])
 #: Sentences that speak of such things as part of the work.
 WORK = "(?i)" + "|".join([
@@ -81,17 +85,21 @@ MOST_WORDS = 18
 TRIGGERS = {
     "placeholder": "{ [ < « %( %% @@ __ xx/ $x here|to|enter",
     "filler": "lorem ipsum dolor amet consect adipis eiusmod tempor| incidid labore magna aliqua veniam nostrud nulla velit vitae porta| risus felis justo massa augue |arcu |orci |nunc |quis |enim |elit morbi tellus "
-    "test|entry testing a|test in|this|space goes|here text|here |here sample|text sample|copy sample|content dummy filler placeholder go|here come|here asdf qwerty foo|bar blah coming|soon filled|in supplied|later written|later",
+    "test|entry layout overwrit overwrite to|be|replaced replace|this paragraph sentences heading to|do todo tbd fixme mock| place|of|this testing a|test in|this|space goes|here text|here |here sample|text sample|copy sample|content dummy filler placeholder go|here come|here asdf qwerty foo|bar blah coming|soon filled|in supplied|later written|later",
     "notice": "|script javascript <noscript java|script cookie browser blocker captcha robot are|human navegador navigateur skript active|content load|without",
     "error": "http error erreur fehler fatal exception traceback stack|trace stacktrace null|ref nullpointer segmentation timeout timed|out gateway|gave gateway|time gateway|err bad|gateway no|valid upstream session sesión sitzung "
     "too|many|requests slow|down rate|limit snag went|wrong find|that find|this find|the expir failed|to was|blocked empty|response no|longer be|opened be|located be|found be|displayed be|shown be|reached be|loaded be|retrieved "
-    "not|found not|available unavailable is|offline was|offline currently temporarily is|down was|down down|for moved been|removed was|removed or|removed not|exist n't|exist maintenance upkeep forbidden access|denied have|permission have|access again|later try|again "
+    "not|found not|available unavailable is|offline was|offline currently temporarily is|down was|down down|for moved been|removed was|removed or|removed not|exist n't|exist maintenance upkeep is|gone deleted accès|refus accès|interdit accès|non verweigert zugriff zugang acceso access|to access|is access|was access|has forbidden access|denied access|refused access|restricted have|permission have|access again|later try|again "
     "in|a|few in|a|moment come|back log|in oops whoops uh-oh uh|oh página pagina encontr introuvable indisponible nicht|gefunden nicht|verf nicht|vorhanden nicht|erreich wartungsarbeiten versuchen abgelaufen fuera|de|servicio mantenimiento "
     "caduc inténtelo intentelo intentarlo disponible plus|tard réessayez 400 401 403 404 405 408 410 418 429 451 500 501 502 503 504",
     "web": "this|page the|page that|page webpage web|page home|page homepage server browser cookie |script javascript session reload refresh log|in login captcha blocker url hyperlink loading unavailable navegador página navigateur seite",
 }
 
 
+#: One word three times in a row, which no list of trigger words can announce.
+STUTTER = re.compile(r"\b([^\W\d_]{4,})[^\w\n]+\1[^\w\n]+\1\b", re.I)
+
+
 @lru_cache(maxsize=1)
 def _compiled():
     machine = ahocorasick.Automaton()
@@ -137,6 +145,9 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"doc_id": [], "reason": [], "form": [], "host": [], "slug": []}
         for doc, text, host, slug in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "host", "slug"))):
+            if STUTTER.search(text):
+                for k, v in zip(out, (doc, "filler", None, host, slug)):
+                    out[k].append(v)
             if next(machine.iter(f" {text.lower()} "), None) is None:
                 continue
             terms = None

@@ -78,7 +78,8 @@ def test_plain_frame(spark):
 RESIDUE = {
     "Dear {{ vendor_name }}, welcome": "placeholder", "Send it to [INSERT DUE DATE] now": "placeholder", "The <CITY> office": "placeholder", "Due XX/XX/20XX at noon": "placeholder", "por «site_name» el lunes": "placeholder",
     "Lorem ipsum dolor sit amet": "filler", "Test entry 12, please ignore.": "filler", "Put the scope description in this space.": "filler",
-    "You need to enable JavaScript to run this app.": "notice", "To view the tender, please turn off the ad blocker and refresh.": "notice", "Debe aceptar las cookies para continuar.": "notice", "Ihr Browser wird nicht unterstützt.": "notice",
+    "To do: staffing.": "filler", "Dummy background content for layout purposes.": "filler", "Heading One.": "filler", "Example scope only - overwrite.": "filler", "Accès refusé au document demandé.": "error", "That document is gone (code a1b2).": "error",
+    "We are verifying that you are human.": "notice", "You need to enable JavaScript to run this app.": "notice", "To view the tender, please turn off the ad blocker and refresh.": "notice", "Debe aceptar las cookies para continuar.": "notice", "Ihr Browser wird nicht unterstützt.": "notice",
     "404: The page could not be located.": "error", "Your session timed out.": "error", "la página solicitada no existe.": "error", "Die Seite wurde nicht gefunden.": "error", "This portal is down for scheduled upkeep.": "error",
 }
 CLEAN = [
@@ -100,9 +101,9 @@ def test_clean(text):
 
 def test_residue_frame(spark):
     rows = [(k, f"Real content about crane number {k}.\nThis page is resting, reload it.", f"host{k % 2}", f"Title{k}") for k in range(4)]
-    rows += [(10, None, None, None), (11, "", "h", ""), (12, "The crane shall be red.", None, None), (None, "Lorem ipsum dolor sit amet", "h", "t"), (13, "x " * 20000 + "\nYour session has expired.", "h", "t"), (14, "This page is unlike any other.", "h", "t")]
+    rows += [(10, None, None, None), (11, "", "h", ""), (12, "The crane shall be red.", None, None), (None, "Lorem ipsum dolor sit amet", "h", "t"), (13, "x " * 20000 + "\nYour session has expired.", "h", "t"), (14, "This page is unlike any other.", "h", "t"), (15, "Staffing words words words words.", "h", "t")]
     df = spark.createDataFrame([(*r, None, "clash") for r in rows], "doc_id long, text string, source string, title string, package_id string, reason string")
     got = {r["doc_id"]: r["reasons"] for r in residue.residue(df).collect()}
-    assert got == {0: ["duplicate"], 1: ["duplicate"], 2: ["duplicate"], 3: ["duplicate"], 13: ["error"]}
-    assert residue.without_residue(df, residue.residue(df)).count() == len(rows) - 5
+    assert got == {0: ["duplicate"], 1: ["duplicate"], 2: ["duplicate"], 3: ["duplicate"], 13: ["error"], 15: ["filler"]}
+    assert residue.without_residue(df, residue.residue(df)).count() == len(rows) - 6
     assert residue.residue(df.limit(0)).collect() == []
