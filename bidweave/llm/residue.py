@@ -85,7 +85,7 @@ MOST_WORDS = 18
 TRIGGERS = {
     "placeholder": "{ [ < « %( %% @@ __ xx/ $x here|to|enter",
     "filler": "lorem ipsum dolor amet consect adipis eiusmod tempor| incidid labore magna aliqua veniam nostrud nulla velit vitae porta| risus felis justo massa augue |arcu |orci |nunc |quis |enim |elit morbi tellus "
-    "test|entry layout overwrit overwrite to|be|replaced replace|this paragraph sentences heading to|do todo tbd fixme mock| place|of|this testing a|test in|this|space goes|here text|here |here sample|text sample|copy sample|content dummy filler placeholder go|here come|here asdf qwerty foo|bar blah coming|soon filled|in supplied|later written|later",
+    "test|entry layout overwrit overwrite to|be|replaced replace|this paragraph sentences subheading heading. |heading| heading|one heading|two heading|three heading|1 heading|2 heading|goes to|do todo tbd fixme mock| place|of|this testing a|test in|this|space goes|here text|here |here sample|text sample|copy sample|content dummy filler placeholder go|here come|here asdf qwerty foo|bar blah coming|soon filled|in supplied|later written|later",
     "notice": "|script javascript <noscript java|script cookie browser blocker captcha robot are|human navegador navigateur skript active|content load|without",
     "error": "http error erreur fehler fatal exception traceback stack|trace stacktrace null|ref nullpointer segmentation timeout timed|out gateway|gave gateway|time gateway|err bad|gateway no|valid upstream session sesión sitzung "
     "too|many|requests slow|down rate|limit snag went|wrong find|that find|this find|the expir failed|to was|blocked empty|response no|longer be|opened be|located be|found be|displayed be|shown be|reached be|loaded be|retrieved "
@@ -96,8 +96,10 @@ TRIGGERS = {
 }
 
 
-#: One word three times in a row, which no list of trigger words can announce.
-STUTTER = re.compile(r"\b([^\W\d_]{4,})[^\w\n]+\1[^\w\n]+\1\b", re.I)
+def _stutters(text: str) -> bool:
+    """One word of at least four letters three times in a row, which no list of trigger words can announce."""
+    w = text.lower().split()
+    return any(a == b and c.startswith(a) and len(a) > 3 and a.isalpha() for a, b, c in zip(w, w[1:], w[2:]))
 
 
 @lru_cache(maxsize=1)
@@ -145,7 +147,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"doc_id": [], "reason": [], "form": [], "host": [], "slug": []}
         for doc, text, host, slug in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "host", "slug"))):
-            if STUTTER.search(text):
+            if _stutters(text):
                 for k, v in zip(out, (doc, "filler", None, host, slug)):
                     out[k].append(v)
             if next(machine.iter(f" {text.lower()} "), None) is None:
