@@ -115,7 +115,8 @@ def _matcher() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     marks = _ranges([chr(c) for c in range(0x80, 0x20000) if unicodedata.combining(chr(c))])
     single = _ranges(list(mapping()))
     # longest first: a letter (itself perhaps to be mapped, invisible characters perhaps between) with its accents
-    cluster = re.compile(r"[^\W_](?:[\u200b-\u200d\u2060\ufeff\u00ad]*" + marks + ")+|(?:" + single + "(?!" + marks + "))+|" + single)
+    unseen = r"[\u200b-\u200d\u2060\ufeff\u00ad]*"
+    cluster = re.compile(r"[^\W_](?:" + unseen + marks + ")+|(?:" + single + "(?!" + unseen + marks + "))+|" + single)
     word = re.compile(r"[^\W\d_]+")
     looks = re.compile("[" + "".join(LOOKALIKES) + "]")
     return cluster, word, looks
