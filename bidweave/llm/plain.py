@@ -117,7 +117,7 @@ def _matcher() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     # longest first: a letter (itself perhaps to be mapped, invisible characters perhaps between) with its accents
     unseen = r"[\u200b-\u200d\u2060\ufeff\u00ad]*"
     cluster = re.compile(r"[^\W_](?:" + unseen + marks + ")+|(?:" + single + "(?!" + unseen + marks + "))+|" + single)
-    word = re.compile(r"[^\W\d_]+")
+    word = re.compile(r"[^\W\d_](?:[^\W\d_]|" + marks + ")*")
     looks = re.compile("[" + "".join(LOOKALIKES) + "]")
     return cluster, word, looks
 
@@ -158,7 +158,7 @@ def _words(text: str, word: re.Pattern) -> str:
     found = list(word.finditer(text))
     kinds = []
     for m in found:
-        own = [c for c in m.group()]
+        own = [c for c in m.group() if not unicodedata.combining(c)]
         latin = any(_latin(c) for c in own)
         alike = any(c in LOOKALIKES for c in own)
         other = any(not _latin(c) and c not in LOOKALIKES for c in own)
