@@ -123,11 +123,13 @@ def _place() -> Column:
     return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(reading_order())])
 
 
-def twins(items: DataFrame) -> DataFrame:
-    """(a, pa, b): items of one package and kind that state the same, by seq, a (at place pa) before b in reading order.
+def twins(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, copies)``. Pairs (a, pa, b): items of one package and kind that state the same, by seq, a (at place pa)
+    before b in reading order. Copies (a, b): b equals a, the first of its equals, in all that is compared, so whatever
+    takes a takes b; copies aren't in pairs.
 
     Candidates share two of each other's rarest words (of statement and quote, by how many items of the package and
-    kind have them), so no group is compared pair by pair; of equal quotes each meets only the first of its equals.
+    kind have them), so no group is compared pair by pair.
     """
     base = written(items.select(
         "package_id", "kind", "seq", _place().alias("place"), empty(F.col("date")).alias("date"), empty(F.col("weight")).alias("weight"),
@@ -140,12 +142,11 @@ def twins(items: DataFrame) -> DataFrame:
     pick = rare.select(*group, "seq", F.array_sort("r.w").alias("ws")).withColumn("n", F.size("ws")).where("n >= 2")
     pairs_of = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.transform(F.slice("ws", i + 1, F.col("n")), lambda v: F.xxhash64(F.element_at("ws", i), v))))
     keys = pick.select(*group, "seq", F.explode(pairs_of).alias("k"))
-    equal = base.select(*group, "seq", "place", F.xxhash64("q", "date", "weight").alias("k"))
+    equal = base.select(*group, "seq", "place", F.struct("q", "s", "date", "weight").alias("k"))
     first = equal.groupBy(*group, "k").agg(F.min_by("seq", "place").alias("a"))
     copies = written(equal.join(first, [*group, "k"]).where("a <> seq").select("a", F.col("seq").alias("b")), "copies")
     heads = keys.join(copies.select(F.col("b").alias("seq")), "seq", "left_anti")
-    met = heads.withColumnRenamed("seq", "a").join(heads.withColumnRenamed("seq", "b"), [*group, "k"]).where("a < b").select("a", "b")
-    found = met.unionByName(copies.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    found = heads.withColumnRenamed("seq", "a").join(heads.withColumnRenamed("seq", "b"), [*group, "k"]).where("a < b").select("a", "b").distinct()
     sides = {x: base.select(F.col("seq").alias(x), F.col("place").alias("p" + x), F.col("q").alias("q" + x), F.col("s").alias("s" + x), F.col("date").alias("d" + x), F.col("weight").alias("w" + x)) for x in "ab"}
     both = found.join(sides["a"], "a").join(sides["b"], "b")
     differ = lambda f: (F.col(f + "a") != "") & (F.col(f + "b") != "") & (F.col(f + "a") != F.col(f + "b"))
@@ -157,7 +158,7 @@ def twins(items: DataFrame) -> DataFrame:
     # comparing is dear and rows are few: they are spread over all tasks
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     alike = in_order.repartition(tasks).mapInPandas(_alike, "a long, b long")
-    return alike.join(base.select(F.col("seq").alias("a"), F.col("place").alias("pa")), "a").select("a", "pa", "b")
+    return alike.join(base.select(F.col("seq").alias("a"), F.col("place").alias("pa")), "a").select("a", "pa", "b"), copies
 
 
 def merge(items: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -167,7 +168,8 @@ def merge(items: DataFrame, most_rounds: int = 100) -> DataFrame:
     over the twin table: whatever has only settled twins before it is settled next. ``also_on`` gets the absorbed
     items' pages, if these are pages of the same document, not NULL and not the item's own.
     """
-    pairs = written(twins(items), "twins")
+    pairs, copies = twins(items)
+    pairs = written(pairs, "twins")
     nodes = written(pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct(), "nodes")
     settled = written(nodes.join(pairs.select(F.col("b").alias("seq")).distinct(), "seq", "left_anti").select("seq", F.lit(True).alias("kept")), "settled")
     for _ in range(most_rounds):
@@ -181,7 +183,9 @@ def merge(items: DataFrame, most_rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError("the merge did not settle")
     into = pairs.join(settled.where("kept").select(F.col("seq").alias("a")), "a").join(settled.where("NOT kept").select(F.col("seq").alias("b")), "b").groupBy("b").agg(F.min_by("a", "pa").alias("a"))
-    into = written(into, "into")
+    # a copy goes where the first of its equals went, or to it
+    led = copies.join(into.select(F.col("b").alias("a"), F.col("a").alias("__into")), "a", "left").select("b", F.coalesce("__into", "a").alias("a"))
+    into = written(into.unionByName(led), "into")
     facts = items.select("seq", "document", "page")
     pages = into.join(facts.select(F.col("seq").alias("b"), F.col("document").alias("db"), F.col("page").alias("pb")), "b").join(facts.select(F.col("seq").alias("a"), F.col("document").alias("da"), F.col("page").alias("pa")), "a")
     pages = pages.where("da = db AND pb IS NOT NULL AND pb <> 0 AND NOT (pb <=> pa)").groupBy(F.col("a").alias("seq")).agg(F.array_sort(F.collect_set("pb")).alias("__pages"))

@@ -176,6 +176,18 @@ def test_merge_of_equal_quotes_keeps_first(spark):
     assert [(r["page"], r["also_on"]) for r in got] == [(2, [5, 9])]
 
 
+def test_merge_takes_copies_of_an_absorbed_item(spark):
+    base = "the vendor shall deliver sealed proposals for the harbor crane to the purchasing office"
+    rows = [item(1, "k", "deliver proposals", base + " today", page=1)]
+    rows += [item(n, "k", "deliver proposals", base, page=n) for n in range(2, 6)]
+    # as equal as those, but for a statement, a date of its own or none
+    rows += [item(6, "k", "bring proposals", base, page=6), item(7, "k", "deliver proposals", base, page=7, date="2026-01-01"), item(8, "k", "deliver proposals", base, page=8, date="2026-02-01"), item(9, "k", "deliver proposals", base, page=9, date="2026-02-01")]
+    kept, also = greedy(rows)
+    got = items.merge(frame(spark, rows)).collect()
+    assert sorted(r["seq"] for r in got) == kept == [1]
+    assert {r["seq"]: r["also_on"] for r in got if r["also_on"]} == also
+
+
 def test_amendments_and_facts(spark):
     rows = [
         item(1, "response_due", "due", "q", date="2026-08-07"), item(2, "response_due", "due", "q", date="2026-08-13", role="amendment", document="add2"), item(3, "response_due", "due", "q", date="2026-08-13", document="b"),
