@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidweave.functions import constants as K
@@ -101,21 +102,126 @@ def reading_order() -> list[Column]:
     return [F.col("role") != "amendment", F.col("role") == "attachment", F.col("document"), F.coalesce("page", F.lit(0)), F.col("seq")]
 
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates that are the same obligation: quotes alike, or half alike under statements that are nearly equal."""
-    for b in batches:
-        keep = []
-        for qa, qb, sa, sb in zip(b["qa"], b["qb"], b["sa"], b["sb"]):
-            if qa == qb:
-                keep.append(True)
-                continue
-            q = ratio(qa.split(" "), qb.split(" "))
-            keep.append(q > 0.8 or (q > 0.5 and ratio(sa.split(" "), sb.split(" ")) > 0.9))
-        yield b.loc[keep, ["a", "b"]]
-
-
-#: A candidate pair shares two of the this many rarest words of each side.
-RARE = 8
+#: Items of a block: larger groups of a package and kind are compared block by block.
+BLOCK = 1024
+#: Signs of a normalised text (digits, letters, space), bits of a number, and pairs looked at together.
+SIGNS, WORD, PAIRS = 37, 64, 4096
+
+
+class _Texts:
+    """Normalised texts as numbers: lengths, how often each sign occurs, and the signs themselves."""
+
+    def __init__(self, texts: list[str]):
+        raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        self.size = np.array([len(r) for r in raw], np.int64)
+        flat = np.concatenate(raw) if raw else np.empty(0, np.uint8)
+        code = np.where(flat == 32, 36, np.where(flat < 58, flat - 48, flat - 87)).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.code = code
+        self.counts = np.bincount(np.repeat(np.arange(len(raw)), self.size) * SIGNS + code, minlength=len(raw) * SIGNS).reshape(-1, SIGNS).astype(np.int32)
+
+    def common(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Signs that text x and each of ys have in common in any order: no fewer than are matched in order."""
+        return np.minimum(self.counts[ys], self.counts[x]).sum(axis=1)
+
+    def in_order(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of pairs of texts: no less than is matched."""
+        out = np.zeros(len(xs), np.int64)
+        longest = np.maximum(self.size[xs], self.size[ys])
+        order, at = np.argsort(longest), 0
+        while at < len(order):
+            # pairs of about one length; fewer of long texts, for memory
+            most = longest[order[min(at + PAIRS, len(order)) - 1]]
+            now = order[at:at + max(1, min(PAIRS, 2**21 // (most + 1)))]
+            out[now] = self._columns(xs[now], ys[now])
+            at += len(now)
+        return out
+
+    def _columns(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Bit-parallel columns over all pairs at once: a number holds ``WORD`` places of x."""
+        own, inverse = np.unique(xs, return_inverse=True)
+        words_, most = -(-int(self.size[own].max()) // WORD), int(self.size[ys].max())
+        # places at which x has a sign; none for the places behind the end of y
+        bits = np.zeros((words_, len(own) * (SIGNS + 1)), np.uint64)
+        for k, x in enumerate(own):
+            n = np.arange(self.size[x])
+            np.bitwise_or.at(bits, (n // WORD, k * (SIGNS + 1) + self.code[self.start[x]:self.start[x + 1]]), np.uint64(1) << (n % WORD).astype(np.uint64))
+        step = np.arange(most)[:, None]
+        cols = np.where(step < self.size[ys], self.code.take(self.start[ys] + step, mode="clip") if most else 0, SIGNS)
+        base = inverse * (SIGNS + 1)
+        v = np.full((words_, len(xs)), ~np.uint64(0))
+        for col in cols:
+            at, carry = base + col, None
+            for w in range(words_):
+                u = bits[w].take(at)
+                u &= v[w]
+                total = v[w] + u
+                over = total < u
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                v[w] -= u
+                v[w] |= total
+                carry = over.astype(np.uint64)
+        return WORD * words_ - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
+
+
+def _twins(part: pd.DataFrame) -> pd.DataFrame:
+    """Twins (a before b) of the groups that share a part, or of two blocks of a large group, which ``side`` tells apart.
+
+    Two texts' likeness is twice the matched signs by both lengths. Matched signs are at most the signs in common, and
+    at most the longest common subsequence, so pairs that these rule out need no comparison and none is lost.
+    """
+    g = part.sort_values(["package_id", "kind", "nth"], ignore_index=True)
+    q, s, seq, side = g["q"].tolist(), g["s"].tolist(), g["seq"].to_numpy(), g["side"].to_numpy()
+    tq, ts = _Texts(q), _Texts(s)
+    date, weight = (np.where(g[f] == "", -1, pd.factorize(g[f])[0]) for f in ("date", "weight"))
+    group = g.groupby(["package_id", "kind"], sort=False, dropna=False).ngroup().to_numpy()
+    found, waiting, size = [], [], 0
+
+    def reach(t: _Texts, matched: np.ndarray, x: np.ndarray | int, y: np.ndarray, least: float) -> np.ndarray:
+        both = t.size[x] + t.size[y]
+        return (both == 0) | (2.0 * matched > least * both)
+
+    def settle() -> None:
+        x, y, high, low = (np.concatenate(c) for c in zip(*waiting))
+        # statements where only they can bring the pair in, then quotes of what is left
+        ask = np.flatnonzero(~high)
+        low[ask] = reach(ts, ts.in_order(x[ask], y[ask]), x[ask], y[ask], 0.9)
+        keep = high | low
+        x, y, high, low = x[keep], y[keep], high[keep], low[keep]
+        matched = tq.in_order(x, y)
+        keep = (high & reach(tq, matched, x, y, 0.8)) | (low & reach(tq, matched, x, y, 0.5))
+        for i, j in zip(x[keep].tolist(), y[keep].tolist()):
+            r = 1.0 if q[i] == q[j] else ratio(q[i].split(" "), q[j].split(" "))
+            if r > 0.8 or (r > 0.5 and ratio(s[i].split(" "), s[j].split(" ")) > 0.9):
+                found.append((seq[i], seq[j]))
+
+    for lo, hi in zip(*_runs(group)):
+        for x in range(lo, hi - 1):
+            y = np.arange(x + 1, hi)
+            ok = ((date[y] == date[x]) | (date[y] < 0) | (date[x] < 0)) & ((weight[y] == weight[x]) | (weight[y] < 0) | (weight[x] < 0))
+            y = y[ok & ((side[y] != side[x]) | (side[x] < 0))]
+            shared = tq.common(x, y)
+            low = reach(tq, shared, x, y, 0.5)
+            y, shared = y[low], shared[low]
+            high, low = reach(tq, shared, x, y, 0.8), reach(ts, ts.common(x, y), x, y, 0.9)
+            keep = high | low
+            if keep.any():
+                waiting.append((np.full(keep.sum(), x), y[keep], high[keep], low[keep]))
+                size += len(waiting[-1][0])
+            if size > 16 * PAIRS:
+                settle()
+                waiting, size = [], 0
+    if waiting:
+        settle()
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _runs(codes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Beginnings and ends of runs of equal numbers."""
+    cuts = (np.flatnonzero(np.diff(codes)) + 1).tolist()
+    return [0, *cuts], [*cuts, len(codes)]
 
 
 def _place() -> Column:
@@ -128,36 +234,29 @@ def twins(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     before b in reading order. Copies (a, b): b equals a, the first of its equals, in all that is compared, so whatever
     takes a takes b; copies aren't in pairs.
 
-    Candidates share two of each other's rarest words (of statement and quote, by how many items of the package and
-    kind have them), so no group is compared pair by pair.
+    All pairs of a package and kind are looked at, but only those that bounds of the likeness leave are compared. Groups
+    of more than ``BLOCK`` items are cut into blocks by a hash, a task for each two blocks; small ones share a task.
     """
     base = written(items.select(
         "package_id", "kind", "seq", _place().alias("place"), empty(F.col("date")).alias("date"), empty(F.col("weight")).alias("weight"),
         F.array_join(words(F.col("quote")), " ").alias("q"), F.array_join(words(F.col("statement")), " ").alias("s")), "merge")
     group = ["package_id", "kind"]
-    word = base.select(*group, "seq", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "q", "s"), " "))).alias("w")).where("w <> ''")
-    df = word.groupBy(*group, "w").agg(F.count("*").alias("df")).where("df > 1")
-    # an item has as many words as its text: this gathers one item's words, never a group's items
-    rare = word.join(df, [*group, "w"]).groupBy(*group, "seq").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, RARE).alias("r"))
-    pick = rare.select(*group, "seq", F.array_sort("r.w").alias("ws")).withColumn("n", F.size("ws")).where("n >= 2")
-    pairs_of = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.transform(F.slice("ws", i + 1, F.col("n")), lambda v: F.xxhash64(F.element_at("ws", i), v))))
-    keys = pick.select(*group, "seq", F.explode(pairs_of).alias("k"))
     equal = base.select(*group, "seq", "place", F.struct("q", "s", "date", "weight").alias("k"))
     first = equal.groupBy(*group, "k").agg(F.min_by("seq", "place").alias("a"))
     copies = written(equal.join(first, [*group, "k"]).where("a <> seq").select("a", F.col("seq").alias("b")), "copies")
-    heads = keys.join(copies.select(F.col("b").alias("seq")), "seq", "left_anti")
-    found = heads.withColumnRenamed("seq", "a").join(heads.withColumnRenamed("seq", "b"), [*group, "k"]).where("a < b").select("a", "b").distinct()
-    sides = {x: base.select(F.col("seq").alias(x), F.col("place").alias("p" + x), F.col("q").alias("q" + x), F.col("s").alias("s" + x), F.col("date").alias("d" + x), F.col("weight").alias("w" + x)) for x in "ab"}
-    both = found.join(sides["a"], "a").join(sides["b"], "b")
-    differ = lambda f: (F.col(f + "a") != "") & (F.col(f + "b") != "") & (F.col(f + "a") != F.col(f + "b"))
-    ahead = F.col("pa") < F.col("pb")
-    turn = lambda f: (F.when(ahead, F.col(f + "a")).otherwise(F.col(f + "b")), F.when(ahead, F.col(f + "b")).otherwise(F.col(f + "a")))
-    in_order = both.where(~differ("d") & ~differ("w")).select(
-        F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"),
-        *[c.alias(n) for f in "qs" for c, n in zip(turn(f), (f + "a", f + "b"))])
-    # comparing is dear and rows are few: they are spread over all tasks
+    heads = base.join(copies.select(F.col("b").alias("seq")), "seq", "left_anti")
+    sized = heads.join(heads.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")), group)
+    parts = F.lit(max(1, base.count() // BLOCK))
+    block = F.pmod(F.xxhash64("seq"), F.col("blocks"))
+    # with more than one block, an item meets its own block and every other
+    met = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(*group), parts)).otherwise(F.xxhash64(*group, F.least("block", "other"), F.greatest("block", "other")))
+    met = met.select(*group, key.alias("key"), F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).alias("side"), "seq", "place", "q", "s", "date", "weight")
+    # reading order as text isn't needed in Python: a number for each part
+    met = met.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("place", "seq"))).drop("place")
+    # comparing is dear and rows are few: parts are spread over all tasks, not put together by their size
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    alike = in_order.repartition(tasks).mapInPandas(_alike, "a long, b long")
+    alike = met.repartition(4 * tasks, "key").groupBy("key").applyInPandas(_twins, "a long, b long")
     return alike.join(base.select(F.col("seq").alias("a"), F.col("place").alias("pa")), "a").select("a", "pa", "b"), copies
 
 

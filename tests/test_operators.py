@@ -1,5 +1,6 @@
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,33 @@ def test_merge_takes_copies_of_an_absorbed_item(spark):
     assert {r["seq"]: r["also_on"] for r in got if r["also_on"]} == also
 
 
+def test_merge_of_items_with_rarer_words_of_their_own(spark, monkeypatch):
+    shared = "responsibility documentation certification requirements administration representative correspondence organization communication specification".split()
+    own = {x: [f"{x}{n}" for n in range(8)] for x in "xz"}
+    # every own word occurs twice, every shared word oftener
+    rows = [item(n, "k", "s", " ".join(shared + own[x]), page=n) for n, x in ((1, "x"), (2, "z"))]
+    rows += [item(n, "k", f"t{n}", " ".join(own[x]), page=n) for n, x in ((3, "x"), (4, "z"))]
+    rows += [item(n, "k", f"u{n}", " ".join((shared[n - 5:] + shared[:n - 5])[::-1]), page=n) for n in range(5, 9)]
+    kept, also = greedy(rows)
+    assert 2 in also[1]
+    for block in (items.BLOCK, 3):  # in one block, and cut into several
+        monkeypatch.setattr(items, "BLOCK", block)
+        got = items.merge(frame(spark, rows)).collect()
+        assert sorted(r["seq"] for r in got) == kept
+        assert {r["seq"]: r["also_on"] for r in got if r["also_on"]} == also
+
+
+def test_likeness_bounds_are_never_too_low():
+    texts = ["", "a", "a b", "the vendor delivers", "vendor the delivers", "x" * 64, "x" * 65 + " y", "y " + "x" * 130, "ab1 " * 50, "1ba " * 49]
+    t = items._Texts(texts)
+    x, y = (np.repeat(np.arange(len(texts)), len(texts)), np.tile(np.arange(len(texts)), len(texts)))
+    ordered = t.in_order(x, y)
+    for i, j, n in zip(x, y, ordered):
+        matched = sum(m.size for m in SequenceMatcher(None, texts[i], texts[j], autojunk=False).get_matching_blocks())
+        assert matched <= n <= t.common(i, np.array([j]))[0]
+    assert [ordered[i * len(texts) + j] for i, j in ((0, 1), (3, 4), (5, 6), (6, 7), (8, 8))] == [0, 15, 64, 65, 200]
+
+
 def test_amendments_and_facts(spark):
     rows = [
         item(1, "response_due", "due", "q", date="2026-08-07"), item(2, "response_due", "due", "q", date="2026-08-13", role="amendment", document="add2"), item(3, "response_due", "due", "q", date="2026-08-13", document="b"),
