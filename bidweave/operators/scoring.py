@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.functions.text import empty
+from bidweave.session import written
 
 
 def _text(prefix: str = "") -> Column:
@@ -31,23 +32,63 @@ def score_facts(gold: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("package_id", "fact", correct.alias("correct"), F.when(timed, empty(F.col("got_time")) == F.col("time")).alias("time_correct"), expected.alias("expected"), got.alias("got"))
 
 
+def _meetings(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(line, text): all pairs of a package in which the text can satisfy the line, and others. ``lines`` is (package_id,
+    line, groups ARRAY<ARRAY<STRING>>), ``texts`` (package_id, text, t).
+
+    A text that contains a phrase has a word that contains the phrase's longest run of letters and digits. Lines meet the
+    texts with such words for one of their groups, the one with fewest; phrases without a run meet all texts of the package.
+    """
+    words_ = F.array_union(F.array_distinct(F.filter(F.split("t", "[^a-z0-9]+"), lambda w: w != "")), F.array(F.lit("")))
+    word = written(texts.select("package_id", "text", F.explode(words_).alias("word")), "words")
+    often = word.groupBy("package_id", "word").agg(F.count("*").alias("texts"))
+    # no groups at all are satisfied by any text
+    groups = F.when(F.size("groups") > 0, F.col("groups")).otherwise(F.array(F.array(F.lit(""))))
+    phrase = lines.select("package_id", "line", F.posexplode(groups).alias("nth", "g")).select("package_id", "line", "nth", F.explode("g").alias("p")).where("p IS NOT NULL")
+    runs = F.array_sort(F.transform(F.filter(F.split("p", "[^a-z0-9]+"), lambda r: r != ""), lambda r: F.struct((-F.length(r)).alias("l"), r.alias("r"))))
+    phrase = written(phrase.select("package_id", "line", "nth", F.coalesce(F.try_element_at(runs, F.lit(1))["r"], F.lit("")).alias("run")).distinct(), "phrases")
+    # which words contain which runs doesn't depend on packages: joined by the run's beginning, for words of all packages once
+    run, known = phrase.select("run").distinct(), word.select("word").distinct()
+    head = lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, F.lit(n)))
+    parts = F.array_distinct(F.concat(*[F.when(F.length("word") >= n, head(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    holds = known.select("word", F.explode(parts).alias("part")).join(run.select("run", F.substring("run", 1, 3).alias("part")), "part").where(F.contains("word", "run")).select("run", "word")
+    holds = holds.unionByName(run.where("run = ''").select("run", F.lit("").alias("word")))
+    reach = written(phrase.join(holds, "run", "left").select("package_id", "line", "nth", "word").distinct().join(often, ["package_id", "word"], "left"), "reach")
+    least = reach.groupBy("package_id", "line", "nth").agg(F.sum(F.coalesce("texts", F.lit(0))).alias("n")).groupBy("package_id", "line").agg(F.min_by("nth", F.struct("n", "nth")).alias("nth"))
+    return reach.join(least, ["package_id", "line", "nth"]).join(word, ["package_id", "word"]).select("line", "text").distinct()
+
+
+def _numbered(df: DataFrame, column: str) -> DataFrame:
+    """Distinct rows with a number, fixed by being written."""
+    return written(df.distinct().withColumn(column, F.monotonically_increasing_id()), column)
+
+
 def score_checklist(gold: DataFrame, items: DataFrame) -> DataFrame:
     """(package_id, id, found): whether some item of the package satisfies every group of a checklist line, by any of the
-    group's phrases. ``gold`` is (package_id, id, all ARRAY<ARRAY<STRING>>), a few lines a package."""
-    text = items.select("package_id", _text().alias("t"))
-    covers = F.forall("all", lambda g: F.exists(g, lambda a: F.contains(F.col("t"), a)))
-    hits = gold.join(text, "package_id").where(covers).select("package_id", "id").distinct().withColumn("found", F.lit(True))
-    return gold.select("package_id", "id").join(hits, ["package_id", "id"], "left").select("package_id", "id", F.coalesce("found", F.lit(False)).alias("found"))
+    group's phrases. ``gold`` is (package_id, id, all ARRAY<ARRAY<STRING>>)."""
+    texts = _numbered(items.select("package_id", _text().alias("t")), "text")
+    lines = _numbered(gold.select("package_id", F.col("all").alias("groups")), "line")
+    covers = F.forall("groups", lambda g: F.exists(g, lambda a: F.contains(F.col("t"), a)))
+    return _found(gold.select("package_id", "id", F.col("all").alias("groups")), lines, texts, covers, ["groups"])
 
 
 def score_factors(gold: DataFrame, factors: DataFrame) -> DataFrame:
     """(package_id, id, found): whether some factor has one of the names, and the weight where one is asked for. ``gold`` is
-    (package_id, id, names ARRAY<STRING>, weight), a few lines a package."""
-    text = factors.select("package_id", _text().alias("t"), F.concat_ws(" ", empty(F.col("weight")), _text()).alias("wt"))
+    (package_id, id, names ARRAY<STRING>, weight)."""
+    texts = _numbered(factors.select("package_id", _text().alias("t"), F.concat_ws(" ", empty(F.col("weight")), _text()).alias("wt")), "text")
     g = gold.select("package_id", "id", "names", F.col("weight").alias("asked"))
+    lines = _numbered(g.drop("id"), "line").withColumn("groups", F.array("names"))
     hit = F.exists("names", lambda n: F.contains(F.col("t"), n)) & (F.col("asked").isNull() | F.contains(F.col("wt"), F.col("asked")))
-    hits = g.join(text, "package_id").where(hit).select("package_id", "id").distinct().withColumn("found", F.lit(True))
-    return g.select("package_id", "id").join(hits, ["package_id", "id"], "left").select("package_id", "id", F.coalesce("found", F.lit(False)).alias("found"))
+    return _found(g, lines, texts, hit, ["names", "asked"])
+
+
+def _found(gold: DataFrame, lines: DataFrame, texts: DataFrame, hit: Column, by: list[str]) -> DataFrame:
+    """Gold rows with whether a text hits their line; lines that are equal in ``by`` are looked for once."""
+    met = _meetings(lines.select("package_id", "line", "groups"), texts.select("package_id", "text", "t"))
+    hits = met.join(lines, "line").join(texts.drop("package_id"), "text").where(hit).select("line").distinct()
+    same = lines.join(hits, "line").select(F.col("package_id").alias("__p"), *[F.col(c).alias("__" + c) for c in by], F.lit(True).alias("found"))
+    on = [F.col("package_id") == F.col("__p"), *[F.col(c).eqNullSafe(F.col("__" + c)) for c in by]]
+    return gold.join(same, on, "left").select("package_id", "id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def totals(scores: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.functions import constants as K
@@ -347,19 +347,12 @@ def score_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("share", T.percent(F.col("facts_correct"), F.col("facts_total")))
 
 
-def _lines_of(ref: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Twelve reference lines a package, as a reference answer has."""
-    own = ref.where(F.col("kind").isin(kinds)) if kinds else ref
-    nth = F.row_number().over(Window.partitionBy("package_id").orderBy("seq"))
-    return own.withColumn("nth", nth).where("nth <= 12")
-
-
 @query
 def score_checklist(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the other models cover the first lines of the reference, by two of a line's longest words."""
+    """Whether the other models cover the lines of the reference, by two of a line's longest words."""
     ref, other = _two_models(spark, d)
     long = F.slice(F.array_sort(F.transform(F.array_distinct(T.words(F.col("statement"))), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 3)
-    gold = _lines_of(ref).select("package_id", F.col("seq").alias("id"), long.alias("l")).where(F.size("l") == 3)
+    gold = ref.select("package_id", F.col("seq").alias("id"), long.alias("l")).where(F.size("l") == 3)
     gold = gold.select("package_id", "id", F.array(F.array(F.col("l")[0]["w"]), F.array(F.col("l")[1]["w"], F.col("l")[2]["w"])).alias("all"))
     return scoring.score_checklist(gold, other)
 
@@ -367,8 +360,8 @@ def score_checklist(spark: SparkSession, d: str) -> DataFrame:
 @query
 def score_factors(spark: SparkSession, d: str) -> DataFrame:
     ref, other = _two_models(spark, d)
-    gold = _lines_of(ref, ["evaluation_factor"]).select(
-        "package_id", F.col("seq").alias("id"), F.array(F.element_at(T.words(F.col("statement")), 1)).alias("names"), F.when(T.empty(F.col("weight")) != "", F.lower("weight")).alias("weight"))
+    gold = ref.where("kind = 'evaluation_factor'").select(
+        "package_id", F.col("seq").alias("id"), F.array(F.try_element_at(T.words(F.col("statement")), F.lit(1))).alias("names"), F.when(T.empty(F.col("weight")) != "", F.lower("weight")).alias("weight"))
     return scoring.score_factors(gold, other.where("kind = 'evaluation_factor'"))
 
 

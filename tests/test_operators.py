@@ -338,3 +338,19 @@ def test_landing_stream_counts_each_record_once(spark, small):
 
     counted = catalog.landed_items(spark, small).selectExpr("sum(items) AS n").first()["n"]
     assert counted == spark.read.parquet(f"{small}/items.parquet").where("extracted_at IS NOT NULL").select("seq").distinct().count()
+
+
+def test_scores_find_parts_of_words_and_every_line(spark, tmp_path):
+    found = [item(1, "evaluation_factor", "Pricing Plan", "the re-bid bonds, insured", weight="40 points"), item(2, "k", "late", None, package="q")]
+    lines = [("p", 1, [["pric"], ["bid bond"]]), ("p", 2, [["pric"], ["late"]]), ("p", 3, [["-"]]), ("p", 4, [["Pric"]]), ("p", 5, []), ("p", 6, [["zzz", "s"], ["in", None]]), ("r", 7, []), ("p", 8, [[]]), ("q", 9, [["late"]]), ("p", 10, [["pric"], ["bid bond"]])]
+    gold = spark.createDataFrame(lines, "package_id string, id long, all array<array<string>>")
+    got = {r["id"]: r["found"] for r in scoring.score_checklist(gold, frame(spark, found)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True, 7: False, 8: False, 9: True, 10: True}
+    gold = spark.createDataFrame([("p", 1, ["ricing"], "40"), ("p", 2, ["ricing"], "50"), ("p", 3, ["plan"], None), ("p", 4, [None], None)], "package_id string, id long, names array<string>, weight string")
+    assert {r["id"]: r["found"] for r in scoring.score_factors(gold, frame(spark, found)).collect()} == {1: True, 2: False, 3: True, 4: False}
+    # a package's lines past the twelfth are scored too
+    from bidweave.plans import catalog
+    both = [item(n, "evaluation_factor", f"first second third{n}", "q") + ("a",) for n in range(1, 31)] + [item(n, "evaluation_factor", f"first second third{n}", "q") + ("b",) for n in range(41, 50)]
+    rows = spark.createDataFrame(both, ITEM + ", model string").withColumn("loaded_at", F.lit("2026-01-01"))
+    rows.write.parquet(str(tmp_path / "items.parquet"))
+    assert catalog.QUERIES["score_checklist"](spark, str(tmp_path)).count() == catalog.QUERIES["score_factors"](spark, str(tmp_path)).count() == 30
