@@ -1,16 +1,23 @@
 """Template residue, filler and error pages in a corpus.
 
-A text is looked at sentence by sentence. A sentence is residue when
+Each text is looked at sentence by sentence, and each sentence is compared with the terms of the document's address slug
+(the package id) and title.
 
-* it holds an unfilled field of a template (``placeholder``), a run of filler words or a filler phrase (``filler``),
-* it is a notice about scripts, cookies or browsers (``notice``), or an error or outage message (``error``), or
-* it is *low-information and duplicated*: it shares no term with the document's address slug (the package id) or title,
-  is repeated word for word, digits and codes aside, under other slugs or titles, at one host or across hosts, and
-  speaks of pages, browsers, sessions and the like (``duplicate``).
+* Detectors that hold by themselves find unfilled fields of templates (``placeholder``), filler words and phrases
+  (``filler``), notices about scripts, cookies or browsers (``notice``) and error or outage messages (``error``), in
+  English, Spanish, French and German. A sentence that says what somebody shall or will do about such things is part
+  of the work and is no finding.
+* The others are sentences that don't mention the subject: they share no term with slug or title (terms that every
+  hundredth title has, as "statement", aren't a subject). One that stands word for word, digits and codes aside, under
+  several titles tells nothing of any of them: it is a *duplicated low-information response*. Titles, not documents, are
+  counted, so that copies of a document are one; a single host needs twice as many titles as several hosts together.
+* A document of which nothing but such responses (and its title) is left is residue whatever its language
+  (``response``). So is one with a response that by the combined evidence of all hosts comes with residue: of the titles
+  it stands under, the share with other residue is surely (lower bound of the share) above ``SHARE`` (``company``). Each
+  document found is evidence for the next, until no document is added.
 
-A sentence that speaks of such things as part of the work isn't residue: it says what somebody shall, must or will do,
-or what a policy describes. The evidence of repetition is counted over all sentences of the corpus; counts are
-combined before the shuffle, so a message that a third of all documents carry is one row a partition.
+So furniture of broken sites ("go back to the index") is learnt from the messages next to it, and messages that no
+detector knows are learnt from the furniture; a line that stands on sound pages as well never counts.
 """
 
 from __future__ import annotations
@@ -19,52 +26,82 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidweave.llm.sieve import Sieve
+from bidweave.session import written
+
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+){0,4}"
-#: Unfilled fields in the notations of common template languages and forms. They hold in any language.
-PLACEHOLDER = "|".join([
+#: Unfilled fields in the notations of common template languages and forms. They hold in any language and keep to case.
+PLACEHOLDER = [
     r"\{\{\s*[^{}\n]{0,60}\}\}", r"[$#]\{\s*[^{}\n]{1,60}\}", r"\{\d{1,2}\}", r"<%=?\s*[^%\n]{1,60}%>", r"%\(" + _NAME + r"\)[sd]", r"%%" + _NAME + "%%",
     "@@" + _NAME + "@@", r"__[A-Za-z]+(?:_[A-Za-z]+)*__", r"\[\[" + _NAME + r"\]\]", "<<" + _NAME + ">>", "«" + r"[A-Za-z]+(?:[_.][A-Za-z]+)*" + "»",
     r"\[\s*(?i:insert|enter|your|type|add|choose|select|placeholder|xxx+|tbd|tbc|todo)\b[^\]\n]{0,60}\]", r"\[[^\]\n]{1,60}\b(?:TBD|TBC|TODO|HERE)\s*\]",
     r"<(?:[A-Z]{3,}|[A-Z]{2,}(?:[ _.\-][A-Z]{2,})+)>", r"\bXX/XX/(?:20)?XX(?:XX)?\b", r"\$X{1,3}(?:,XXX)+(?:\.XX)?", r"(?i:\bclick (?:or tap )?here to enter\b)",
-])
+]
 # The words of the customary filler text.
 _LOREM = "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua|enim|minim|veniam|quis|nostrud|nulla|velit|vitae|porta|risus|felis|justo|massa|augue|arcu|orci|nunc|morbi|tellus"
-FILLER = rf"(?i)\b(?:{_LOREM})(?:\W+(?:{_LOREM})\b){{3,}}" + "|" + "|".join([
-    r"(?i)\btest entry \d*,? ?please ignore", r"(?i)\btesting(?:\W+\d)+\W+testing\b", r"(?i)\bthis is (?:only |just )?a test\b", r"(?i)\b(?:put|insert|add|write|place|type|enter) (?:the|your|a) [\w ]{0,40}\b(?:in this space|goes here|text here|here\b)",
-    r"(?i)\b(?:text|description|content|summary) (?:goes|to go|to come) here\b", r"(?i)\b(?:sample|dummy|placeholder|filler) (?:text|copy|content)\b[^.]{0,20}(?:here|ignore|$)", r"(?i)\basdf(?:gh)?\b|\bqwerty\b|\bfoo bar\b|\bblah blah\b",
-    r"(?i)^\W*(?:to ?do|tbd|fixme)\s*[:\-–]\s*\w+(?:\W+\w+){0,4}\W*$", r"(?i)\b(?:dummy|sample|example|placeholder|filler|mock)\b[\w ]{0,40}\b(?:layout purposes|only\W+(?:please )?(?:overwrite|replace|delete)|to be replaced|to be overwritten|placeholder)\b",
-    r"(?i)\b(?:text|copy|content|paragraph|title|heading|headline|image|caption) placeholder\b", r"(?i)\bcontent for layout\b|\bfor layout purposes\b", r"(?i)\bto be replaced by the (?:author|editor|writer)\b|\bonly\W{1,4}overwrite\b|\boverwrite this\b|\breplace this (?:text|paragraph|sentence|section|with)\b",
-    r"(?i)\b(?:write|put|add|enter) (?:a|one|two|three|some|your)\b[\w ]{0,40}\b(?:sentences?|paragraphs?|words|lines)\b[\w ]{0,40}\b(?:here|in place of this|instead of this|below this)\b", r"(?i)\byour [\w ]{0,30}\b(?:text|paragraph|content|title|heading|name|logo|copy)\b[\w ]{0,12}\b(?:goes )?here\b",
-    r"(?i)\b(?:paragraph|heading|title|copy|image|table|chart) goes here\b", r"(?i)^\W*(?:sub)?heading(?: (?:one|two|three|\d))?\W*$", r"(?i)\bthis (?:section|page|text|paragraph) (?:is )?intentionally left (?:as )?(?:filler|placeholder)\b",
-    r"(?i)\bcoming soon\b\W*$", r"(?i)\bto be (?:written|supplied|filled in) later\b",
-])
+FILLER = [
+    rf"\b(?:{_LOREM})(?:\W+(?:{_LOREM})\b){{3,}}",
+    r"\btest entry \d*,? ?please ignore", r"\btesting(?:\W+\d)+\W+testing\b", r"\bthis is (?:only |just )?a test\b", r"\b(?:put|insert|add|write|place|type|enter) (?:the|your|a) [\w ]{0,40}\b(?:in this space|goes here|text here|here\b)",
+    r"\b(?:text|description|content|summary) (?:goes|to go|to come) here\b", r"\b(?:sample|dummy|placeholder|filler) (?:text|copy|content)\b[^.]{0,20}(?:here|ignore|$)", r"\basdf(?:gh)?\b|\bqwerty\b|\bfoo bar\b|\bblah blah\b",
+    r"^\W*(?:to ?do|tbd|fixme)\s*[:\-–]\s*\w+(?:\W+\w+){0,4}\W*$", r"\b(?:dummy|sample|example|placeholder|filler|mock)\b[\w ]{0,40}\b(?:layout purposes|only\W+(?:please )?(?:overwrite|replace|delete)|to be replaced|to be overwritten|placeholder)\b",
+    r"\b(?:text|copy|content|paragraph|title|heading|headline|image|caption) placeholder\b", r"\bcontent for layout\b|\bfor layout purposes\b", r"\bto be replaced by the (?:author|editor|writer)\b|\bonly\W{1,4}overwrite\b|\boverwrite this\b|\breplace this (?:text|paragraph|sentence|section|with)\b",
+    r"\b(?:write|put|add|enter) (?:a|one|two|three|some|your)\b[\w ]{0,40}\b(?:sentences?|paragraphs?|words|lines)\b[\w ]{0,40}\b(?:here|in place of this|instead of this|below this)\b", r"\byour [\w ]{0,30}\b(?:text|paragraph|content|title|heading|name|logo|copy)\b[\w ]{0,12}\b(?:goes )?here\b",
+    r"\b(?:paragraph|heading|title|copy|image|table|chart) goes here\b", r"^\W*(?:sub)?heading(?: (?:one|two|three|\d))?\W*$", r"\bthis (?:section|page|text|paragraph) (?:is )?intentionally left (?:as )?(?:filler|placeholder)\b",
+    r"\bcoming soon\b\W*$", r"\bto be (?:written|supplied|filled in) later\b",
+]
 _SCRIPT = r"(?:java ?script|scripts?|scripting|active content|cookies)"
-NOTICE = "(?i)" + "|".join([
+_THING = r"(?:page|site|website|portal|service|listing|tender|bid|notice|document|record|file|attachment|solicitation|amendment|folder|view|application|app|request|resource|content|link|url|item|board|viewer)"
+#: Messages by language and kind.
+MESSAGES = {
+    "en": {
+        "notice": [
     rf"\b(?:enable|enabling|activate|switch on|turn on|allow|permit|accept|needs?|requires?|without|only works with)\b.{{0,30}}\b{_SCRIPT}\b",
     rf"\b{_SCRIPT}\b.{{0,30}}\b(?:is|are|appears?(?: to be)?|must be|needs? to be|seems?)\b.{{0,20}}\b(?:blocked|disabled|off|required|enabled|needed|turned off|switched off)\b",
     r"\b(?:update|upgrade|change) (?:the|your) browser\b", r"\byour browser\b.{0,40}\b(?:out of date|outdated|old|not supported|unsupported|cannot|can't|does not|doesn't)\b", r"\bbrowser (?:is )?(?:not|no longer) supported\b",
     r"\bturn (?:off|on)\b.{0,30}\b(?:ad ?blocker|in your browser)\b", r"\bdisable\b.{0,20}\bad ?blocker\b", r"\bcomplete the captcha\b|\bnot a robot\b|\bverif(?:y|ying) (?:that )?you are (?:a )?human\b|\bchecking your browser\b", "<noscript", r"\bwill not load without them\b",
-    r"\b(?:active|activar|habilite|habilitar|acepte|aceptar|permita|permitir)\b.{0,20}\b(?:javascript|cookies|scripts?)\b", r"\bnavegador\b.{0,40}\b(?:no (?:es|está|admite|soporta)|obsoleto|compatible|desactualizado)\b",
-    r"\b(?:activer|activez|accepter|acceptez|autoriser|autorisez)\b.{0,20}\b(?:javascript|cookies|scripts?)\b", r"\bnavigateur\b.{0,40}(?:pas pris en charge|obsol|n'est plus|incompatible)",
-    r"\b(?:javascript|cookies|skripte?)\b.{0,30}\b(?:aktivier|akzeptier|einschalt|erlaub|zulass|anschalt)", r"\b(?:aktivieren|akzeptieren|erlauben) sie\b.{0,30}\b(?:javascript|cookies|skripte?)\b", r"\bbrowser\b.{0,20}(?:nicht unterst|veraltet)",
-])
-_THING = r"(?:page|site|website|portal|service|listing|tender|bid|notice|document|record|file|attachment|solicitation|amendment|folder|view|application|app|request|resource|content|link|url|item|board|viewer)"
-ERROR = "(?i)" + "|".join([
+        ],
+        "error": [
     rf"\b(?:the|this|that|requested)\b.{{0,30}}\b{_THING}\b.{{0,12}}\b(?:has expired|failed to (?:load|open)|timed out|was blocked|returned an empty response|(?:is|was) no longer (?:hosted|available|here|online)|(?:could|can) ?not be (?:opened|located|found|displayed|shown|reached|loaded|retrieved)|can't be (?:found|shown|displayed|reached|opened)|(?:is|was) (?:currently |temporarily )?(?:not available|not found|unavailable|offline|down)|has (?:been )?(?:moved|removed|deleted)|is gone|was deleted|does(?: not|n't) exist|is down for)\b",
-    r"\bpage (?:was )?not found\b", r"\bhttp(?: error)? [45]\d\d\b", r"^\W*(?:error|status|code)?\W*[45]\d\d\W*(?:$|:|[-–—])", r"\berror (?:code )?[45]\d\d\b", r"\bfatal error\b|\bunhandled exception\b|\bstack ?trace\b|\bnull reference\b|\bnullpointer|\btraceback \(|\b\w+(?:error|exception)\b at \w|\bsegmentation fault\b|\btimeout after \d",
+    r"\bpage (?:was )?not found\b", r"\bhttp(?: error)? [45][0-9][0-9]\b", r"^\W*(?:error|status|code)\W*[45][0-9][0-9]\W*(?:$|:|[-–—])", r"^\W*[45][0-9][0-9]\W*(?::|[-–—]) *[^\W\d]", r"\berror (?:code )?[45][0-9][0-9]\b", r"\bfatal error\b|\bunhandled exception\b|\bstack ?trace\b|\bnull reference\b|\bnullpointer|\btraceback \(|\b\w+(?:error|exception)\b at \w|\bsegmentation fault\b|\btimeout after \d",
     r"\bgateway\b.{0,20}\b(?:no valid answer|timed? ?out|timeout|error)\b", r"\bupstream server\b", r"\b(?:your )?session (?:has )?(?:timed out|expired|ended)\b", r"\btoo many requests\b|\bslow down and try\b|\brate limit exceeded\b", r"\b(?:hit a snag|something went wrong)\b",
     r"\bcould ?n[o']t find (?:that|this|the) " + _THING, r"\bdown for (?:scheduled|planned|routine)?\s*(?:upkeep|maintenance)\b|\bunder maintenance\b", r"\binternal server error\b|\bbad gateway\b|\bservice unavailable\b|\bforbidden\b\W*$|^\W*access denied\W*$|\byou (?:do not|don't) have (?:permission|access)\b",
     r"\btry again (?:later|in a (?:few|moment))\b|\bplease come back later\b|\blog in again to see\b", r"^\W*(?:oops|whoops|uh[- ]oh)\b",
+            r"\baccess (?:to (?:this|the|that) \w+ )?(?:is |was |has been )?(?:denied|refused|restricted)\W*(?:$|\()",
+        ],
+    },
+    "es": {
+        "notice": [
+    r"\b(?:active|activar|habilite|habilitar|acepte|aceptar|permita|permitir)\b.{0,20}\b(?:javascript|cookies|scripts?)\b", r"\bnavegador\b.{0,40}\b(?:no (?:es|está|admite|soporta)|obsoleto|compatible|desactualizado)\b",
+        ],
+        "error": [
     r"\bp[aá]gina\b.{0,30}\b(?:no existe|no encontrada|no (?:está )?disponible)|\bno se (?:ha )?(?:encontr|pudo)\w*.{0,20}\bp[aá]gina\b|\b(?:servicio|sitio|portal)\b.{0,30}\b(?:no (?:está )?disponible|fuera de servicio|en mantenimiento)|\bsu sesión (?:ha )?(?:caducado|expirado|caducó|expiró)|\bint[eé]ntelo (?:de nuevo )?más tarde|\bvuelva a intentarlo",
-    r"\b(?:page|document|ressource|fichier)\b.{0,20}\bintrouvable|\berreur\s*\d{3}|\b(?:votre )?session (?:a )?expir|\b(?:service|site|page|portail)\b.{0,20}\bindisponible|\b(?:en|de) maintenance\b.{0,30}\bplus tard|\bréessayez plus tard|\berreur (?:interne|fatale)",
-    r"\b(?:seite|dokument|datei)\b.{0,30}\bnicht (?:gefunden|verfügbar|vorhanden)|\bfehler\s*\d{3}|\bsitzung\b.{0,20}\babgelaufen|\b(?:dienst|seite|portal)\b.{0,30}\bnicht erreichbar|\bwartungsarbeiten|\bversuchen sie es (?:später )?(?:erneut|noch|später)|\binterner (?:server)?fehler",
-    r"\berror\s*\d{3}\b", r"\baccès (?:refusé|interdit|non autorisé)|\bzugriff\b.{0,40}\b(?:verweigert|nicht erlaubt|gesperrt)|\bacceso (?:denegado|prohibido|restringido)|\bzugang verweigert", r"\baccess (?:to (?:this|the|that) \w+ )?(?:is |was |has been )?(?:denied|refused|restricted)\W*(?:$|\()",
-])
+            r"\bacceso (?:denegado|prohibido|restringido)",
+        ],
+    },
+    "fr": {
+        "notice": [
+    r"\b(?:activer|activez|accepter|acceptez|autoriser|autorisez)\b.{0,20}\b(?:javascript|cookies|scripts?)\b", r"\bnavigateur\b.{0,40}(?:pas pris en charge|obsol|n'est plus|incompatible)",
+        ],
+        "error": [
+    r"\b(?:page|document|ressource|fichier)\b.{0,20}\bintrouvable|\berreur\s*[0-9][0-9][0-9]|\b(?:votre )?session (?:a )?expir|\b(?:service|site|page|portail)\b.{0,20}\bindisponible|\b(?:en|de) maintenance\b.{0,30}\bplus tard|\bréessayez plus tard|\berreur (?:interne|fatale)",
+            r"\baccès (?:refusé|interdit|non autorisé)",
+        ],
+    },
+    "de": {
+        "notice": [
+    r"\b(?:javascript|cookies|skripte?)\b.{0,30}\b(?:aktivier|akzeptier|einschalt|erlaub|zulass|anschalt)", r"\b(?:aktivieren|akzeptieren|erlauben) sie\b.{0,30}\b(?:javascript|cookies|skripte?)\b", r"\bbrowser\b.{0,20}(?:nicht unterst|veraltet)",
+        ],
+        "error": [
+    r"\b(?:seite|dokument|datei)\b.{0,30}\bnicht (?:gefunden|verfügbar|vorhanden)|\bfehler\s*[0-9][0-9][0-9]|\bsitzung\b.{0,20}\babgelaufen|\b(?:dienst|seite|portal)\b.{0,30}\bnicht erreichbar|\bwartungsarbeiten|\bversuchen sie es (?:später )?(?:erneut|noch|später)|\binterner (?:server)?fehler",
+            r"\bzugriff\b.{0,40}\b(?:verweigert|nicht erlaubt|gesperrt)|\bzugang verweigert",
+        ],
+    },
+}
 #: Sentences that speak of such things as part of the work.
 WORK = "(?i)" + "|".join([
     r"\b(?:shall|contractor|vendors?|bidders?|offerors?|firms|crews)\b", r"\b(?:must|will) (?:be|answer|log|list|test|show|name|support|return|report|handle|include|stay)\b", r"\b(?:stay|remain)s? readable\b", r"\b(?:described|listed|named|defined) in the\b", r"\bpolicy\b(?! rule)", r"\btrigger a review\b",
@@ -73,118 +110,151 @@ WORK = "(?i)" + "|".join([
 ])
 #: Sentences that speak of fields as part of the work.
 FIELDS = r"(?i)\b(?:merge fields|(?:fields|placeholders|tokens|variables|tags) (?:such as|like|named))\b|\bcompleted by the\b|\bto be completed by\b|\bin column <|\bwas struck\b"
-#: Terms of pages and their delivery, for duplicated sentences of which no pattern knows.
-WEB = r"(?i)\b(?:web ?page|this page|that page|the page|home ?page|browser|cookies?|java ?script|scripts?|server|session|reload|refresh|log ?in|captcha|ad ?blocker|url|hyperlink|loading|unavailable|navegador|página|navigateur|seite|browser)\b"
-#: A duplicated sentence stands under at least so many slugs or titles' worth of copies.
-COPIES = 3
-MOST_WORDS = 18
-
-
-#: A sentence without any of a kind's words can't match the kind's pattern: the words of all kinds are sought in one
-#: pass over a text, and only sentences that hold one are held against the pattern of its kind. ``|`` stands for a space.
-TRIGGERS = {
-    "placeholder": "{ [ < « %( %% @@ __ xx/ $x here|to|enter",
-    "filler": "lorem ipsum dolor amet consect adipis eiusmod tempor| incidid labore magna aliqua veniam nostrud nulla velit vitae porta| risus felis justo massa augue |arcu |orci |nunc |quis |enim |elit morbi tellus "
-    "test|entry layout overwrit overwrite to|be|replaced replace|this paragraph sentences subheading heading. |heading| heading|one heading|two heading|three heading|1 heading|2 heading|goes to|do todo tbd fixme mock| place|of|this testing a|test in|this|space goes|here text|here |here sample|text sample|copy sample|content dummy filler placeholder go|here come|here asdf qwerty foo|bar blah coming|soon filled|in supplied|later written|later",
-    "notice": "|script javascript <noscript java|script cookie browser blocker captcha robot are|human navegador navigateur skript active|content load|without",
-    "error": "http error erreur fehler fatal exception traceback stack|trace stacktrace null|ref nullpointer segmentation timeout timed|out gateway|gave gateway|time gateway|err bad|gateway no|valid upstream session sesión sitzung "
-    "too|many|requests slow|down rate|limit snag went|wrong find|that find|this find|the expir failed|to was|blocked empty|response no|longer be|opened be|located be|found be|displayed be|shown be|reached be|loaded be|retrieved "
-    "not|found not|available unavailable is|offline was|offline currently temporarily is|down was|down down|for moved been|removed was|removed or|removed not|exist n't|exist maintenance upkeep is|gone deleted accès|refus accès|interdit accès|non verweigert zugriff zugang acceso access|to access|is access|was access|has forbidden access|denied access|refused access|restricted have|permission have|access again|later try|again "
-    "in|a|few in|a|moment come|back log|in oops whoops uh-oh uh|oh página pagina encontr introuvable indisponible nicht|gefunden nicht|verf nicht|vorhanden nicht|erreich wartungsarbeiten versuchen abgelaufen fuera|de|servicio mantenimiento "
-    "caduc inténtelo intentelo intentarlo disponible plus|tard réessayez 400 401 403 404 405 408 410 418 429 451 500 501 502 503 504",
-    "web": "this|page the|page that|page webpage web|page home|page homepage server browser cookie |script javascript session reload refresh log|in login captcha blocker url hyperlink loading unavailable navegador página navigateur seite",
-}
-
+LANGUAGES = tuple(MESSAGES)
+#: A response stands under at least so many titles, twice as many at one host alone.
+TITLES = 3
+#: The lower bound (one-sided, 90 %) of the share of a response's titles that have other residue.
+SHARE, Z = 0.6, 1.2816
+#: A term that this share of all titles has is no subject.
+COMMON = 0.01
+_CUT = re.compile(r"\n+|(?<=[.!?;])\s+")
+_WRAP = re.compile(r"(?<=[a-zà-ÿ0-9,])[ \t]*\r?\n(?=[a-zà-ÿ])")
+_CODE = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+_TERM = re.compile(r"[^\W\d_]{4,}")
+_WORD = re.compile(r"[^\W\d_]+")
 
-def _stutters(text: str) -> bool:
-    """One word of at least four letters three times in a row, which no list of trigger words can announce."""
-    w = text.lower().split()
-    return any(a == b and c.startswith(a) and len(a) > 3 and a.isalpha() for a, b, c in zip(w, w[1:], w[2:]))
 
-
-@lru_cache(maxsize=1)
-def _compiled():
-    machine = ahocorasick.Automaton()
-    kinds: dict[str, set] = {}
-    for kind, words in TRIGGERS.items():
-        for word in words.split(" "):
-            kinds.setdefault(word.replace("|", " "), set()).add(kind)
-    for word, of in kinds.items():
-        machine.add_word(word, frozenset(of))
-    machine.make_automaton()
-    patterns = {"placeholder": PLACEHOLDER, "filler": FILLER, "notice": NOTICE, "error": ERROR, "work": WORK, "fields": FIELDS, "web": WEB}
-    # flags inside a pattern hold for the whole of it, but for those in groups of their own
-    made = {k: re.compile(p.replace("(?i)", ""), re.I) if k != "placeholder" else re.compile(re.sub(r"\(\?i:", "(?i:", p)) for k, p in patterns.items()}
-    return machine, made, re.compile(r"\n+|(?<=[.!?;])\s+"), re.compile(r"(?<=[a-zà-ÿ0-9,])[ \t]*\r?\n(?=[a-zà-ÿ])"), re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+@lru_cache(maxsize=4)
+def _detectors(languages: tuple[str, ...] = LANGUAGES) -> tuple[Sieve, re.Pattern, re.Pattern]:
+    rows = [("placeholder", p, 0) for p in PLACEHOLDER] + [("filler", p, re.I) for p in FILLER]
+    rows += [(kind, p, re.I) for language in languages for kind, patterns in MESSAGES[language].items() for p in patterns]
+    return Sieve(rows), re.compile(WORK), re.compile(FIELDS)
 
 
 def sentences(text: str) -> list[str]:
     """Lines, cut further behind sentence ends; wrapped lines are put together first."""
-    _, _, cut, wrap, _ = _compiled()
-    return [s for s in map(str.strip, cut.split(wrap.sub(" ", text))) if s]
-
-
-def reasons_of(sentence: str) -> set[str]:
-    """What one sentence is by itself: residue of some kind, ``suspect`` (to be held against its copies), or nothing."""
-    machine, p, _, _, _ = _compiled()
-    kinds: set[str] = set()
-    for _, of in machine.iter(f" {sentence.lower()} "):
-        kinds |= of
-    found = {k for k in kinds if p[k].search(sentence)}
-    if "placeholder" in found and p["fields"].search(sentence):
+    return [s for s in map(str.strip, _CUT.split(_WRAP.sub(" ", text))) if s]
+
+
+def stutters(words: list[str]) -> bool:
+    """One word of at least four letters three times in a row, whatever signs stand between."""
+    return any(a == b and c.startswith(a) and len(a) > 3 for a, b, c in zip(words, words[1:], words[2:]))
+
+
+def _verdict(sentence: str, found: set[str], work: re.Pattern, fields: re.Pattern) -> set[str]:
+    """The findings that stand once a sentence about the work is let off."""
+    if "placeholder" in found and fields.search(sentence):
         found.discard("placeholder")
-    if found - {"placeholder"} and p["work"].search(sentence):
+    if found - {"placeholder"} and work.search(sentence):
         found &= {"placeholder"}
-    if "web" in found:
-        found.discard("web")
-        if not found and len(sentence.split()) <= MOST_WORDS:
-            found.add("suspect")
     return found
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    machine, _, _, _, code = _compiled()
-    for batch in batches:
-        out: dict[str, list] = {"doc_id": [], "reason": [], "form": [], "host": [], "slug": []}
-        for doc, text, host, slug in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "host", "slug"))):
-            if _stutters(text):
-                for k, v in zip(out, (doc, "filler", None, host, slug)):
-                    out[k].append(v)
-            if next(machine.iter(f" {text.lower()} "), None) is None:
-                continue
-            terms = None
-            for s in sentences(text):
-                low = s.lower()
-                for reason in reasons_of(s):
-                    if reason == "suspect":
-                        terms = terms if terms is not None else set(re.findall(r"[^\W\d_]{4,}", slug.lower()))
-                        if terms & set(re.findall(r"[^\W\d_]{4,}", low)):
-                            continue
-                    for k, v in zip(out, (doc, reason, code.sub("#", low) if reason == "suspect" else None, host, slug)):
-                        out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), *(pa.array(out[k], pa.string()) for k in list(out)[1:])], names=list(out))
-
-
-def residue(docs: DataFrame, copies: int = COPIES) -> DataFrame:
+def reasons_of(sentence: str, languages: tuple[str, ...] = LANGUAGES) -> set[str]:
+    """What one sentence is by itself."""
+    sieve, work, fields = _detectors(languages)
+    tried = sieve.tried([sentence.lower()])
+    found = _verdict(sentence, sieve.names_of(sentence, tried.get(0, set())), work, fields)
+    return found | ({"filler"} if stutters(_WORD.findall(sentence.lower())) else set())
+
+
+def _code(text: str) -> int:
+    """A signed 64-bit code."""
+    code = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return code - (1 << 64) if code >> 63 else code
+
+
+MARKED = "doc_id long, host long, title long, reasons array<string>, findings int, about int, forms array<long>"
+_MARKED = pa.schema([("doc_id", pa.int64()), ("host", pa.int64()), ("title", pa.int64()), ("reasons", pa.list_(pa.string())), ("findings", pa.int32()), ("about", pa.int32()), ("forms", pa.list_(pa.int64()))])
+
+
+def _mark(languages: tuple[str, ...], common: frozenset[str]):
+    """Rows (doc_id, text, host, slug, title) -> findings of the detectors, the number of sentences about the subject, and
+    the forms (digits and codes aside) of those that aren't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, work, fields = _detectors(languages)
+        for batch in batches:
+            out: list[list] = [[] for _ in _MARKED]
+            for doc, text, host, slug, title in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "host", "slug", "title"))):
+                parts = sentences(text)
+                lowered = [s.lower() for s in parts]
+                tried = sieve.tried(lowered)
+                # where a title is missing, the first line stands for it
+                name = title.strip().lower() or (lowered[0] if lowered else "")
+                subject = [t for t in {*_TERM.findall(slug.lower()), *_TERM.findall(title.lower())} if t not in common]
+                reasons, findings, about, forms = set(), 0, 0, set()
+                for k, low in enumerate(lowered):
+                    found = _verdict(parts[k], sieve.names_of(parts[k], tried[k]), work, fields) if k in tried else None
+                    if found:
+                        reasons |= found
+                        findings += len(found)
+                    elif low == name:
+                        continue
+                    elif any(t in low for t in subject):
+                        about += 1
+                    elif any(map(str.isalpha, low)):
+                        forms.add(_code(_CODE.sub("#", low)))
+                if stutters(_WORD.findall(" ".join(lowered))):
+                    reasons.add("filler")
+                    findings += 1
+                for column, value in zip(out, (doc, _code(host), _code(name), sorted(reasons), findings, about, sorted(forms))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MARKED)], schema=_MARKED)
+
+    return run
+
+
+def _common_terms(docs: DataFrame, share: float) -> frozenset[str]:
+    """Terms that at least ``share`` of all titles have: at most the terms of a title, divided by ``share``."""
+    n = docs.count()
+    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{4,}"), 0))).alias("term"))
+    return frozenset(r["term"] for r in terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(share * n, 2)).collect())
+
+
+def _surely(found: Column, of: Column) -> Column:
+    """The lower bound of the share found / of (Wilson)."""
+    p, z = found / of, F.lit(Z * Z)
+    return (p + z / (2 * of) - Z * F.sqrt(p * (1 - p) / of + z / (4 * of * of))) / (1 + z / of)
+
+
+def residue(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, titles: int = TITLES, share: float = SHARE) -> DataFrame:
     """(doc_id, reasons ARRAY<STRING>, residue INT) for each document with residue, ``residue`` being the number of
-    findings.
+    the detectors' findings (1 where they have none). ``languages`` are those whose messages the detectors know.
 
     ``docs`` is (doc_id, text, source, title, package_id), ``doc_id`` unique. NULL text has no residue; NULL source,
     title and package_id are treated as empty; a NULL doc_id stays out; other columns are ignored; an empty table gives
-    no rows. Whole texts are looked at.
+    no rows. Whole texts are looked at, each once: all that follows reads a table of 64-bit codes.
     """
-    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("source", F.lit("")).alias("host"), F.concat_ws(" ", "package_id", "title").alias("slug"))
-    marked = d.mapInArrow(_mark, "doc_id long, reason string, form string, host string, slug string")
-    marked = marked.select("doc_id", "reason", F.xxhash64("form").alias("form"), F.xxhash64("host").alias("host"), F.xxhash64("slug").alias("slug"))
-    # one row a form: how often it stands anywhere, whether under several slugs, whether at several hosts; a host of
-    # its own asks for twice the copies that several hosts together do
-    evidence = marked.where("reason = 'suspect'").groupBy("form").agg(
-        F.count("*").alias("n"), (F.min("slug") != F.max("slug")).alias("slugs"), (F.min("host") != F.max("host")).alias("hosts"))
-    known = evidence.where(F.col("slugs") & (F.col("n") >= F.when(F.col("hosts"), copies).otherwise(2 * copies))).select("form")
-    duplicated = marked.where("reason = 'suspect'").join(known, "form", "left_semi").select("doc_id", F.lit("duplicate").alias("reason"))
-    direct = marked.where("reason <> 'suspect'").select("doc_id", "reason")
-    return direct.unionByName(duplicated).groupBy("doc_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.count("*").cast("int").alias("residue"))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", blank("source"), blank("package_id"), blank("title"))
+    d = d.withColumnsRenamed({"source": "host", "package_id": "slug"})
+    common = _common_terms(d.select("title"), COMMON)
+    marked = written(d.mapInArrow(_mark(tuple(languages), common), MARKED), "marked")
+    direct = marked.where("findings > 0").select("doc_id", "reasons", "findings")
+    # only forms under several titles go on; a form that many documents have is one row a partition before the shuffle
+    rows = marked.select("doc_id", "host", "title", F.explode("forms").alias("form"))
+    under = rows.groupBy("form", "title").agg(F.min("host").alias("low"), F.max("host").alias("high")).groupBy("form").agg(
+        F.count("*").alias("titles"), (F.min("low") != F.max("high")).alias("hosts"))
+    known = written(under.where(F.col("titles") >= F.when(F.col("hosts"), titles).otherwise(2 * titles)).select("form"), "known")
+    echoes = written(rows.join(known, "form", "left_semi"), "echoes")
+    # nothing but its title and responses
+    held = echoes.groupBy("doc_id").agg(F.count("*").alias("held"))
+    bare = marked.where("about = 0 AND (findings > 0 OR size(forms) > 0)").select("doc_id", F.size("forms").alias("n")).join(held, "doc_id", "left")
+    hollow = written(bare.where(F.coalesce("held", F.lit(0)) == F.col("n")).select("doc_id"), "hollow")
+    found = written(direct.select("doc_id").union(hollow).distinct(), "found")
+    while True:
+        state = echoes.join(found.select("doc_id", F.lit(1).alias("other")), "doc_id", "left")
+        per = state.groupBy("form", "title").agg(F.max(F.coalesce("other", F.lit(0))).alias("other")).groupBy("form").agg(F.sum("other").alias("found"), F.count("*").alias("of"))
+        sure = per.where(_surely(F.col("found"), F.col("of")) >= share).select("form")
+        beside = written(state.join(sure, "form", "left_semi").groupBy("doc_id").agg(F.max("other").alias("other")), "beside")
+        more = beside.where("other IS NULL").select("doc_id")
+        if more.isEmpty():
+            break
+        found = written(found.unionByName(more), "found")
+    why = lambda df, reason: df.select("doc_id", F.array(F.lit(reason)).alias("reasons"), F.lit(0).alias("findings"))
+    every = direct.unionByName(why(hollow, "response")).unionByName(why(beside, "company"))
+    return every.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("reasons"))).alias("reasons"), F.greatest(F.sum("findings"), F.lit(1)).cast("int").alias("residue"))
 
 
 def without_residue(docs: DataFrame, found: DataFrame) -> DataFrame:
