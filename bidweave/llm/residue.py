@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import eq
 
 import pyarrow as pa
 import xxhash
@@ -117,11 +118,12 @@ TITLES = 3
 SHARE, Z = 0.6, 1.2816
 #: A term that this share of all titles has is no subject.
 COMMON = 0.01
-_CUT = re.compile(r"\n+|(?<=[.!?;])\s+")
-_WRAP = re.compile(r"(?<=[a-zà-ÿ0-9,])[ \t]*\r?\n(?=[a-zà-ÿ])")
-_CODE = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
+_END = re.compile(r"([.!?;])\s+")
+_OPEN, _GOES_ON = re.compile(r"[a-zà-ÿ0-9,]\s*$"), re.compile("[a-zà-ÿ]")
+_DIGIT, _CODE = re.compile("[0-9]"), re.compile("[a-f]*[0-9][0-9a-f]*")
+#: Signs and digits of ASCII as blanks.
+_BLANKED = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 _TERM = re.compile(r"[^\W\d_]{4,}")
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=4)
@@ -133,11 +135,20 @@ def _detectors(languages: tuple[str, ...] = LANGUAGES) -> tuple[Sieve, re.Patter
 
 def sentences(text: str) -> list[str]:
     """Lines, cut further behind sentence ends; wrapped lines are put together first."""
-    return [s for s in map(str.strip, _CUT.split(_WRAP.sub(" ", text))) if s]
+    lines: list[str] = []
+    for line in text.split("\n"):
+        if lines and _GOES_ON.match(line) and _OPEN.search(lines[-1], max(0, len(lines[-1].rstrip()) - 1)):
+            lines[-1] = lines[-1].rstrip() + " " + line
+        else:
+            lines.append(line)
+    return [s for s in map(str.strip, _END.sub("\\1\n", "\n".join(lines)).split("\n")) if s]
 
 
-def stutters(words: list[str]) -> bool:
+def stutters(lowered: str) -> bool:
     """One word of at least four letters three times in a row, whatever signs stand between."""
+    words = lowered.encode("utf-8", "surrogatepass").translate(_BLANKED).split()
+    if not any(map(eq, words, words[1:])):
+        return False
     return any(a == b and c.startswith(a) and len(a) > 3 for a, b, c in zip(words, words[1:], words[2:]))
 
 
@@ -155,7 +166,7 @@ def reasons_of(sentence: str, languages: tuple[str, ...] = LANGUAGES) -> set[str
     sieve, work, fields = _detectors(languages)
     tried = sieve.tried([sentence.lower()])
     found = _verdict(sentence, sieve.names_of(sentence, tried.get(0, set())), work, fields)
-    return found | ({"filler"} if stutters(_WORD.findall(sentence.lower())) else set())
+    return found | ({"filler"} if stutters(sentence.lower()) else set())
 
 
 def _code(text: str) -> int:
@@ -194,8 +205,8 @@ def _mark(languages: tuple[str, ...], common: frozenset[str]):
                     elif any(t in low for t in subject):
                         about += 1
                     elif any(map(str.isalpha, low)):
-                        forms.add(_code(_CODE.sub("#", low)))
-                if stutters(_WORD.findall(" ".join(lowered))):
+                        forms.add(_code(_CODE.sub("#", low) if _DIGIT.search(low) else low))
+                if stutters(" ".join(lowered)):
                     reasons.add("filler")
                     findings += 1
                 for column, value in zip(out, (doc, _code(host), _code(name), sorted(reasons), findings, about, sorted(forms))):

@@ -111,7 +111,7 @@ def test_residue_frame(spark):
     rows += [(50, "Bramoa work goes on.\nErgo vale.\nNavel oru.", "host0", "Bramoa"), (51, "Bramob work goes on.\nNavel oru.\n400\n512.", "host1", "Bramob")]
     df = spark.createDataFrame([(*r, None, "clash") for r in rows], "doc_id long, text string, source string, title string, package_id string, reason string")
     got = {r["doc_id"]: r["reasons"] for r in residue.residue(df).collect()}
-    assert got == {13: ["error"], 15: ["filler", "response"], **{20 + k: ["response"] for k in range(3)}, **{40 + k: ["company", "error"] for k in range(6)}, 50: ["company"]}
+    assert got == {13: ["error"], 15: ["filler"], **{20 + k: ["company", "response"] for k in range(3)}, **{40 + k: ["company", "error"] for k in range(6)}, 50: ["company"]}
     assert residue.without_residue(df, residue.residue(df)).count() == len(rows) - len(got)
     assert residue.residue(df.limit(0)).collect() == []
 
