@@ -9,18 +9,23 @@ from bidweave.llm import leaks, mixing, pieces, pii, plain, residue, similar, tr
 from bidweave.sources.tables import table
 
 
+def _near_items(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    return similar.near_duplicates(table(spark, directory, "items"), "seq", "statement", "quote", threshold=0.7)
+
+
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
-    pairs, _ = similar.near_duplicates(table(spark, directory, "items"), "seq", "statement", "quote", threshold=0.7)
-    return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
+    """All pairs of items, those inside classes of equal word sets and between linked classes."""
+    return similar.expanded(*_near_items(spark, directory)).select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"))
 
 
 def p1_groups(spark: SparkSession, directory: str) -> DataFrame:
-    """Each item with its class of equal word sets and its group of linked classes."""
-    pairs, members = similar.near_duplicates(table(spark, directory, "items"), "seq", "statement", "quote", threshold=0.7)
-    groups = similar.components(pairs)
-    return members.join(groups, members["key"] == groups["node"], "left").select(
-        F.col("key").alias("seq"), F.col("rid").alias("class_seq"), F.coalesce("root", "key").alias("group_seq"))
-
+    """Each item with its class of equal word sets, the number of classes linked to it, and its group of linked classes."""
+    links, members = _near_items(spark, directory)
+    links = similar.written(links, "links")
+    groups = similar.components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
+    both = members.join(groups.withColumnRenamed("node", "rid"), "rid", "left").join(degree, "rid", "left")
+    return both.select(F.col("key").alias("seq"), F.col("rid").alias("class_seq"), F.coalesce("root", "rid").alias("group_seq"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:

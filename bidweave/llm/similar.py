@@ -12,23 +12,23 @@ Two records are near-duplicates when their distinct words overlap in at least ``
    pairs are, of the most frequent ones triples. Any two near-duplicates share a signature. The frequencies at which
    pairs and triples begin follow from the number of records, so that the expected lists stay as long at every size.
 4. Signatures are shuffled in column blocks, listed, and pairs on a list are sifted by size and by a 192-bit sketch of
-   the words (a lower bound of the difference, so nothing is lost).
+   the words (a lower bound of the difference, so nothing is lost). A combination goes where its rarest tokens are
+   listed, so a record's signatures travel together and its sketch is sent once for many of them.
 5. What is left is verified on the words themselves.
 
-The list of a signature that is longer than ``hot_list`` is cut into blocks, and pairs of blocks go to tasks of their
-own.
+Signatures of very many records are known beforehand from a sample of records (which decides on the way only, never on
+the result): their lists are never gathered. Records are dealt into blocks by a hash, and each two blocks meet in a task
+of their own.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.session import written
@@ -40,7 +40,10 @@ MOST_FREQUENT = 512
 #: Sets of at most so many words may be too small to form pairs or triples; they list single words besides.
 TINY = 6
 SKETCH_WORDS = 3
-PAIRS_AT_ONCE = 2_000_000
+#: Pairs sifted at once: so few that they stay in a core's cache.
+PAIRS_AT_ONCE = 50_000
+#: Records (about) from which signatures of long lists are foreseen.
+SAMPLE = 20_000
 #: Up to so many rows (16 bytes each) that repeat a class are broadcast.
 FEW_COPIES = 1_000_000
 
@@ -100,7 +103,7 @@ def _bits(token: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signatures(token: np.ndarray, offsets: np.ndarray, order: _Order, t: float):
-    """Rows (record, signature, whether it lies in the shorter prefix) of a batch of sets."""
+    """Rows (record, signature, code of its rarest tokens, whether it lies in the shorter prefix) of a batch of sets."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     row = np.repeat(np.arange(n), size)
@@ -122,9 +125,11 @@ def _signatures(token: np.ndarray, offsets: np.ndarray, order: _Order, t: float)
     inside, short = before < probe[row], before < index[row]
     out = []
     one = inside & (kind == 0)
-    out.append((row[one], _mix(token[one], np.uint64(1) + np.zeros(one.sum(), np.uint64)), short[one]))
+    single = _mix(token[one], np.uint64(1) + np.zeros(one.sum(), np.uint64))
+    out.append((row[one], single, single, short[one]))
     tiny = (size <= TINY)[row]
-    out.append((row[tiny], _mix(token[tiny], np.uint64(7) + np.zeros(tiny.sum(), np.uint64)), np.ones(tiny.sum(), bool)))
+    single = _mix(token[tiny], np.uint64(7) + np.zeros(tiny.sum(), np.uint64))
+    out.append((row[tiny], single, single, np.ones(tiny.sum(), bool)))
     for k in (1, 2):
         own = np.flatnonzero(inside & (kind == k))
         r = row[own]
@@ -137,21 +142,13 @@ def _signatures(token: np.ndarray, offsets: np.ndarray, order: _Order, t: float)
             combos = np.array(np.triu_indices(c, 1)) if k == 1 else np.array(
                 [(a, b, d) for a in range(c) for b in range(a + 1, c) for d in range(b + 1, c)]).T
             sig = _mix(*[tok[:, i] for i in combos])
-            out.append((np.repeat(recs, combos.shape[1]), sig.ravel(), sh[:, combos[-1]].ravel()))
+            lead = _mix(*[tok[:, i] for i in combos[:-1]])
+            out.append((np.repeat(recs, combos.shape[1]), sig.ravel(), lead.ravel(), sh[:, combos[-1]].ravel()))
     return tuple(np.concatenate(x) for x in zip(*out)), size
 
 
-def _labels(spark: SparkSession, n: int) -> list[int]:
-    """``n`` numbers that hash partitioning sends to ``n`` different partitions."""
-    bucket = F.col("id").cast("int").alias("bucket")
-    held = spark.range(40 * n + 400).select(bucket).withColumn("to", F.pmod(F.hash("bucket"), F.lit(n))).groupBy("to").agg(F.min("bucket").alias("b")).collect()
-    found = {r["to"]: r["b"] for r in held}
-    return [found.get(k, 40 * n + 400 + k) for k in range(n)]
-
-
-def _blocks(order: _Order, t: float, labels: list[int]):
-    """Arrow batches of (rid, tokens) -> one row of packed columns for each bucket."""
-    buckets = len(labels)
+def _blocks(order: _Order, t: float, buckets: int, hot: np.ndarray):
+    """Arrow batches of (rid, tokens) -> one row of packed columns for each bucket; ``hot`` signatures are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,25 +156,25 @@ def _blocks(order: _Order, t: float, labels: list[int]):
                 continue
             token, offsets = _flat(batch.column("tokens"))
             rid = batch.column("rid").to_numpy()
-            (row, sig, short), size = _signatures(token, offsets, order, t)
+            (row, sig, lead, short), size = _signatures(token, offsets, order, t)
             bits = _bits(token, np.repeat(np.arange(len(rid)), size), len(rid))
-            to = (sig % np.uint64(buckets)).astype(np.int64)
+            if len(hot):
+                cold = ~_among(sig, hot)[1]
+                row, sig, lead, short = row[cold], sig[cold], lead[cold], short[cold]
+            to = (lead % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             row, sig, short, to = row[by], sig[by], short[by], to[by]
-            ends = np.searchsorted(to, np.arange(buckets + 1))
+            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, np.int64)
             cols: dict[str, list] = {k: [] for k in ("bucket", "rid", "size", "bits", "sig", "loc")}
-            for b in range(buckets):
-                r = row[ends[b] : ends[b + 1]]
-                if not len(r):
-                    continue
-                used, loc = np.unique(r, return_inverse=True)
-                cols["bucket"].append(labels[b])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                used, loc = np.unique(row[lo:hi], return_inverse=True)
+                cols["bucket"].append(int(to[lo]))
                 cols["rid"].append(rid[used].tobytes())
                 cols["size"].append(size[used].astype(np.uint16 if size.max() < 1 << 16 else np.uint32).tobytes())
                 cols["bits"].append(bits[used].tobytes())
                 # inside a bucket 32 bits tell signatures apart well enough: a clash only adds candidates
-                cols["sig"].append((sig[ends[b] : ends[b + 1]] >> np.uint64(32)).astype(np.uint32).tobytes())
-                place = loc.astype(np.uint32) * 2 + short[ends[b] : ends[b + 1]]
+                cols["sig"].append((sig[lo:hi] >> np.uint64(32)).astype(np.uint32).tobytes())
+                place = loc.astype(np.uint32) * 2 + short[lo:hi]
                 cols["loc"].append(place.astype(np.uint16 if len(used) < 1 << 15 else np.uint32).tobytes())
             yield pa.RecordBatch.from_pydict(
                 {"bucket": pa.array(cols["bucket"], pa.int32())} | {k: pa.array(cols[k], pa.binary()) for k in ("rid", "size", "bits", "sig", "loc")})
@@ -188,29 +185,118 @@ def _blocks(order: _Order, t: float, labels: list[int]):
 BLOCK = "bucket int, rid binary, size binary, bits binary, sig binary, loc binary"
 
 
+def _among(values: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether the values are there."""
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return at, sorted_[at] == values
+
+
+def _foreseen(sets: DataFrame, order: _Order, t: float, n: int, hot_list: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures that will have lists of more than about ``hot_list`` (or a thousandth of all) records, in order, and
+    into how many blocks their records go. At most a thousand times the signatures of one record."""
+    share = max(1, n // SAMPLE)
+    least = max(hot_list, n // 1000)
+    shared = sets.sparkSession.sparkContext.broadcast(order)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                (_, sig, _, _), _ = _signatures(*_flat(batch.column("tokens")), shared.value, t)
+                sigs, counts = np.unique(sig, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(counts.astype(np.int64))], names=["sig", "n"])
+
+    part = sets.where(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0).select("tokens")
+    held = part.mapInArrow(count, "sig long, n long").groupBy("sig").agg((F.sum("n") * share).alias("n")).where(F.col("n") > least).toPandas()
+    sig, many = held["sig"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(np.int64)
+    by = np.argsort(sig)
+    return sig[by], -(-many[by] // least)
+
+
+def _hot_blocks(order: _Order, t: float, hot: np.ndarray, blocks: np.ndarray):
+    """Arrow batches of (rid, tokens) -> packed records by hot signature and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, offsets = _flat(batch.column("tokens"))
+            rid = batch.column("rid").to_numpy()
+            (row, sig, _, short), size = _signatures(token, offsets, order, t)
+            at, there = _among(sig, hot)
+            row, at, short = row[there], at[there], short[there]
+            bits = _bits(token, np.repeat(np.arange(len(rid)), size), len(rid))
+            block = (_mix(rid.view(np.uint64)) >> np.uint64(33)).astype(np.int64)[row] % blocks[at]
+            by = np.lexsort((block, at))
+            row, at, short, block = row[by], at[by], short[by], block[by]
+            packed = np.concatenate([rid[row].view(np.uint64)[:, None], size[row].astype(np.uint64)[:, None], short.astype(np.uint64)[:, None], bits[row]], axis=1)
+            cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1]), [True]])) if len(at) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "sig": pa.array(at[cuts[:-1]], pa.int64()), "block": pa.array(block[cuts[:-1]].astype(np.int32)), "blocks": pa.array(blocks[at[cuts[:-1]]].astype(np.int32)),
+                "packed": pa.array([packed[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])], pa.binary())})
+
+    return run
+
+
+def _meet(t: float):
+    """Rows (sig, i, j, block, packed), sorted by (sig, i, j): the pairs of blocks i and j."""
+
+    def pairs(rows: list[tuple[int, bytes]], i: int, j: int) -> pa.RecordBatch:
+        x = np.concatenate([np.frombuffer(p, np.uint64).reshape(-1, 3 + SKETCH_WORDS) for _, p in rows])
+        side = np.concatenate([np.full(len(p) // (8 * (3 + SKETCH_WORDS)), b) for b, p in rows])
+        by = np.argsort(x[:, 1], kind="stable")
+        x, side = x[by], side[by]
+        rid, size, short, bits = x[:, 0].astype(np.int64), x[:, 1].astype(np.int64), x[:, 2].astype(bool), x[:, 3:]
+        found: list = []
+        for a, b in {(i, j), (j, i)}:
+            left, right = short & (side == a), side == b
+            lo = np.searchsorted(size[right], size[left], "left")
+            hi = np.searchsorted(size[right], np.floor(size[left] / t + 1e-9), "right")
+            _sift(rid[right], size[right], bits[right], (rid[left], size[left], bits[left]), lo, hi, t, found)
+        p = _pairs(found)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for sig, i, j, block, packed in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "block", "packed"))):
+                if (sig, i, j) != now and held:
+                    yield pairs(held, *now[1:])
+                    held = []
+                now = (sig, i, j)
+                held.append((block, packed))
+        if held:
+            yield pairs(held, *now[1:])
+
+    return run
+
+
 def _sift(rid, size, bits, left, lo, hi, t, found: list) -> None:
     """Pairs (left[i], any of lo[i]..hi[i] in list order) whose sketches don't rule a near-duplicate out."""
     (lrid, lsize, lbits), n = left, hi - lo
-    done = 0
-    ends = np.cumsum(n)
+    if not len(n) or not len(size):
+        return
+    column = [np.ascontiguousarray(bits[:, w]) for w in range(SKETCH_WORDS)]
+    own = [np.ascontiguousarray(lbits[:, w]) for w in range(SKETCH_WORDS)]
+    # how many words of two sets may differ, by their sizes together; first by the largest partner that a set may have
+    most = np.floor((1 - t) / (1 + t) * np.arange(2 * max(int(size.max()), int(lsize.max())) + 2) + 1e-9).astype(np.int64)
+    loose = most[np.minimum(lsize + np.floor(lsize / t + 1e-9).astype(np.int64), len(most) - 1)]
+    ends, done = np.cumsum(n), 0
     while done < len(n):
         base = ends[done - 1] if done else 0
         upto = max(done + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE, "right")))
         k = n[done:upto]
-        total = int(k.sum())
+        total = int(ends[upto - 1] - base)
         if total:
-            a = np.repeat(np.arange(done, upto), k)
-            b = np.arange(total) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[done:upto], k)
-            most = np.floor((1 - t) / (1 + t) * (lsize[a] + size[b]) + 1e-9)
-            apart = np.zeros(total, np.uint16)
-            for w in range(SKETCH_WORDS):
-                apart = apart + np.bitwise_count(lbits[a, w] ^ bits[b, w])
-                keep = apart <= most
-                if not keep.all():
-                    a, b, most, apart = a[keep], b[keep], most[keep], apart[keep]
+            b = np.arange(total) + np.repeat(lo[done:upto] - (ends[done:upto] - base - k), k)
+            apart = np.bitwise_count(np.repeat(own[0][done:upto], k) ^ column[0][b]) + np.bitwise_count(np.repeat(own[1][done:upto], k) ^ column[1][b])
+            keep = np.flatnonzero(apart <= np.repeat(loose[done:upto], k))
+            a, b, apart = np.repeat(np.arange(done, upto), k)[keep], b[keep], apart[keep].astype(np.int64)
+            for w in range(2, SKETCH_WORDS):
+                apart += np.bitwise_count(own[w][a] ^ column[w][b])
             x, y = lrid[a], rid[b]
-            differ = x != y
-            found.append(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]], axis=1))
+            keep = (apart <= most[lsize[a] + size[b]]) & (x != y)
+            x, y = x[keep], y[keep]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
         done = upto
 
 
@@ -218,10 +304,10 @@ def _pairs(found: list) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def _lists(t: float, hot_list: int):
-    """Packed blocks, sorted by bucket -> candidates, and blocks of the lists that are too long for one task."""
+def _lists(t: float):
+    """Packed blocks, sorted by bucket -> candidates."""
 
-    def bucket_of(rows: list[dict]) -> Iterator[dict]:
+    def bucket_of(rows: list[dict]) -> pa.RecordBatch | None:
         rid = np.concatenate([np.frombuffer(r["rid"], np.int64) for r in rows])
         size = np.concatenate([np.frombuffer(r["size"], np.uint16 if len(r["size"]) * 4 == len(r["rid"]) else np.uint32) for r in rows]).astype(np.int64)
         bits = np.concatenate([np.frombuffer(r["bits"], np.uint64).reshape(-1, SKETCH_WORDS) for r in rows])
@@ -233,87 +319,35 @@ def _lists(t: float, hot_list: int):
         # signatures of one record only are dropped before anything is moved
         by = np.argsort(sig)
         same = sig[by][1:] == sig[by][:-1]
-        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        by = by[twice]
+        by = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         sig, loc, short = sig[by], loc[by], short[by]
         if not len(sig):
-            return
+            return None
         run = np.cumsum(np.concatenate([[0], sig[1:] != sig[:-1]]))
-        by = np.lexsort((size[loc], run))
-        run, loc, short = run[by], loc[by], short[by]
-        length = np.bincount(run)
-        hot = length[run] > hot_list
-        found: list = []
-        if hot.any():
-            for r in np.unique(run[hot]):
-                own = loc[run == r]
-                yield {"hot": sig_block(rid[own], size[own], bits[own], short[run == r], hot_list), "pairs": None}
-        run, loc, short = run[~hot], loc[~hot], short[~hot]
         width = int(size.max()) + 2
+        by = np.argsort(run * width + size[loc])
+        run, loc, short = run[by], loc[by], short[by]
         key = run * width + size[loc]
         own = np.flatnonzero(short)
         most = np.minimum(np.floor(size[loc[own]] / t + 1e-9).astype(np.int64), width - 1)
-        lo = np.searchsorted(key, run[own] * width + size[loc[own]], "left")
+        lo = np.searchsorted(key, key[own], "left")
         hi = np.searchsorted(key, run[own] * width + most, "right")
+        found: list = []
         _sift(rid[loc], size[loc], bits[loc], (rid[loc[own]], size[loc[own]], bits[loc[own]]), lo, hi, t, found)
-        yield {"hot": [], "pairs": _pairs(found)}
-
-    def out(part: dict) -> Iterator[pa.RecordBatch]:
-        rows = [{"a": None, "b": None, **h} for h in part["hot"]]
-        if part["pairs"] is not None:
-            p = part["pairs"]
-            none = pa.nulls(len(p), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none, none], schema=CANDIDATE)
-        for k in range(0, len(rows), 16):
-            yield pa.RecordBatch.from_pylist(rows[k : k + 16], schema=CANDIDATE)
+        p = _pairs(found)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
                 if held and held[0]["bucket"] != r["bucket"]:
-                    for part in bucket_of(held):
-                        yield from out(part)
-                    held = []
+                    out, held = bucket_of(held), []
+                    if out is not None:
+                        yield out
                 held.append(r)
-        if held:
-            for part in bucket_of(held):
-                yield from out(part)
-
-    return run
-
-
-CANDIDATE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
-
-
-def sig_block(rid, size, bits, short, most: int) -> Iterator[dict]:
-    """Pairs of blocks of one long list, each to be sifted in a task of its own."""
-    packed = [np.concatenate([rid[k : k + most].astype(np.int64).view(np.uint64)[:, None], size[k : k + most].astype(np.uint64)[:, None],
-                              short[k : k + most].astype(np.uint64)[:, None], bits[k : k + most]], axis=1).tobytes()
-              for k in range(0, len(rid), most)]
-    return ({"left": packed[i], "right": packed[j]} for i in range(len(packed)) for j in range(i, len(packed)))
-
-
-def _hot(t: float):
-    """Pairs of blocks -> candidates."""
-
-    def unpack(b: bytes):
-        x = np.frombuffer(b, np.uint64).reshape(-1, 3 + SKETCH_WORDS)
-        return x[:, 0].view(np.int64) if x.flags.c_contiguous and x.shape[1] == 1 else x[:, 0].astype(np.int64), x[:, 1].astype(np.int64), x[:, 2].astype(bool), x[:, 3:]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                found: list = []
-                for one, two in ((r["left"], r["right"]), (r["right"], r["left"])):
-                    (arid, asize, ashort, abits), (brid, bsize, _, bbits) = unpack(one), unpack(two)
-                    by = np.argsort(bsize, kind="stable")
-                    brid, bsize, bbits = brid[by], bsize[by], bbits[by]
-                    lo = np.searchsorted(bsize, asize[ashort], "left")
-                    hi = np.searchsorted(bsize, np.floor(asize[ashort] / t + 1e-9), "right")
-                    _sift(brid, bsize, bbits, (arid[ashort], asize[ashort], abits[ashort]), lo, hi, t, found)
-                p = _pairs(found)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+        if held and (out := bucket_of(held)) is not None:
+            yield out
 
     return run
 
@@ -383,16 +417,24 @@ def similar_sets(sets: DataFrame, threshold: float = 0.7, list_length: int = 200
     order, n = _order(sets, list_length)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = blocks or max(parts, math.ceil(n * 50 / 2_000_000))
-    labels = _labels(spark, buckets)
-    shared = spark.sparkContext.broadcast(order)  # of fixed size: see SKETCH_BITS and MOST_FREQUENT
+    hot, dealt = _foreseen(sets, order, threshold, n, hot_list)
+    # both of bounded size: see SKETCH_BITS, MOST_FREQUENT, _foreseen
+    shared = spark.sparkContext.broadcast((order, hot, dealt))
 
     def blocks_of(batches):
-        yield from _blocks(shared.value, threshold, labels)(batches)
-
-    packed = sets.mapInArrow(blocks_of, BLOCK).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    sifted = written(packed.mapInArrow(_lists(threshold, hot_list), "a long, b long, left binary, right binary"), "sifted")
-    hot = sifted.where("left IS NOT NULL").select("left", "right").repartition(parts)
-    candidates = sifted.where("left IS NULL").select("a", "b").unionByName(hot.mapInArrow(_hot(threshold), "a long, b long")).distinct()
+        yield from _blocks(shared.value[0], threshold, buckets, shared.value[1])(batches)
+
+    def hot_of(batches):
+        yield from _hot_blocks(shared.value[0], threshold, *shared.value[1:])(batches)
+
+    packed = sets.mapInArrow(blocks_of, BLOCK).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    candidates = packed.mapInArrow(_lists(threshold), "a long, b long")
+    if len(hot):
+        rows = sets.mapInArrow(hot_of, "sig long, block int, blocks int, packed binary").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "packed")
+        met = met.repartition(max(parts, int((dealt * (dealt + 1) // 2).sum())), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        candidates = candidates.unionByName(met.mapInArrow(_meet(threshold), "a long, b long"))
+    candidates = candidates.distinct()
     left = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
     shares = F.size(F.array_intersect("ta", "tb"))
@@ -410,13 +452,12 @@ def token_sets(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return written(base, "tokens")
 
 
-def near_duplicates(df: DataFrame, key: str, *columns: str, threshold: float = 0.7, expand: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Pairs and classes of near-duplicate records.
+def near_duplicates(df: DataFrame, key: str, *columns: str, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Links and classes of near-duplicate records.
 
-    Returns ``(pairs, members)``. ``members`` is (key, rid): the records by class of equal word sets, ``rid`` being the
-    least key of the class. ``pairs`` is (a, b), a < b, distinct: all pairs of near-duplicate records. Of a class of
-    more than ``expand`` copies the pairs inside it are left to ``members``, each copy being paired with ``rid``
-    only, and links to other texts are those of ``rid``; every link between different texts is there.
+    Returns ``(links, members)``, of one form whatever the sizes of classes. ``members`` is (key, rid): the records by class
+    of equal word sets, ``rid`` being the least key of the class. ``links`` is (a, b), a < b, distinct: the pairs of classes
+    of near-duplicate but different word sets, by ``rid``. ``expanded`` makes pairs of records of the two.
 
     Defined cases: a NULL text counts as empty; records without any word are near-duplicates of nothing; a NULL key
     stays out; rows that repeat a key count once (they are taken to repeat its text); an empty table gives no rows;
@@ -432,29 +473,27 @@ def near_duplicates(df: DataFrame, key: str, *columns: str, threshold: float = 0
     # only the first row of each class goes on; where copies are few, they are sent to all tasks instead of moving the sets
     few = copies.count() <= FEW_COPIES
     reps = written(base.join(F.broadcast(copies) if few else copies, "row", "left_anti").select(F.col("key").alias("rid"), "tokens"), "sets")
-    links = similar_sets(reps, threshold)
-    held = members.groupBy("rid").agg(F.count("*").alias("copies"))
-    shown = members.join(held, "rid").where((F.col("copies") <= expand) | (F.col("key") == F.col("rid"))).select("key", "rid")
-    across = (
-        links.join(shown.select(F.col("rid").alias("a"), F.col("key").alias("x")), "a").join(shown.select(F.col("rid").alias("b"), F.col("key").alias("y")), "b").select("x", "y")
-    )
-    several = members.join(held.where("copies > 1"), "rid")
-    small = several.where(F.col("copies") <= expand).select("rid", "key")
-    inside = small.select("rid", F.col("key").alias("x")).join(small.select("rid", F.col("key").alias("y")), "rid").where("x < y").select("x", "y")
-    star = several.where((F.col("copies") > expand) & (F.col("key") != F.col("rid"))).select(F.col("rid").alias("x"), F.col("key").alias("y"))
-    pairs = reduce(DataFrame.unionByName, [across, inside, star])
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), members
+    return similar_sets(reps, threshold), members
+
+
+def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of near-duplicate records: those inside classes and those of linked classes. As many rows as
+    there are such pairs, so classes of very many copies are better left as they are."""
+    across = links.join(members.select(F.col("rid").alias("a"), F.col("key").alias("x")), "a").join(members.select(F.col("rid").alias("b"), F.col("key").alias("y")), "b").select("x", "y")
+    copied = members.join(members.where("key <> rid").select("rid").distinct(), "rid", "left_semi")
+    inside = copied.select("rid", F.col("key").alias("x")).join(copied.select("rid", F.col("key").alias("y")), "rid").where("x < y").select("x", "y")
+    return across.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of undirected ``edges`` (a, b), root being the least node.
 
-    Alternates linking each node's larger neighbours, then all neighbours, to the least one, until nothing changes. Each round is written to
-    the shared folder; no star is collected anywhere.
+    Alternates linking each node's larger neighbours, then all neighbours, to the least one, until nothing changes, which
+    takes about as many rounds as the logarithm of the longest path. Each round is written to the shared folder; no star is collected anywhere.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -467,7 +506,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("the components did not settle")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()

@@ -41,7 +41,7 @@ def corpus(seed, n=160):
 def test_all_pairs_are_found(spark, seed, t):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "seq long, statement string, quote string")
-    pairs, _ = similar.near_duplicates(df, "seq", "statement", "quote", threshold=t)
+    pairs = similar.expanded(*similar.near_duplicates(df, "seq", "statement", "quote", threshold=t))
     assert set(map(tuple, pairs.collect())) == brute(rows, t)
 
 
@@ -61,19 +61,40 @@ def test_edge_cases(spark):
         (1, None, None), (2, "", "  ... "), (3, "One Two", None), (4, None, "two ONE"), (3, "One Two", None), (None, "one", "two"), (5, "one", "two three"), (6, "x " * 5000, "y"), (7, "x", "y y"), (8, "ÉTÉ 1", ""),
     ]
     df = spark.createDataFrame([(*r, "clash", 9) for r in rows], "seq long, statement string, quote string, key string, rid int")
-    pairs, members = similar.near_duplicates(df, "seq", "statement", "quote", threshold=0.66)
-    assert sorted(map(tuple, pairs.collect())) == [(3, 4), (3, 5), (4, 5), (6, 7)]
+    links, members = similar.near_duplicates(df, "seq", "statement", "quote", threshold=0.66)
+    assert sorted(map(tuple, links.collect())) == [(3, 5)]
+    assert sorted(map(tuple, similar.expanded(links, members).collect())) == [(3, 4), (3, 5), (4, 5), (6, 7)]
     assert sorted(map(tuple, members.collect())) == [(3, 3), (4, 3), (5, 5), (6, 6), (7, 6), (8, 8)]
     none, _ = similar.near_duplicates(df.limit(0), "seq", "statement", "quote")
     assert none.collect() == []
 
 
-def test_large_classes_are_stars(spark):
-    rows = [(k, "same words here", "") for k in range(12)] + [(50, "same words here now", "")]
+def test_large_classes_have_the_same_form(spark):
+    rows = [(k, "same words here", "") for k in range(1200)] + [(5000, "same words here now", "")]
     df = spark.createDataFrame(rows, "seq long, statement string, quote string")
-    pairs, members = similar.near_duplicates(df, "seq", "statement", "quote", threshold=0.7, expand=5)
-    assert sorted(map(tuple, pairs.collect())) == [(0, k) for k in range(1, 12)] + [(0, 50)]
-    assert members.where("rid = 0").count() == 12
+    links, members = similar.near_duplicates(df, "seq", "statement", "quote", threshold=0.7)
+    assert list(map(tuple, links.collect())) == [(0, 5000)] and members.where("rid = 0").count() == 1200
+    assert similar.expanded(links, members).count() == 1200 * 1199 // 2 + 1200
+
+
+def test_no_task_holds_a_hot_list(spark):
+    """One combination of frequent words in 30,000 records, with a few near-duplicates among them."""
+    n, least = 30_000, 1000
+    rows = [(k, "alpha beta gamma delta epsilon zeta eta theta iota kappa " + " ".join(f"{c}{k}" for c in "abc")) for k in range(n)]
+    rows += [(n + k, rows[k * 700][1] + " more") for k in range(20)]
+    sets = spark.createDataFrame(rows, "rid long, t string").select("rid", similar.tokens_of(similar.words_of(F.col("t"))).alias("tokens"))
+    sets = similar.written(sets.repartition(8), "sets")
+    order, total = similar._order(sets, 1)
+    order.phrase[:] = False
+    order.single, order.pair = 0, 0  # words of any frequency only in threes
+    hot, blocks = similar._foreseen(sets, order, 0.7, total, least)
+    assert len(hot) and blocks.max() >= n // least
+    packed = sets.mapInArrow(similar._hot_blocks(order, 0.7, hot, blocks), "sig long, block int, blocks int, packed binary")
+    size = F.length("packed") / (8 * (3 + similar.SKETCH_WORDS))
+    held = packed.groupBy("sig", "block").agg(F.sum(size).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert held[0] < 1.3 * least and held[1] >= n
+    got = set(map(tuple, similar.similar_sets(sets, 0.7, 2000, least).collect()))
+    assert got == {(k * 700, n + k) for k in range(20)}
 
 
 def test_components(spark):
