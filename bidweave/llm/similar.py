@@ -408,7 +408,7 @@ def _order(sets: DataFrame, list_length: int) -> tuple[_Order, int]:
 def similar_sets(sets: DataFrame, threshold: float = 0.7, list_length: int = 2000, hot_list: int = 20_000, blocks: int | None = None) -> DataFrame:
     """Pairs ``a < b`` of ``rid`` whose ``tokens`` (distinct, not empty) overlap in ``threshold`` or more.
 
-    ``sets`` is (rid LONG unique, tokens ARRAY<LONG> sorted); it is read several times, so it should be a written table.
+    ``sets`` is (rid LONG unique, tokens ARRAY<LONG> sorted); it is read several times, so it should be a written table or cheap to make from one.
     ``list_length`` is the expected length at which a signature takes one more token.
     """
     if not 0.5 <= threshold <= 1:
@@ -434,7 +434,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.7, list_length: int = 200
         met = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "packed")
         met = met.repartition(max(parts, int((dealt * (dealt + 1) // 2).sum())), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         candidates = candidates.unionByName(met.mapInArrow(_meet(threshold), "a long, b long"))
-    candidates = candidates.distinct()
+    # written, so that the packed blocks are free before the words are moved
+    candidates = written(candidates.distinct(), "candidates")
     left = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
     shares = F.size(F.array_intersect("ta", "tb"))
@@ -470,10 +471,10 @@ def near_duplicates(df: DataFrame, key: str, *columns: str, threshold: float = 0
     placed = written(rows.join(classes, ["h", "n", "h2"]).select("row", "key", "rid", "first"), "members")
     members = placed.select("key", "rid").distinct()
     copies = placed.where(F.col("row") != F.col("first")).select("row")
-    # only the first row of each class goes on; where copies are few, they are sent to all tasks instead of moving the sets
+    # only the first row of each class goes on; where copies are few, they are sent to all tasks instead of moving (and writing) the sets
     few = copies.count() <= FEW_COPIES
-    reps = written(base.join(F.broadcast(copies) if few else copies, "row", "left_anti").select(F.col("key").alias("rid"), "tokens"), "sets")
-    return similar_sets(reps, threshold), members
+    reps = base.join(F.broadcast(copies) if few else copies, "row", "left_anti").select(F.col("key").alias("rid"), "tokens")
+    return similar_sets(reps if few else written(reps, "sets"), threshold), members
 
 
 def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
