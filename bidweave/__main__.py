@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = local_session()
     parts = [(a.base, "base"), *((x, "amendment") for x in a.amendment), *((x, "attachment") for x in a.attachment)]
-    pages = reduce(DataFrame.unionByName, [files.page_texts(spark, path).withColumn("role", F.lit(role)) for path, role in parts])
+    pages = reduce(DataFrame.unionByName, [files.page_texts(spark, path).withColumn("role", F.lit(role)).withColumn("doc_order", F.lit(n)) for n, (path, role) in enumerate(parts)])
     found = keyword.baseline(pages.withColumn("package_id", F.lit(a.title or "package")))
     if a.redact_contacts:
         for column in ("statement", "quote"):

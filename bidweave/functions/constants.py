@@ -30,7 +30,7 @@ MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(
 DATE_REVISED = MONTH + r"\s+(\d{1,2})(?:st|nd|rd|th)?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
 DATE_NAMED = MONTH + r"\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
 DATE_DAY_FIRST = r"\b(\d{1,2})\s+" + MONTH + r",?\s+(\d{4})"
-DATE_NUMERIC = r"\b(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})\b"
+DATE_NUMERIC = r"\b(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})\b"
 DATE_ISO = r"\b(\d{4})-(\d{2})-(\d{2})\b"
 TIME_12 = r"\b(\d{1,2})(?::(\d{2}))?\s*(a\.?\s?m\.?|p\.?\s?m\.?)(?![a-z])"
 TIME_24 = r"\b([01]?\d|2[0-3]):([0-5]\d)\b(?!\s*(?:a\.?m|p\.?m))"

@@ -38,8 +38,9 @@ def ranked(items: DataFrame, fact: str, kinds: list[str], rank, floor: int) -> D
 
 
 def key_facts(items: DataFrame) -> DataFrame:
-    """One row for each package and fact found, ``fact`` naming it; the order of items is ``seq``."""
-    kept = live(items)
+    """One row for each package and fact found, ``fact`` naming it; the order of items is ``seq``. ``evaluation_factors`` has
+    a row for each of a package's factors. Superseded and rejected items are no facts."""
+    kept = live(items).where(~F.col("verification").eqNullSafe("missing"))
     text = F.concat_ws(" ", empty(F.col("statement")), empty(F.col("quote")))
     one = lambda c, n=1: F.when(c, n).otherwise(0)
     submission = one(has(text, K.CHANNEL_WORDS), 2) + one(has(text, K.RESPONSE_WORDS), 2) + one(F.col("kind") == "submission_method") - one(has(empty(F.col("statement")), K.NOT_THE_RESPONSE), 4)
@@ -47,6 +48,7 @@ def key_facts(items: DataFrame) -> DataFrame:
     parts = [
         dated(kept, "response_due"), dated(kept, "questions_due"), ranked(kept, "submission_method", ["submission_method", "response_due"], submission, 3), first_of(kept, "page_limit"),
         ranked(kept, "basis_of_award", ["basis_of_award"], award, 0), first_of(kept, "set_aside"), first_of(kept, "naics"),
+        kept.where("kind = 'evaluation_factor'").withColumn("fact", F.lit("evaluation_factors")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -14,8 +14,10 @@ from bidweave.session import written
 
 
 def page_sentences(pages: DataFrame) -> DataFrame:
-    """(package_id, document, role, page, nth, text): the sentences of pages' layout texts."""
-    return pages.select("package_id", F.col("doc_id").alias("document"), "role", "page", F.posexplode(sentences(F.col("text"))).alias("nth", "text"))
+    """(package_id, document, doc_order, role, page, nth, text): the sentences of pages' layout texts. ``doc_order``, where pages
+    have it, is the place of the document among those given."""
+    order = F.col("doc_order") if "doc_order" in pages.columns else F.lit(None).cast("int")
+    return pages.select("package_id", F.col("doc_id").alias("document"), order.alias("doc_order"), "role", "page", F.posexplode(sentences(F.col("text"))).alias("nth", "text"))
 
 
 def flags(text: Column) -> dict[str, Column]:
@@ -30,14 +32,14 @@ def flagged(pages: DataFrame) -> DataFrame:
 
 def baseline(pages: DataFrame) -> DataFrame:
     """(package_id, kind, statement, quote, page, document, role, date, time, weight): the first sentence for each fact,
-    amendments before other documents, and every sentence that names points or an obligation.
+    amendments before other documents, each in the order given (by id where none is), and every sentence that names points or an obligation.
 
     The first dated question sentence is the questions deadline; the response deadline is the first other dated sentence
     that names a response.
     """
     s = flagged(pages).withColumn("dates", D.find_dates(F.col("text"))).withColumn("times", D.find_times(F.col("text")))
     # read three times below; written once, no pattern is tried twice on a sentence
-    s = written(s.withColumn("at", F.struct((F.col("role") != "amendment").alias("later"), "document", "page", "nth")), "sentences")
+    s = written(s.withColumn("at", F.struct((F.col("role") != "amendment").alias("later"), F.col("doc_order").isNull().alias("unknown"), "doc_order", "document", "page", "nth")), "sentences")
     is_dated = F.size("dates") > 0
     asks = is_dated & F.col("questions") & F.col("due")
     answers = is_dated & F.col("due") & F.col("response")

@@ -34,20 +34,22 @@ def redact_names(c: Column, names: Column) -> Column:
 
 
 def redact_labels(c: Column) -> Column:
-    """Names behind contact labels and before an address that was replaced."""
+    """Names behind contact labels (a blank is put between where nothing was) and before an address that was replaced."""
     c = F.regexp_replace(c, r"\b" + K.CONTACT_LABEL + r"(\s*(?:is|:|-|,)?\s+|\s*(?:is|:|-|,))(" + K.NAME + ")", "$1$2[name]")
+    c = F.regexp_replace(c, r"\b" + K.CONTACT_LABEL + "(" + K.NAME + ")", "$1 [name]")
     return F.regexp_replace(c, r"\b" + K.NAME + r"(?=\s+(?:at|:|,)?\s*\[email\])", "[name]")
 
 
 def redact(texts: DataFrame, column: str, package: str = "package_id") -> DataFrame:
     """``texts`` with ``column`` redacted; the names found in any text of a package are removed from all of them.
 
-    A text is given only those of its package's names whose words it holds, found by a join on the name's last word, so
-    no text is searched for every name.
+    A text is given those of its package's names whose last word it holds, so no text is searched for every name. Texts and
+    names are cut at everything but letters for this join, which only proposes: the name's pattern decides.
     """
+    cut = lambda c: F.filter(F.split(F.lower(empty(c)), r"[^\p{L}]+"), lambda w: w != "")
     own = texts.withColumn("__id", F.xxhash64(package, column))
-    names = own.select(package, F.explode(contact_names(F.col(column))).alias("name")).distinct().withColumn("w", F.lower(F.substring_index("name", " ", -1)))
-    held = own.select(package, "__id", F.explode(F.array_distinct(F.split(F.lower(empty(F.col(column))), r"[^\p{L}'-]+"))).alias("w")).join(names, [package, "w"])
+    names = own.select(package, F.explode(contact_names(F.col(column))).alias("name")).distinct().withColumn("w", F.try_element_at(cut(F.col("name")), F.lit(-1)))
+    held = own.select(package, "__id", F.explode(F.array_distinct(cut(F.col(column)))).alias("w")).distinct().join(names, [package, "w"])
     per = held.groupBy("__id").agg(F.collect_set("name").alias("__names"))
     both = own.join(per, "__id", "left")
     done = redact_names(redact_addresses(F.col(column)), F.coalesce("__names", F.array().cast("array<string>")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,12 +34,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's ``spark.checkpoint.dir`` where it is set.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and recorded in the session, so that
-    later calls find the same one.
+    Only where it is unset and all runs on one machine (tests) a temporary folder is made and recorded in the session, so
+    that later calls find the same one; it is removed with the process. Elsewhere executors wouldn't find each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="bidweave-")
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="bidweave-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        folder = "file://" + made
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -256,11 +256,12 @@ def test_scoring(spark):
 
 
 def test_redaction(spark):
-    rows = [("p", "Write to pat.quill@example.gov or 212-555-0100 x3"), ("p", "PAT QUILL signs. Attn: Sam Roe Jr about it"), ("p", "Primary Contact: Lee Ann Doe at [email]"), ("p", "Nothing here"), ("q", "Pat Quill elsewhere"), ("p", None)]
+    rows = [("p", "Write to pat.quill@example.gov or 212-555-0100 x3"), ("p", "PAT QUILL signs. Attn: Sam Roe Jr about it"), ("p", "Primary Contact: Lee Ann Doe at [email]"), ("p", "Nothing here"), ("q", "Pat Quill elsewhere"), ("p", None), ("p", "Send it to Pat Quill's office, the Pat Quill-led team or 'Pat Quill'."), ("p", "contactDana Wu Roe at once"), ("p", "Sam.Roe's and Sam  ROE/others")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, package_id string, t string")
     got = [r["t"] for r in redaction.redact(df, "t").orderBy("i").collect()]
     assert got[0] == "Write to [email] or [phone]" and got[3] == "Nothing here" and got[4] == "Pat Quill elsewhere" and got[5] is None
     assert got[1].startswith("[name] signs. Attn: [name]") and got[2] == "Primary Contact: [name] at [email]"
+    assert got[6] == "Send it to [name]'s office, the [name]-led team or '[name]'." and got[7] == "contact [name] at once"
 
 
 def test_reports(spark):
@@ -272,23 +273,42 @@ def test_reports(spark):
 
 
 class Echo:
-    name = "echo"
+    name, model = "local", "echo"
 
-    def complete(self, prompt, budget):
-        if "long" in prompt and budget < 2000:
+    def __init__(self, log):
+        self.log = log
+
+    def complete(self, system, user, schema, budget):
+        with open(self.log, "a") as f:
+            f.write(f"{budget}\n")
+        if "dense" in user and (budget < 2000 or "hopeless" in user and "PAGE 4" in user):
             raise replies.TooLong("budget")
-        if "fail" in prompt:
+        if "fail" in user:
             raise ValueError("no")
-        return prompt.upper()
-
-
-def test_replies_and_cache(spark):
-    chunks = spark.createDataFrame([("d", 0, "one"), ("d", 1, "long"), ("d", 2, "fail")], "doc_id string, chunk_idx int, text string")
-    first = replies.ask(chunks, Echo()).orderBy("chunk_idx").collect()
-    assert [(r["reply"], r["error"]) for r in first] == [("ONE", None), ("LONG", None), (None, "no")]
-    cache = spark.createDataFrame([(first[0]["key"], "KEPT", None)], "key string, reply string, error string")
-    again = replies.ask(chunks, Echo(), cache).orderBy("chunk_idx").collect()
-    assert [(r["reply"], r["hit"]) for r in again] == [("KEPT", True), ("LONG", False), (None, False)]
+        return user.rsplit("\n", 1)[-1].upper()
+
+
+def test_replies_and_cache(spark, tmp_path):
+    log, store = str(tmp_path / "log"), str(tmp_path / "cache")
+    page = lambda n, t: f"<<<PAGE {n}>>>\n{t}"
+    chunks = spark.createDataFrame([
+        ("d", 0, [1], page(1, "one")), ("d", 1, [2, 3], page(2, "dense a") + "\n\n" + page(3, "dense b")), ("d", 2, [6], page(6, "fail")), ("d", 3, [1], page(1, "one")),
+        ("d", 4, [4, 5], page(4, "dense hopeless") + "\n\n" + page(5, "dense c")), ("d", 5, [], ""), ("d", 6, None, None)], "doc_id string, chunk_idx int, pages array<int>, text string")
+    answers, entries = replies.ask(chunks, Echo(log), budget=1000)
+    got = {(r["chunk_idx"], r["page"]): (r["reply"], r["error"], r["hit"]) for r in answers.collect()}
+    assert got == {
+        (0, None): ("ONE", None, False), (3, None): ("ONE", None, True), (1, None): (None, "too_long", False), (1, 2): ("DENSE A", None, False), (1, 3): ("DENSE B", None, False),
+        (2, None): (None, "pages 6-6: no", False), (4, None): (None, "too_long", False), (4, 4): (None, "page 4: too_long", False), (4, 5): ("DENSE C", None, False)}
+    assert sorted(open(log).read().split()) == ["1000"] * 4 + ["2000"] * 4
+    assert sorted(r["error"] for r in replies.errors(answers).collect()) == ["page 4: too_long", "pages 6-6: no"]
+    replies.keep(entries, store)
+    again, more = replies.ask(chunks, Echo(log), replies.kept(spark, store), budget=1000)
+    c = replies.counters(again).first()
+    assert (c["requests"], c["hits"], c["misses"], c["too_long"], c["failed"]) == (9, 8, 1, 2, 2) and more.count() == 0
+    assert len(open(log).read().split()) == 9  # what failed is asked again
+    other = Echo(log)
+    other.model = "another"
+    assert replies.counters(replies.ask(chunks, other, replies.kept(spark, store), budget=1000)[0]).first()["misses"] == 8
 
 
 def test_files(spark, tmp_path):
