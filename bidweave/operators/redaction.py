@@ -40,15 +40,21 @@ def redact_labels(c: Column) -> Column:
     return F.regexp_replace(c, r"\b" + K.NAME + r"(?=\s+(?:at|:|,)?\s*\[email\])", "[name]")
 
 
-def redact(texts: DataFrame, column: str, package: str = "package_id") -> DataFrame:
-    """``texts`` with ``column`` redacted; the names found in any text of a package are removed from all of them.
+def names_of(texts: DataFrame, column: str, package: str = "package_id") -> DataFrame:
+    """(package, name): the contact names that the texts of each package give."""
+    return texts.select(package, F.explode(contact_names(F.col(column))).alias("name")).distinct()
+
+
+def redact(texts: DataFrame, column: str, package: str = "package_id", names: DataFrame | None = None) -> DataFrame:
+    """``texts`` with ``column`` redacted; the names of a package (package, name), by default those found in any of its texts,
+    are removed from all of them.
 
     A text is given those of its package's names whose last word it holds, so no text is searched for every name. Texts and
     names are cut at everything but letters for this join, which only proposes: the name's pattern decides.
     """
     cut = lambda c: F.filter(F.split(F.lower(empty(c)), r"[^\p{L}]+"), lambda w: w != "")
     own = texts.withColumn("__id", F.xxhash64(package, column))
-    names = own.select(package, F.explode(contact_names(F.col(column))).alias("name")).distinct().withColumn("w", F.try_element_at(cut(F.col("name")), F.lit(-1)))
+    names = (names_of(texts, column, package) if names is None else names.distinct()).withColumn("w", F.try_element_at(cut(F.col("name")), F.lit(-1)))
     held = own.select(package, "__id", F.explode(F.array_distinct(cut(F.col(column)))).alias("w")).distinct().join(names, [package, "w"])
     per = held.groupBy("__id").agg(F.collect_set("name").alias("__names"))
     both = own.join(per, "__id", "left")

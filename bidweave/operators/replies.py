@@ -72,7 +72,8 @@ def ask(chunks: DataFrame, provider: Provider, cache: DataFrame | None = None, b
     """``(answers, entries)`` for chunks (doc_id, chunk_idx, pages, text with page markers).
 
     Requests whose key the cache (key, reply, error) holds aren't repeated. A chunk whose reply is too long is asked for page
-    by page with twice the budget. ``answers`` is (doc_id, chunk_idx, page, key, reply, error, hit), ``page`` being NULL for a
+    by page with twice the budget; a page that is a chunk of its own is the same request and stays too long, as the key has
+    no budget. ``answers`` is (doc_id, chunk_idx, page, key, reply, error, hit), ``page`` being NULL for a
     whole chunk; ``error`` says which pages are lost and why, and is ``too_long`` for a chunk that was asked for by page.
     ``entries`` is what the cache lacks: replies, and requests known to be too long; other failures aren't kept.
     """

@@ -95,3 +95,26 @@ def totals(scores: DataFrame) -> DataFrame:
     """Right and asked-for facts and times, for each package and (package_id NULL) over all."""
     return scores.rollup("package_id").agg(
         F.count_if("correct").alias("facts_correct"), F.count("*").alias("facts_total"), F.count_if("time_correct").alias("times_correct"), F.count("time_correct").alias("times_total"))
+
+
+def verdict(score: DataFrame) -> DataFrame:
+    """Scored facts with what a table of results says of them: ``yes``, ``date only``, ``no``."""
+    label = F.when(F.col("correct") & F.coalesce("time_correct", F.lit(True)), "yes").when(F.col("correct"), "date only").otherwise("no")
+    return score.withColumn("verdict", label)
+
+
+def results(facts: DataFrame, factors: DataFrame, checklist: DataFrame, items: DataFrame) -> DataFrame:
+    """One row a package and one (package_id NULL) over all: right and asked-for facts and times, factors and checklist lines
+    found, and the number of live items. The arguments are the scores of facts, factors and checklist, and the items."""
+    n = lambda **c: {k: c.get(k, F.lit(None).cast("boolean")) for k in ("fact", "timed", "factor", "line", "item")}
+    part = lambda df, **c: df.select("package_id", *[x.alias(k) for k, x in n(**c).items()])
+    every = part(facts, fact=F.col("correct"), timed=F.col("time_correct")).unionByName(part(factors, factor=F.col("found"))).unionByName(part(checklist, line=F.col("found"))).unionByName(
+        part(items.where(empty(F.col("superseded_by")) == ""), item=F.lit(True)))
+    names = (("fact", "facts_correct", "facts_total"), ("timed", "times_correct", "times_total"), ("factor", "factors_found", "factors_total"), ("line", "checklist_found", "checklist_total"))
+    counts = [x for c, right, total in names for x in (F.count_if(c).alias(right), F.count(c).alias(total))]
+    return every.rollup("package_id").agg(*counts, F.count("item").alias("items"))
+
+
+def missed(checklist: DataFrame, lines: DataFrame) -> DataFrame:
+    """(package_id, id, text) of checklist lines that no item covers; ``lines`` is (package_id, id, text)."""
+    return lines.join(checklist.where("NOT found").select("package_id", "id"), ["package_id", "id"], "left_semi").select("package_id", "id", "text")

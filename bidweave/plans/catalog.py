@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidweave.functions import constants as K
@@ -11,6 +11,7 @@ from bidweave.functions import text as T
 from bidweave.operators import facts, items, keyword, pages, quotes, redaction, replies, reports, scoring
 from bidweave.plans import pipeline
 from bidweave.plans.sql import SQL  # noqa: F401
+from bidweave.session import written
 from bidweave.sources.tables import records, table
 
 FLAGSHIP = "quote_exact"
@@ -190,8 +191,9 @@ def check_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def _quotes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     i, p = records(spark, d, "items"), records(spark, d, "pages")
+    i = T.with_nfkc(i.select("seq", "document", "page", "quote"), "quote")
     q = i.select("seq", F.col("document").alias("doc_id"), F.col("page").alias("cited"), T.squash(F.col("quote")).alias("key")).where(F.length("key") >= K.LEAST_KEY)
-    return q, quotes.features(p, fold=False)
+    return q, quotes.features(p)
 
 
 @query
@@ -213,11 +215,17 @@ def quote_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cross_page(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes that run over a page break."""
-    q, p = _quotes(spark, d)
-    left = q.join(quotes.exact(q, p), "seq", "left_anti")
-    hits = left.join(quotes.spans(p), "doc_id").where(F.contains(F.col("sq"), F.col("key")))
-    return hits.groupBy("seq").agg(F.min("page").alias("page"))
+    """Texts that run over a page break (the end of each page, its footer gone, and the beginning of the next), sought like
+    quotes: those that no single page holds are found on the pair of pages."""
+    p = records(spark, d, "pages")
+    feats = quotes.features(p)
+    own = Window.partitionBy("doc_id").orderBy("page")
+    ends = feats.select("doc_id", "page", T.squash(T.strip_footer(F.col("body"))).alias("end"), F.lead("page").over(own).alias("then"), F.lead("sq").over(own).alias("begin"))
+    q = ends.where(F.col("then") == F.col("page") + 1).select(F.concat_ws("#", "doc_id", F.col("page").cast("string")).alias("seq"), "doc_id", F.col("page").alias("cited"), F.concat(F.expr("right(end, 20)"), F.expr("left(begin, 20)")).alias("key"))
+    q = written(q.where(F.length("key") >= K.LEAST_KEY), "breaks")
+    left = q.join(quotes.exact(q, feats), "seq", "left_anti")
+    hits = left.join(quotes.spans(feats), "doc_id").where(F.contains(F.col("sq"), F.col("key")))
+    return hits.groupBy(F.col("seq").alias("place")).agg(F.min("page").alias("page"))
 
 
 @query
@@ -250,7 +258,7 @@ def verify_items(spark: SparkSession, d: str) -> DataFrame:
 @query
 def coerce_replies(spark: SparkSession, d: str) -> DataFrame:
     """Items written as model replies, fenced or in prose, and read back."""
-    i = records(spark, d, "items").where("page IS NOT NULL")
+    i = records(spark, d, "items")
     one = F.to_json(F.struct(F.array(F.struct("kind", "statement", "quote", F.col("page").cast("string").alias("page"), "date", "time", "weight")).alias("items")))
     reply = F.when(F.pmod("seq", F.lit(3)) == 0, F.concat(F.lit("```json\n"), one, F.lit("\n```"))).when(F.pmod("seq", F.lit(3)) == 1, F.concat(F.lit("Here it is: "), one, F.lit(" Done."))).otherwise(one)
     out = items.coerce(i.select("seq", reply.alias("reply")))
@@ -316,9 +324,17 @@ def analyzed(spark: SparkSession, d: str) -> DataFrame:
 # baseline and scoring
 
 
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with the place of their document in its package: base, amendments, attachments as listed."""
+    p = table(spark, d, "packages")
+    given = p.select("package_id", F.posexplode(F.concat(F.array("base"), F.coalesce("amendments", F.array().cast("array<string>")), F.coalesce("attachments", F.array().cast("array<string>")))).alias("doc_order", "doc_id"))
+    first = given.where("doc_id IS NOT NULL").groupBy("package_id", "doc_id").agg(F.min("doc_order").alias("doc_order"))
+    return records(spark, d, "pages").join(first, ["package_id", "doc_id"], "left")
+
+
 @query
 def keyword_baseline(spark: SparkSession, d: str) -> DataFrame:
-    b = keyword.baseline(records(spark, d, "pages"))
+    b = keyword.baseline(_ordered(spark, d))
     return b.select("package_id", "kind", "document", "page", "role", "date", "time", "weight", F.md5("statement").alias("statement_md5"))
 
 
@@ -347,22 +363,56 @@ def score_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("share", T.percent(F.col("facts_correct"), F.col("facts_total")))
 
 
+@query
+def score_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What a table of results says of each scored deadline."""
+    ref, other = _two_models(spark, d)
+    pick = lambda x: facts.dated(items.live(x), "response_due").unionByName(facts.dated(items.live(x), "questions_due"))
+    gold = pick(ref).select("package_id", "fact", F.lit(True).alias("stated"), "date", "time", F.array(F.lower("statement")).alias("any"))
+    return scoring.verdict(scoring.score_facts(gold, pick(other))).groupBy("fact", "verdict").agg(F.count("*").alias("n"))
+
+
+def _checklist(ref: DataFrame) -> DataFrame:
+    """Lines of a reference: an item is covered by its longest word and one of the two next."""
+    long = F.slice(F.array_sort(F.transform(F.array_distinct(T.words(F.col("statement"))), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 3)
+    gold = ref.select("package_id", F.col("seq").alias("id"), F.col("statement").alias("text"), long.alias("l")).where(F.size("l") == 3)
+    return gold.select("package_id", "id", "text", F.array(F.array(F.col("l")[0]["w"]), F.array(F.col("l")[1]["w"], F.col("l")[2]["w"])).alias("all"))
+
+
+def _factors(ref: DataFrame) -> DataFrame:
+    return ref.where("kind = 'evaluation_factor'").select(
+        "package_id", F.col("seq").alias("id"), F.array(F.try_element_at(T.words(F.col("statement")), F.lit(1))).alias("names"), F.when(T.empty(F.col("weight")) != "", F.lower("weight")).alias("weight"))
+
+
+@query
+def missed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the reference that the other models miss."""
+    ref, other = _two_models(spark, d)
+    lines = _checklist(ref)
+    return scoring.missed(scoring.score_checklist(lines, other), lines).select("package_id", "id", F.md5("text").alias("text_md5"))
+
+
+@query
+def evaluation_results(spark: SparkSession, d: str) -> DataFrame:
+    """All counts of the other models against the reference, by package and over all."""
+    ref, other = _two_models(spark, d)
+    pick = lambda x: facts.dated(items.live(x), "response_due").unionByName(facts.dated(items.live(x), "questions_due"))
+    gold = pick(ref).select("package_id", "fact", F.lit(True).alias("stated"), "date", "time", F.array(F.lower("statement")).alias("any"))
+    factors = scoring.score_factors(_factors(ref), other.where("kind = 'evaluation_factor'"))
+    return scoring.results(scoring.score_facts(gold, pick(other)), factors, scoring.score_checklist(_checklist(ref), other), other)
+
+
 @query
 def score_checklist(spark: SparkSession, d: str) -> DataFrame:
     """Whether the other models cover the lines of the reference, by two of a line's longest words."""
     ref, other = _two_models(spark, d)
-    long = F.slice(F.array_sort(F.transform(F.array_distinct(T.words(F.col("statement"))), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 3)
-    gold = ref.select("package_id", F.col("seq").alias("id"), long.alias("l")).where(F.size("l") == 3)
-    gold = gold.select("package_id", "id", F.array(F.array(F.col("l")[0]["w"]), F.array(F.col("l")[1]["w"], F.col("l")[2]["w"])).alias("all"))
-    return scoring.score_checklist(gold, other)
+    return scoring.score_checklist(_checklist(ref), other)
 
 
 @query
 def score_factors(spark: SparkSession, d: str) -> DataFrame:
     ref, other = _two_models(spark, d)
-    gold = ref.where("kind = 'evaluation_factor'").select(
-        "package_id", F.col("seq").alias("id"), F.array(F.try_element_at(T.words(F.col("statement")), F.lit(1))).alias("names"), F.when(T.empty(F.col("weight")) != "", F.lower("weight")).alias("weight"))
-    return scoring.score_factors(gold, other.where("kind = 'evaluation_factor'"))
+    return scoring.score_factors(_factors(ref), other.where("kind = 'evaluation_factor'"))
 
 
 # redaction
@@ -405,12 +455,36 @@ def markdown_items(spark: SparkSession, d: str) -> DataFrame:
     return _int(reports.item_lines(_titled(spark, d)), "section", "nth")
 
 
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Kept items, key facts and rejected items with titles, and packages with theirs."""
+    i = _titled(spark, d)
+    p, m = table(spark, d, "packages"), table(spark, d, "manifest_documents")
+    return i.where("NOT verification <=> 'missing'"), reports.with_titles(facts.key_facts(records(spark, d, "items")), p, m), i.where("verification <=> 'missing'"), reports.headed(p, m)
+
+
 @query
 def markdown_report(spark: SparkSession, d: str) -> DataFrame:
     """All lines of all packages' reports."""
-    i = _titled(spark, d)
-    f = reports.with_titles(facts.key_facts(records(spark, d, "items")), table(spark, d, "packages"), table(spark, d, "manifest_documents"))
-    return reports.markdown(i, f, table(spark, d, "packages"))
+    i, f, gone, p = _parts(spark, d)
+    return _int(reports.markdown(i, f, p, gone, "2026-01-01", "all models"), "part", "section", "nth")
+
+
+@query
+def html_report(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of all packages' HTML pages."""
+    i, f, gone, p = _parts(spark, d)
+    return reports.html_page(i, f, p, facts.stats(records(spark, d, "items")), gone, "all models")
+
+
+@query
+def json_report(spark: SparkSession, d: str) -> DataFrame:
+    """All packages' JSON reports, as lines."""
+    i, f, gone, p = _parts(spark, d)
+    pages_ = records(spark, d, "pages").groupBy("package_id", F.col("doc_id").alias("id"), "role").agg(F.count("*").alias("pages"))
+    m = table(spark, d, "manifest_documents").select("id", "title", F.coalesce(F.nullif("short", F.lit("")), "title").alias("short"))
+    answers, _ = _asked(spark, d)
+    of = table(spark, d, "chunks").select("doc_id", "package_id").distinct()
+    return reports.json_report(i, gone, f, p, pages_.join(m, "id", "left"), facts.stats(records(spark, d, "items")), replies.errors(answers).join(of, "doc_id").select("package_id", "error"), {"created": "2026-01-01", "model": "all models", "provider": "tables", "seconds": 0.0})
 
 
 @query
@@ -423,12 +497,39 @@ def json_items(spark: SparkSession, d: str) -> DataFrame:
     return reports.json_rows(records(spark, d, "items"))
 
 
+class Lengths:
+    """A provider on this machine: it answers with the length of what it was asked, four characters of which take one token
+    of the budget."""
+
+    name, model = "local", "lengths"
+
+    def complete(self, system: str, user: str, schema: str, budget: int) -> str:
+        if len(user) > 4 * budget:
+            raise replies.TooLong(str(budget))
+        return f'{{"items": [], "chars": {len(user)}}}'
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, d, "chunks").select("doc_id", F.col("chunk_id").cast("int").alias("chunk_idx"), "pages", "text")
+    return replies.ask(c, Lengths(), budget=1200)
+
+
 @query
 def cached_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Which chunks' prompts were asked before: the first chunk of each text asks, the others find its reply."""
-    c = table(spark, d, "chunks").select("chunk_id", replies.key("any", F.col("text"), F.lit(1000)).alias("key"))
-    first = c.groupBy("key").agg(F.min("chunk_id").alias("first"))
-    return c.join(first, "key").select("chunk_id", (F.col("chunk_id") != F.col("first")).alias("hit"))
+    """Every chunk asked of a provider on this machine, page by page where its reply is too long."""
+    answers, _ = _asked(spark, d)
+    out = answers.groupBy(F.col("chunk_idx").cast("bigint").alias("chunk_id")).agg(
+        F.count("*").alias("requests"), F.count_if(F.col("error") == replies.TOO_LONG).alias("too_long"), F.count_if(F.col("error").startswith("page")).alias("lost"), F.sum(F.get_json_object("reply", "$.chars").cast("bigint")).alias("chars"))
+    return out
+
+
+@query
+def request_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and misses of the same requests asked again with what was kept."""
+    c = table(spark, d, "chunks").select("doc_id", F.col("chunk_id").cast("int").alias("chunk_idx"), "pages", "text")
+    _, entries = replies.ask(c, Lengths(), budget=1200)
+    answers, _ = replies.ask(c, Lengths(), written(entries, "kept"), budget=1200)
+    return replies.counters(answers)
 
 
 @query
@@ -437,4 +538,4 @@ def landed_items(spark: SparkSession, d: str) -> DataFrame:
     from bidweave.streaming import landing
 
     w = landing.drain(landing.windowed(landing.read_stream(spark, d, "items")))
-    return w.select(F.col("w.start").alias("week"), "model", "items", "missing")
+    return w.select(F.date_format("w.start", "yyyy-MM-dd").alias("week"), "model", "items", "missing")

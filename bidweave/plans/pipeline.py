@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.operators import facts, items, quotes, reports
+from bidweave.operators import facts, items, quotes, redaction, reports
+from bidweave.operators.pages import searchable
 from bidweave.session import written
 
 
@@ -31,11 +32,20 @@ def analyze(raw: DataFrame, pages: DataFrame) -> Analysis:
     return Analysis(final, written(rejected, "rejected"), facts.key_facts(final), facts.stats(final.unionByName(rejected)))
 
 
-def report(analysis: Analysis, packages: DataFrame, manifest: DataFrame) -> DataFrame:
+def report(analysis: Analysis, packages: DataFrame, manifest: DataFrame, created: str = "", model: str = "") -> DataFrame:
     """All lines of all packages' Markdown reports, the removed items last."""
-    titled = reports.with_titles(analysis.items, packages, manifest)
-    lines = reports.markdown(titled, reports.with_titles(analysis.facts, packages, manifest), packages)
-    gone = analysis.rejected.select(
-        "package_id", F.lit(3).alias("part"), F.lit(0).alias("section"), "seq", F.lit(0).alias("nth"),
-        F.concat(F.lit("- "), F.coalesce("statement", F.lit("")), F.lit(" (claimed p. "), F.coalesce(F.col("cited_page").cast("string"), F.lit("None")), F.lit(")")).alias("line"))
-    return lines.unionByName(gone)
+    titled = lambda df: reports.with_titles(df, packages, manifest)
+    return reports.markdown(titled(analysis.items), titled(analysis.facts), reports.headed(packages, manifest), analysis.rejected, created, model)
+
+
+def cleaned(analysis: Analysis, pages: DataFrame) -> Analysis:
+    """The analysis with contact details gone from statements and quotes; names are those that the packages' pages give.
+    Meant for what is written out: scores are taken before."""
+    names = written(redaction.names_of(pages.select("package_id", searchable(F.col("text"), F.col("reading")).alias("text")), "text"), "names")
+
+    def clean(df: DataFrame) -> DataFrame:
+        for column in ("statement", "quote"):
+            df = redaction.redact(df, column, names=names)
+        return df
+
+    return Analysis(clean(analysis.items), clean(analysis.rejected), clean(analysis.facts), analysis.stats)
