@@ -340,7 +340,7 @@ def test_analysis_and_report(spark):
     packages = spark.createDataFrame([("p", "Title", "d")], "package_id string, title string, base string")
     manifest = spark.createDataFrame([("d", "Doc", None)], "id string, title string, short string")
     lines = [r["line"] for r in pipeline.report(done, packages, manifest).orderBy("part", "section", "seq", "nth").collect()]
-    assert lines[0] == "# Title" and "- [ ] Deliver it (p. 2)" in lines and lines[-1] == "- Invented (claimed p. 1)"
+    assert lines[0] == "# Title" and "- **NAICS:** Not found" in lines and "- [ ] Deliver it (p. 2)" in lines and lines[-1] == "- Invented (claimed p. 1)"
 
 
 def test_command(spark, tmp_path, monkeypatch):
@@ -353,6 +353,46 @@ def test_command(spark, tmp_path, monkeypatch):
     assert {r["kind"] for r in got} == {"required_content", "submission_method"} and all("[email]" in r["quote"] for r in got)
 
 
+class Reader:
+    """Items for two of the words a test page has."""
+
+    name, model = "local", "reader"
+
+    def complete(self, system, user, schema, budget):
+        item = {"kind": "submission_method", "statement": "Send <offers> to Pat Quill", "quote": "Offers shall be delivered to pat.quill@example.gov by the portal", "page": 1}
+        lost = {"kind": "naics", "statement": "Made up", "quote": "Volcanoes shall be visited by all submarines", "page": 1}
+        factor = {"kind": "evaluation_factor", "statement": "Experience", "quote": "Experience counts for 40 points of the evaluation", "page": 2, "weight": "40 points"}
+        import json
+
+        return json.dumps({"items": [item, lost, factor]}) if "Offers" in user else "nothing"
+
+
+def test_analyze_command(spark, tmp_path, monkeypatch):
+    import json
+    import sys
+    import types
+
+    from bidweave import __main__ as command
+
+    (tmp_path / "base.txt").write_text("Offers shall be delivered to pat.quill@example.gov by the portal.\fExperience counts for 40 points of the evaluation.\f")
+    monkeypatch.setattr(command, "local_session", lambda: spark)
+    module = types.ModuleType("own_provider")
+    module.it = Reader()
+    monkeypatch.setitem(sys.modules, "own_provider", module)
+    out = str(tmp_path / "out")
+    command.main(["analyze", str(tmp_path / "base.txt"), "--provider", "own_provider:it", "--title", "T & U", "--out", out, "--cache", str(tmp_path / "cache"), "--redact-contacts"])
+    read = lambda kind: "\n".join(x for f in sorted((tmp_path / "out" / kind).rglob("part-*")) for x in f.read_text().splitlines())
+    report = json.loads(read("json"))
+    assert report["title"] == "T & U" and [x["kind"] for x in report["items"]] == ["submission_method", "evaluation_factor"] and [x["statement"] for x in report["rejected"]] == ["Made up"]
+    assert report["key_facts"]["submission_method"]["quote"] == "Offers shall be delivered to [email] by the portal" and report["items"][0]["statement"] == "Send <offers> to [name]"
+    assert report["stats"]["kept"] == 2 and report["stats"]["rejected"] == 1 and [x["weight"] for x in report["evaluation_factors"]] == ["40 points"] and report["documents"][0]["pages"] == 2
+    text = read("markdown")
+    assert "- **Page limit:** Not found" in text and "with reader. Every item" in text and text.splitlines()[-1] == "- Made up (claimed p. 1)"
+    page = read("html")
+    assert page.startswith("<!doctype html>") and "Send &lt;offers&gt; to [name]" in page and "<td>40 points</td>" in page and page.endswith("</body></html>")
+    assert replies.kept(spark, str(tmp_path / "cache")).count() == 1
+
+
 def test_landing_stream_counts_each_record_once(spark, small):
     from bidweave.plans import catalog
 
