@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.llm import leaks, mixing, pieces, pii, plain, residue, similar, truncated
-from bidweave.sources.tables import table
+from bidweave.operators import quotes
+from bidweave.sources.tables import records, table
 
 
 def _near_items(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
@@ -89,6 +90,28 @@ def p5_plain(spark: SparkSession, directory: str) -> DataFrame:
     return forms.dropDuplicates(["kind", "id"]).select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "plain", (F.col("plain") != F.col("text")).alias("changed"))
 
 
+def p5_located(spark: SparkSession, directory: str) -> DataFrame:
+    """Quotes that had to change, or stand on a document with pages that had to: whether they are found on a page of their
+    document in the form they came in, and in plain form."""
+    items = records(spark, directory, "items").select("seq", F.col("document").alias("doc_id"), F.col("page").alias("cited"), F.col("quote").alias("text"))
+    pages = records(spark, directory, "pages").select("page_id", "doc_id", "page", "text")
+    forms = similar.written(plain.to_plain(items.select(F.lit("item").alias("kind"), F.col("seq").alias("id"), "text").unionByName(pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text"))), "plain")
+    changed = forms.where("plain <> text").select("kind", "id")
+    own = forms.where("kind = 'item'").select(F.col("id").alias("seq"), "text", "plain").join(items.drop("text"), "seq")
+    held = forms.where("kind = 'page'").select(F.col("id").alias("page_id"), "text", "plain").join(pages.drop("text"), "page_id")
+    documents = held.join(changed.where("kind = 'page'").select(F.col("id").alias("page_id")), "page_id", "left_semi").select("doc_id")
+    documents = documents.union(own.join(changed.where("kind = 'item'").select(F.col("id").alias("seq")), "seq", "left_semi").select("doc_id")).distinct()
+    own, held = own.join(documents, "doc_id", "left_semi"), held.join(documents, "doc_id", "left_semi")
+    # letter for letter but for white space at breaks of lines
+    form = lambda c: F.regexp_replace(F.col(c), r"[ \t\r\n]+", " ")
+
+    def found(c: str) -> DataFrame:
+        return quotes.exact(own.select("seq", "doc_id", "cited", form(c).alias("key")).where("key <> ''"), held.select("doc_id", "page", form(c).alias("sq"))).select("seq", F.lit(True).alias(c))
+
+    both = own.select("seq").join(found("text"), "seq", "left").join(found("plain"), "seq", "left")
+    return both.select("seq", F.coalesce("text", F.lit(False)).alias("before"), F.coalesce("plain", F.lit(False)).alias("after"))
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     found = leaks.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
     return found.where(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id").distinct()
@@ -131,7 +154,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_rates": p2_rates,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p5_found": p5_found, "p5_plain": p5_plain,
+    "p5_found": p5_found, "p5_plain": p5_plain, "p5_located": p5_located,
     "p6_found": p6_found, "p6_leaked_items": p6_leaked_items,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_reasons": p8_reasons, "p8_clean": p8_clean,

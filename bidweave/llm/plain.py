@@ -1,9 +1,14 @@
 """One form for text that looks the same.
 
-A mapping is worked out once from Unicode's own data and a short table of look-alike letters, checked for conflicts,
-and compiled into a matcher that takes the longest source at each grapheme cluster. One pass over a text maps widths,
-joined letters, separate accents, invisible characters and spaces; letters of another script are mapped by word, as
-only the word tells a look-alike from a letter that belongs there. Text of plain ASCII never reaches Python.
+A mapping is worked out once from Unicode's own data and a short table of look-alike letters, checked for conflicts, and
+compiled into a transducer. Its input units are grapheme clusters, taken as long as they go: a letter with its separate
+accents and the invisible characters between them is one unit. For each unit it has two outputs, one that keeps letters
+of other scripts and one that maps look-alikes, and says whether the unit is Latin, a look-alike or of another script. It
+reads a text once, from left to right. Both outputs of a word are held until it is clear which one is right: at the
+word's end if that word is Latin but for look-alikes or has letters of its own script, and at the next word if it
+consists of look-alikes alone, which stand for Latin ones unless a neighbour is of another script.
+
+Text of plain ASCII never reaches Python; in other texts words of plain ASCII are copied in runs.
 """
 
 from __future__ import annotations
@@ -110,74 +115,105 @@ def _ranges(chars: list[str]) -> str:
     return "[" + "".join(out) + "]"
 
 
-@lru_cache(maxsize=1)
-def _matcher() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    marks = _ranges([chr(c) for c in range(0x80, 0x20000) if unicodedata.combining(chr(c))])
-    single = _ranges(list(mapping()))
-    # longest first: a letter (itself perhaps to be mapped, invisible characters perhaps between) with its accents
-    unseen = r"[\u200b-\u200d\u2060\ufeff\u00ad]*"
-    cluster = re.compile(r"[^\W_](?:" + unseen + marks + ")+|(?:" + single + "(?!" + unseen + marks + "))+|" + single)
-    word = re.compile(r"[^\W\d_](?:[^\W\d_]|" + marks + ")*")
-    looks = re.compile("[" + "".join(LOOKALIKES) + "]")
-    return cluster, word, looks
-
-
-def plain(text: str) -> str:
-    """``text`` in its plain form. It is a fixed point: plain(plain(x)) == plain(x)."""
-    table = mapping()
-    cluster, word, looks = _matcher()
-
-    def one(m: re.Match) -> str:
-        s = m.group()
-        if s[0] in table or len(s) == 1:
-            out = []
-            for k, ch in enumerate(s):
-                before = (s[k - 1] if k else text[m.start() - 1 : m.start()]) or " "
-                out.append(ch if ch in JOINERS and _needs_joiner(before) else table.get(ch, ch))
-            s = "".join(out)
-            return unicodedata.normalize("NFC", s) if any(map(unicodedata.combining, s)) else s
-        return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in s))
-
-    # a letter that is itself mapped may meet its accent only then
-    if not text.isascii() or any(c in table for c in text if c < " " or c == "\x7f"):
-        text = cluster.sub(one, text)
-    if looks.search(text):
-        text = _words(text, word)
-        if not text.isascii():  # an accent may have stood on a look-alike
-            text = cluster.sub(one, text)
-    return text
+#: What a unit is: Latin, a look-alike, a letter of another script, any letter at all.
+LATIN, ALIKE, OTHER = 1, 2, 4
 
 
 def _latin(ch: str) -> bool:
     return ch < "\u0250" and ch not in "\u00b5\u00aa\u00ba" or "\u1e00" <= ch <= "\u1eff"
 
 
-def _words(text: str, word: re.Pattern) -> str:
-    """Look-alikes mapped where a word is Latin but for them, or consists of them and no neighbour is of another
-    script."""
-    found = list(word.finditer(text))
-    kinds = []
-    for m in found:
-        own = [c for c in m.group() if not unicodedata.combining(c)]
-        latin = any(_latin(c) for c in own)
-        alike = any(c in LOOKALIKES for c in own)
-        other = any(not _latin(c) and c not in LOOKALIKES for c in own)
-        kinds.append((latin, alike, other))
-    out, at = [], 0
-    for k, m in enumerate(found):
-        latin, alike, other = kinds[k]
-        if not alike or other:
-            continue
-        if not latin:
-            near = [kinds[j] for j in (k - 1, k + 1) if 0 <= j < len(found)]
-            if any(o for _, _, o in near):
+class Transducer(dict):
+    """Unit -> (output that keeps other scripts, output with look-alikes mapped, what it is). Units are compiled from the
+    mapping when they first occur; there are few different ones, and no more than ``most`` are held."""
+
+    def __init__(self, most: int = 100_000):
+        super().__init__()
+        self.most, self.table = most, mapping()
+        unseen = [c for c, t in self.table.items() if not t]
+        marks = "".join(_ranges([chr(c) for c in range(0x80, 0x20000) if unicodedata.combining(chr(c))])[1:-1])
+        unseen = _ranges(unseen)[1:-1]
+        letter = rf"(?:[^\W\d_]|[{marks}{unseen}])"
+        # a word with anything but plain letters in it, or other signs that aren't plain
+        self.odd = re.compile(rf"(?<![A-Za-z])([A-Za-z]*+(?![A-Za-z]){letter}+)|[^\t\n\f\r\x20-\x7e]")
+        self.units = re.compile(rf"[^{marks}{unseen}](?:[{unseen}]*[{marks}]+)*|[{unseen}]+[{marks}]*|[{marks}]+")
+        self.plain_letter = re.compile("[A-Za-z]")
+
+    def __missing__(self, unit: str) -> tuple[str, str, int]:
+        kept = "".join(ch if ch in JOINERS and _needs_joiner(unit[k - 1 : k] or " ") else self.table.get(ch, ch) for k, ch in enumerate(unit))
+        kept = unicodedata.normalize("NFC", kept) if any(map(unicodedata.combining, kept)) else kept
+        alike = unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in kept)) if any(c in LOOKALIKES for c in kept) else kept
+        kind = 0
+        for c in kept:
+            if c.isalpha():
+                kind |= ALIKE if c in LOOKALIKES else LATIN if _latin(c) else OTHER
+        if len(self) >= self.most:
+            self.clear()
+        self[unit] = kept, alike, kind
+        return self[unit]
+
+    def word(self, word: str, before: str) -> tuple[str, str, int]:
+        """Both outputs of a word and what its units are together; ``before`` is the character in front of it."""
+        kept, alike, kind = "", "", 0
+        for unit in self.units.findall(word):
+            if unit[0] in JOINERS and _needs_joiner(before):
+                k = a = unit[0]
+                if len(unit) > 1:
+                    k, a = (unit[0] + x for x in self[unit[1:]][:2])
+                of = 0
+            else:
+                k, a, of = self[unit]
+            kept, alike, kind, before = kept + k, alike + a, kind | of, unit[-1]
+        return kept, alike, kind
+
+    def run(self, text: str) -> str:
+        """The plain form of ``text``, in one pass."""
+        out: list[str] = []
+        at, left = 0, 0  # where the input is; what the word before is
+        waiting: tuple[int, str, str] | None = None  # a place in the output, and both outputs of a word of look-alikes alone
+        for m in self.odd.finditer(text):
+            gap = text[at : m.start()]
+            if gap:
+                out.append(gap)
+                if self.plain_letter.search(gap):
+                    if waiting:
+                        out[waiting[0]], waiting = waiting[2], None
+                    left = LATIN
+            at = m.end()
+            if m.group(1) is None:
+                out.append(self.table.get(m.group(), m.group()))
                 continue
-            if not any(a for a, _, _ in near) and len(found) > 1 and not any(a for a, _, _ in kinds):
+            kept, alike, kind = self.word(m.group(1), text[m.start() - 1 : m.start()] or " ")
+            if not kind:  # nothing but invisible characters or accents: no word
+                out.append(kept)
                 continue
-        out.append(text[at : m.start()])
-        out.append("".join(LOOKALIKES.get(c, c) for c in m.group()))
-        at = m.end()
-    return "".join(out) + text[at:]
+            if waiting:
+                out[waiting[0]] = waiting[1] if kind & OTHER else waiting[2]
+                waiting = None
+            if kind & OTHER or not kind & ALIKE:
+                out.append(kept)
+            elif kind & LATIN:
+                out.append(alike)
+            else:
+                if left & OTHER:
+                    out.append(kept)
+                else:
+                    waiting = len(out), kept, alike
+                    out.append(kept)
+            left = kind
+        if waiting:
+            out[waiting[0]] = waiting[2]
+        return "".join(out) + text[at:]
+
+
+@lru_cache(maxsize=1)
+def _transducer() -> Transducer:
+    return Transducer()
+
+
+def plain(text: str) -> str:
+    """``text`` in its plain form. It is a fixed point: plain(plain(x)) == plain(x)."""
+    return _transducer().run(text)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

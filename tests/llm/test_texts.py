@@ -63,6 +63,19 @@ def test_plain_is_a_fixed_point(text):
     assert plain.plain(once) == once
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40))
+def test_any_text_has_a_fixed_plain_form(text):
+    once = plain.plain(text)
+    assert plain.plain(once) == once
+
+
+def test_units_and_context():
+    units = plain.Transducer()
+    assert units["e\u200b\u0301"] == ("é", "é", plain.LATIN) and units["\u0430\u0308"] == ("ӓ", "ä", plain.ALIKE) and units["Г"] == ("Г", "Г", plain.OTHER)
+    assert units.run("а и Г") == "а и Г" and units.run("а, b а") == "a, b a" and units.run("Г b а") == "Г b a" and units.run("а\u200b") == "a"
+
+
 def test_mapping_has_no_conflicts():
     table = plain.mapping()
     assert table["　"] == " " and table["ﬁ"] == "fi" and table["​"] == "" and "é" not in table
