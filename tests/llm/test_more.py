@@ -137,16 +137,26 @@ def test_leaks_by_brute_force(spark):
             source = r.choice(items)[1].split()
             a = r.randint(0, max(0, len(source) - 13))
             at = r.randint(0, len(words))
-            words[at:at] = source[a : a + r.randint(8, 20)]
+            words[at:at] = source[a : a + r.randint(8, 40)]
+            if r.random() < 0.5:
+                words[min(len(words) - 1, at + 3)] = "changed"
         docs.append((k, ", ".join(words).upper() if k % 2 else "\n".join(words)))
     docs += [(900, None), (901, ""), (None, items[0][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("line", F.lit("clash"))
     i = spark.createDataFrame([*items, (70, None), (71, "")], "item_id long, text string")
     grams = lambda t: {tuple(w[k : k + 12]) for w in [t.lower().replace(",", " ").split()] for k in range(len(w) - 11)}
     want = {(a, b) for a, x in docs if x and a is not None for b, y in items if grams(x) & grams(y)}
+    budget = lambda w: len(leaks.pieces_of(w)) - 1
+    split = lambda t: t.lower().replace(",", " ").split()
+    whole = {(a, b) for a, x in docs[:40] + docs[120:] if x and a is not None for b, y in items if edit_distance(y.split(), split(x)) <= budget(y.split())}
+    d = d.where("doc_id < 40 OR doc_id >= 120 OR doc_id IS NULL")
+    want = {(a, b) for a, b in want if a < 40 or a >= 120}
     for most in (leaks.BROADCAST_CHARS, 0):
         got = leaks.leaks(d, i, broadcast_chars=most)
-        assert {(x["doc_id"], x["item_id"]) for x in got.where(f"longest_run >= {leaks.RUN}").collect()} == want
+        rows = got.collect()
+        assert {(x["doc_id"], x["item_id"]) for x in rows if x["passage_distance"] == 0} == want == {(x["doc_id"], x["item_id"]) for x in rows if x["longest_run"] >= leaks.RUN}
+        # the whole item within its errors, against all pairs
+        assert {(x["doc_id"], x["item_id"]) for x in rows if x["edit_distance"] <= x["error_budget"]} == whole
     assert leaks.leaks(d.limit(0), i).collect() == []
 
 
