@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.llm import leaks, mixing, pieces, pii, plain, residue, similar, truncated
 from bidweave.operators import quotes
+from bidweave.session import shared_folder
 from bidweave.sources.tables import records, table
 
 
+#: Where the queries look for a tokenizer, unless ``spark.bidweave.vocabulary`` names another file.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _near_items(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     return similar.near_duplicates(table(spark, directory, "items"), "seq", "statement", "quote", threshold=0.7)
 
@@ -73,6 +80,18 @@ def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return cut.withColumnsRenamed({"kind": "record_kind", "id": "record_id"})
 
 
+def p4_files(spark: SparkSession, directory: str) -> DataFrame:
+    """The pages of each role and package as text files in the shared folder, cut by byte ranges: the pieces of each file."""
+    base = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    lines = records(spark, directory, "pages").where("text <> ''").select("package_id", "doc_id", "page", F.regexp_replace("text", "\r", "").alias("value"))
+    lines.repartition("package_id").sortWithinPartitions("package_id", "doc_id", "page").select("package_id", "value").write.partitionBy("package_id").text(base)
+    files = similar.written(pieces.listed(spark, base).where(F.col("path").endswith(".txt")), "files")
+    ranges = pieces.file_ranges(files)
+    cut = pieces.emit(ranges, pieces.piece_offsets(ranges))
+    named = files.select("id", F.regexp_extract("path", r"package_id=([^/]+)/", 1).alias("package_id"))
+    return cut.join(named, "id").groupBy("package_id").agg(F.count("*").alias("pieces"), F.max(F.length("text")).alias("longest"), F.max("stop").alias("chars"), F.count_if("level < 5").alias("at_breaks"))
+
+
 def _quotes_and_pages(spark: SparkSession, directory: str) -> DataFrame:
     quotes = table(spark, directory, "items").select(F.lit("item").alias("kind"), F.col("seq").alias("id"), F.col("quote").alias("text"))
     pages = table(spark, directory, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
@@ -125,13 +144,19 @@ def p6_leaked_items(spark: SparkSession, directory: str) -> DataFrame:
         F.count("*").alias("documents"), F.count_if(whole).alias("whole"), F.max("longest_run").alias("longest_run"), F.min("edit_distance").alias("least_distance"))
 
 
+def _mixed(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of packages and others are the domains."""
+    docs = table(spark, directory, "documents").withColumn("domain", F.when(F.col("package_id").isNull(), "loose").otherwise("package"))
+    return mixing.mix(docs, table(spark, directory, "mix_targets"), vocabulary=spark.conf.get("spark.bidweave.vocabulary", VOCABULARY))
+
+
 def p7_mixture(spark: SparkSession, directory: str) -> DataFrame:
-    return mixing.mix(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))[0]
+    return _mixed(spark, directory)[0]
 
 
 def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     """The shares really reached."""
-    return mixing.mix(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))[1]
+    return _mixed(spark, directory)[1]
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -153,7 +178,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
     "p2_found": p2_found, "p2_rates": p2_rates,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
-    "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_files": p4_files,
     "p5_found": p5_found, "p5_plain": p5_plain, "p5_located": p5_located,
     "p6_found": p6_found, "p6_leaked_items": p6_leaked_items,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares,

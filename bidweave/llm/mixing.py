@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from bidweave.session import written
 
-#: A file of merge ranks of a public byte-level tokenizer; other vocabularies of this form can be given.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of these ranks.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEVELS = ("domain", "language", "source")
@@ -40,7 +38,7 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def token_counts(df: DataFrame, text: str = "text", *, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
     """``df`` with ``text`` replaced by ``tokens``, its length in the tokenizer's tokens (0 for NULL)."""
     keep = [f for f in df.schema.fields if f.name != text]
 
@@ -59,14 +57,6 @@ def language(lang: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(lang, r"^\s*([A-Za-z]{2,3})", 1)), F.lit("")), F.lit("und"))
 
 
-def domain(title: Column) -> Column:
-    """The kind of a document, by the form of its title."""
-    return (
-        F.when(title.rlike("(?i)^statement of work"), "work").when(title.rlike("(?i)award"), "award").when(title.rlike("(?i)^(notice|amendment)|bulletin"), "notice")
-        .when(title.rlike("(?i)^re:|q ?& ?a|questions"), "answers").otherwise("other")
-    )
-
-
 def fill(amount: float, children: list[tuple[float, float]]) -> list[float]:
     """``amount`` handed to ``children`` (weight, capacity) by weight, what one can't take going to the others."""
     got, open_ = [0.0] * len(children), [i for i, (w, c) in enumerate(children) if w > 0 and c > 0]
@@ -105,24 +95,28 @@ def budgets(leaves: list[dict], budget: float) -> list[float]:
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, *, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     """``(mixture, shares)``.
 
-    ``docs`` is (doc_id, text, source, lang, title), ``doc_id`` unique; ``targets`` is (source, target_share,
+    ``docs`` is (doc_id, text, source, lang, domain), ``doc_id`` unique, ``domain`` being whatever the caller groups by (it may
+    be left out); ``targets`` is (source, target_share,
     max_repeats), ``source`` unique, a table as small as its number of sources. ``budget`` is the mixture's size in tokens, by
     default that of all documents of targeted sources.
 
+    ``vocabulary`` is the path, the same for all workers, of a file of merge ranks of a byte-level tokenizer.
+
     ``mixture`` is (doc_id, source, tokens, uses): each document that is used, how often (never more than its source's
     ``max_repeats``). ``shares`` is (source, target_share, max_repeats, documents, available_tokens, target_tokens,
     reached_tokens, reached_share, reached_target) for every targeted source, also those without documents.
 
     NULL texts have no tokens and aren't used; documents of a NULL or untargeted source, and NULL ids, stay out; NULL
-    language and title count as a language and a kind of their own; a NULL or non-positive share or repeat count asks
+    language and domain count as ones of their own; a NULL or non-positive share or repeat count asks
     for nothing; ties in the seeded order are cut by the id; other columns are ignored; empty tables give no mixture.
     """
     want = targets.where("source IS NOT NULL").select("source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     sized = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", "source", language(F.col("lang")).alias("language"), domain(F.coalesce("title", F.lit(""))).alias("domain"))
+        F.col("doc_id").cast("long").alias("doc_id"), "text", "source", language(F.col("lang")).alias("language"),
+        (F.coalesce(F.col("domain").cast("string"), F.lit("")) if "domain" in docs.columns else F.lit("")).alias("domain"))
     sized = token_counts(sized.join(want.select("source"), "source", "left_semi"), vocabulary=vocabulary).where("tokens > 0")
     sized = written(sized.withColumn("place", F.xxhash64(F.lit(seed), "doc_id")), "sized")
     # one row a leaf: as many as there are sources, languages and kinds

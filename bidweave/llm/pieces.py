@@ -12,14 +12,16 @@ With windows of ``width`` before multiples of ``stride`` two consecutive cuts ar
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bidweave.session import written
+
 LIMIT = 9_000
 OVERLAP = 300
 RANGE = 32_768
@@ -93,35 +95,41 @@ def cell_ranges(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size:
         df.where(F.col("id").isNotNull() & (F.length("text") > limit)).select("kind", F.col("id").cast("long").alias("id"), strip(F.col("text")).alias("text"))
         .where(F.length("text") > limit)
     )
-    return long.mapInArrow(_cell_ranges(max(size, width), width + 8), RANGES_DDL).dropDuplicates(["kind", "id", "no"])
+    # written: lengths, cuts and pieces all read the ranges, and no text is sliced twice
+    return written(long.dropDuplicates(["kind", "id"]).mapInArrow(_cell_ranges(max(size, width), width + 8), RANGES_DDL), "ranges")
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, path, bytes) of the files in a folder, as Spark lists them; no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.xxhash64("path").alias("id"), "path", F.col("length").alias("bytes"))
 
 
-def file_ranges(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = 1 << 20) -> DataFrame:
-    """Ranges of UTF-8 text files on a path that all workers see, ``id`` being the place in ``paths``.
+def file_ranges(files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = 1 << 20) -> DataFrame:
+    """Ranges of UTF-8 text files (id, path, bytes) on any file system that all workers reach.
 
     A worker seeks to its byte range and reads it with the halos; a character belongs to the range in which its first
     byte lies. No file is read as a whole by anyone. Bytes that aren't UTF-8 become replacement characters.
     """
     _, width = layout(limit, overlap)
     back = 4 * (width + 8)
-    rows = [(i, p, os.path.getsize(p)) for i, p in enumerate(paths)]
-    files = spark.createDataFrame(rows, "id long, path string, bytes long")
     spans = files.select("id", "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(size).cast("long"))).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                with open(r["path"], "rb") as f:
-                    lo = max(0, r["at"] - back)
-                    f.seek(lo)
-                    data = f.read(r["at"] - lo + size + 64)
+                system, path = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", r["path"]))
+                lo = max(0, r["at"] - back)
+                with system.open_input_file(path) as f:
+                    data = f.read_at(r["at"] - lo + size + 64, lo)
                 first, last = _char_start(data, r["at"] - lo), _char_start(data, r["at"] - lo + size)
                 begin = _char_start(data, 0) if lo else 0
                 text = [b.decode("utf-8", "replace") for b in (data[begin:first], data[first:last], data[last:])]
                 yield pa.RecordBatch.from_pylist(
                     [{"kind": "file", "id": r["id"], "no": r["at"] // size, "halo": text[0], "body": text[1], "next": text[2][:8]}], schema=RANGES)
 
-    return spans.repartition(spark.sparkContext.defaultParallelism * 2, "id", "at").mapInArrow(run, RANGES_DDL)
+    tasks = files.sparkSession.sparkContext.defaultParallelism * 2
+    return spans.repartition(tasks, "id", "at").mapInArrow(run, RANGES_DDL)
 
 
 def _char_start(data: bytes, at: int) -> int:

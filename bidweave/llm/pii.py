@@ -41,9 +41,11 @@ def shape(token: str) -> str:
 
 
 def _chunk_shape(chunk: str) -> str:
-    """Runs of letters as ``a`` or ``A``, digits by their number, signs as they are."""
-    out = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group()[0].isupper() else "a", chunk.rstrip(".,;:)")[:40])
-    return re.sub(r"\d+", lambda m: f"{min(len(m.group()), 9)}", out)[:14]
+    """Runs of letters as ``a`` or ``A``, digits by their number, signs as they are; what repeats counts
+    twice at most, so long chunks have short shapes too."""
+    out = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group()[0].isupper() else "a", chunk.rstrip(".,;:)"))
+    out = re.sub(r"\d+", lambda m: f"{min(len(m.group()), 9)}", out)
+    return re.sub(r"((?:[Aa]|\d)[^Aa\d])\1{2,}", r"\1\1", out)
 
 
 def _own(token: str) -> list[str]:
@@ -66,6 +68,8 @@ class Tagger:
     """Weights of the field, and tables of scores that grow with the tokens met (and are emptied at a fixed size)."""
 
     MOST = 200_000
+    #: Tokens of texts, padding included, that are decoded together.
+    CELLS = 400_000
 
     def __init__(self, weights: dict[str, np.ndarray], trans: np.ndarray, start: np.ndarray):
         self.weights, self.trans, self.start = weights, trans, start
@@ -205,8 +209,11 @@ class Tagger:
         best = run[begin[1:]] - run[begin[:-1]] + max(entry, 0)
         todo = np.flatnonzero((best > 0) & (np.diff(begin) > 0))
         todo = todo[np.argsort(np.diff(begin)[todo], kind="stable")]
-        for k in range(0, len(todo), 512):
-            part = todo[k : k + 512]
+        # decoded together while the padded table stays small, whatever the longest text is
+        size, k = np.diff(begin)[todo], 0
+        while k < len(todo):
+            upto = k + max(1, min(512, int(np.searchsorted(np.arange(1, len(todo) - k + 1) * size[k:], self.CELLS, "right"))))
+            part, k = todo[k:upto], upto
             for i, labels in zip(part, self._viterbi(score, begin, part)):
                 if labels.any():
                     out[i] = labels
@@ -366,9 +373,18 @@ def _sound(kind: str, span: str, before: str) -> bool:
     if kind == "address":
         return digits >= 1 and bool(re.search(r"[^\W\d_]{2,}", span))
     words = re.findall(r"[^\W\d_]+", span)
-    return any(len(x) > 1 and x.lower() not in _NOT_NAMES and x[0].isupper() for x in words) and not digits and not any(x.lower() in ("llc", "inc", "foundation", "county", "hall") for x in words)
-
-
+    if digits or not any(len(x) > 1 for x in words):
+        return False
+    # a given name or a form of address makes a name of words that are streets, halls and firms elsewhere, and of small letters
+    called = len(words) > 1 and words[0].lower() in GIVEN and not _FIRM.search(span) or bool(_ADDRESSED.search(before))
+    if called:
+        return any(len(x) > 1 and x.lower() not in _NEVER for x in words)
+    return any(len(x) > 1 and x.lower() not in _NOT_NAMES and x[0].isupper() for x in words) and not any(x.lower() in ("llc", "inc", "foundation", "county", "hall") for x in words)
+
+
+_FIRM = re.compile(r"(?i)\b(?:llc|inc|ltd|foundation|county|company|group|university)\b")
+_ADDRESSED = re.compile(r"(?i)\b(?:mrs?|ms|dr|prof|herr|frau|sra?|mme|m)\.?\s*$")
+_NEVER = frozenset("the and of for attn contact section".split())
 _TRIM = {"name": " ,;:-(<", "email": " ,;:-(<>", "phone": " ,;:-<", "id_number": " ,;:-(<#", "address": " ,;:-(<"}
 
 
@@ -410,7 +426,12 @@ def _run(shared):
         for batch in batches:
             keys, fields = batch.column("key").to_pylist(), batch.column("field").to_pylist()
             texts = batch.column("text").to_pylist()
-            tags = model.tag([_readable(t)[0] for t in texts])
+            tags, lo = [], 0
+            ends = np.cumsum([len(t) for t in texts])
+            while lo < len(texts):  # a text at least, and so many as keep their scores small
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHARS, "right")))
+                tags += model.tag([_readable(t)[0] for t in texts[lo:hi]])
+                lo = hi
             out: dict[str, list] = {k: [] for k in ("key", "field", "types", "spans", "redacted")}
             for key, field, text, labels in zip(keys, fields, texts, tags):
                 found = spans(text, labels) if labels is not None else []
@@ -423,6 +444,8 @@ def _run(shared):
     return run
 
 
+#: Characters of texts that are scored together.
+CHARS = 2_000_000
 _FOUND = pa.schema([("key", pa.int64()), ("field", pa.string()), ("types", pa.list_(pa.string())),
                     ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))), ("redacted", pa.string())])
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bidweave.llm import leaks, mixing, pieces, pii
+from bidweave.llm import catalog, leaks, mixing, pieces, pii
 from bidweave.llm.pii_labels import LABELS, labelled
 
 
@@ -105,7 +105,9 @@ def test_file_ranges(spark, tmp_path):
     path = tmp_path / "big.txt"
     text = "".join(f"Zeile {k}: größer als vorher – gewiss.\n" for k in range(3000))
     path.write_text(text, encoding="utf-8")
-    ranges = pieces.file_ranges(spark, [str(path)], limit=1000, overlap=50, size=5000)
+    files = pieces.listed(spark, str(tmp_path))
+    assert files.first()["bytes"] == path.stat().st_size
+    ranges = pieces.file_ranges(files, limit=1000, overlap=50, size=5000)
     got = pieces.emit(ranges, pieces.piece_offsets(ranges, 1000, 50)).collect()
     assert rejoined(got, 50) == text and max(len(r["text"]) for r in got) <= 1000
 
@@ -190,16 +192,26 @@ def test_mixture(spark):
     rows += [(900, None, "a", "en", "t"), (901, "", "a", "en", "t"), (None, "word", "a", "en", "t")]
     docs = spark.createDataFrame([(*r, "clash", 5) for r in rows], "doc_id long, text string, source string, lang string, title string, domain string, tokens int")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4), ("e", None, 3), ("f", 0.1, None)], "source string, target_share double, max_repeats int")
-    mixture, shares = mixing.mix(docs, targets)
+    mixture, shares = mixing.mix(docs, targets, vocabulary=catalog.VOCABULARY)
     uses = mixture.collect()
     most = {"a": 1, "b": 2, "c": 4}
     assert len({r["doc_id"] for r in uses}) == len(uses) and all(0 < r["uses"] <= most[r["source"]] for r in uses)
     got = {r["source"]: r for r in shares.collect()}
     assert set(got) == {"a", "b", "c", "e", "f"} and got["c"]["reached_tokens"] == 12 * got["c"]["available_tokens"] // 3 and not got["c"]["reached_target"]
     assert sum(r["reached_share"] for r in got.values()) == pytest.approx(1)
-    again, _ = mixing.mix(docs, targets)
+    again, _ = mixing.mix(docs, targets, vocabulary=catalog.VOCABULARY)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, uses))
-    small, part = mixing.mix(docs, targets, budget=400)
+    small, part = mixing.mix(docs, targets, budget=400, vocabulary=catalog.VOCABULARY)
     assert abs(sum(r["reached_tokens"] for r in part.collect()) - 400) < 90
-    none, empty = mixing.mix(docs.limit(0), targets)
+    none, empty = mixing.mix(docs.limit(0), targets, vocabulary=catalog.VOCABULARY)
     assert none.collect() == [] and {r["reached_share"] for r in empty.collect()} == {0.0}
+
+
+def test_very_long_values_and_kinds_of_names():
+    tagger = pii.tagger()
+    long = "word " * 120_000 + "write to pat.quill@example.gov"
+    short = ["Attn: Robert Hall will call.", "nothing here", long, "Mail jo.doe@example.org today"]
+    tags = tagger.tag([pii._readable(t)[0] for t in short])
+    found = [{k for *_, k in pii.spans(t, x)} if x is not None else set() for t, x in zip(short, tags)]
+    assert found[1] == set() and found[2] == {"email"} and "email" in found[3]
+    assert pii._sound("name", "robert hall", "") and pii._sound("name", "Lane", "Ask Ms. ") and not pii._sound("name", "Wixom Hall", "") and not pii._sound("name", "Robert Foundation", "")
