@@ -89,7 +89,7 @@ def p4_files(spark: SparkSession, directory: str) -> DataFrame:
     ranges = pieces.file_ranges(files)
     cut = pieces.emit(ranges, pieces.piece_offsets(ranges))
     named = files.select("id", F.regexp_extract("path", r"package_id=([^/]+)/", 1).alias("package_id"))
-    return cut.join(named, "id").groupBy("package_id").agg(F.count("*").alias("pieces"), F.max(F.length("text")).alias("longest"), F.max("stop").alias("chars"), F.count_if("level < 5").alias("at_breaks"))
+    return cut.join(named, "id").groupBy("package_id").agg(F.count("*").alias("pieces"), F.max(F.length("text")).alias("longest"), F.max("stop").alias("chars"), F.count_if(F.col("level") < 5).alias("at_breaks"))
 
 
 def _quotes_and_pages(spark: SparkSession, directory: str) -> DataFrame:
