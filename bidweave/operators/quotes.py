@@ -8,6 +8,7 @@ vocabulary.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -57,15 +58,43 @@ def ratio(a: list[str], b: list[str]) -> float:
     return SequenceMatcher(None, " ".join(a), " ".join(b), autojunk=False).ratio()
 
 
+def ratio_beyond(a: str, b: str, least: float) -> float:
+    """The likeness of two texts if it is more than ``least``, else some value that isn't.
+
+    Matching blocks are looked for from the largest gap on. What is still open between blocks can't match more than its
+    longest common subsequence, so the search ends as soon as that isn't enough.
+    """
+    both = len(a) + len(b)
+    if not both:
+        return 1.0
+    matcher = SequenceMatcher(None, a, b, autojunk=False)
+    most = _common(a, b)
+    matched, open_ = 0, [(-most, 0, len(a), 0, len(b))]
+    while open_:
+        if 2.0 * (matched + most) / both <= least:
+            return 0.0
+        bound, alo, ahi, blo, bhi = heapq.heappop(open_)
+        most += bound
+        i, j, k = matcher.find_longest_match(alo, ahi, blo, bhi)
+        if k:
+            matched += k
+            for gap in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                if gap[0] < gap[1] and gap[2] < gap[3] and (bound := _common(a[gap[0] : gap[1]], b[gap[2] : gap[3]])):
+                    most += bound
+                    heapq.heappush(open_, (-bound, *gap))
+    return 2.0 * matched / both
+
+
 def _letters(words_: list[str]) -> np.ndarray:
     """Running counts of letters, digits and spaces over a list of words."""
-    out = np.zeros((len(words_) + 1, 37), np.int32)
-    for i, w in enumerate(words_):
-        codes = np.frombuffer(w.encode(), np.uint8)
-        at = np.where(codes >= 97, codes - 97, codes - 48 + 26)
-        out[i + 1] = np.bincount(at, minlength=37)[:37]
-    out[1:, 36] = 1
-    return out.cumsum(axis=0)
+    codes = np.frombuffer("".join(words_).encode(), np.uint8)
+    at = np.where(codes >= 97, codes - 97, codes - 48 + 26)
+    letter = np.zeros((len(codes) + 1, 37), np.int32)
+    letter[np.arange(1, len(codes) + 1), at] = 1
+    ends = np.cumsum([0, *map(len, words_)])
+    out = letter.cumsum(axis=0, dtype=np.int32)[ends]
+    out[:, 36] = np.arange(len(words_) + 1)
+    return out
 
 
 def _common(a: str, b: str) -> int:
@@ -115,7 +144,7 @@ def window_ratio(quote: list[str], page: list[str], floor: float = 0.0) -> float
         if most <= best or most < floor:
             continue
         # likeness depends on the order of its arguments: the quote is the first
-        best = max(best, SequenceMatcher(None, target, window, autojunk=False).ratio())
+        best = max(best, ratio_beyond(target, window, max(best, floor - 1e-9)))
     return best if best >= floor else 0.0
 
 
@@ -132,13 +161,20 @@ def covering(needed: set[str], page: list[str]) -> int | None:
     return best
 
 
-def _near(floor: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["ratio"] = [window_ratio(list(q), list(w), floor) for q, w in zip(b["qw"], b["pw"])]
-            yield b[["seq", "page", "end_page", "span", "other", "ratio"]]
-
-    return run
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by quote, the most promising places first: the likeness of each place that isn't worse than the best before
+    it. Places that are as good are told apart later, so a little room is left."""
+    now, best = None, 0.0
+    for b in batches:
+        out = []
+        for seq, q, w in zip(b["seq"], b["qw"], b["pw"]):
+            if seq != now:
+                now, best = seq, 0.0
+            found = window_ratio(list(q), list(w), max(0.0, best - 1e-9))
+            best = max(best, found)
+            out.append(found)
+        b["ratio"] = out
+        yield b[["seq", "page", "end_page", "span", "other", "ratio"]]
 
 
 def _table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,18 +212,15 @@ def locate(items: DataFrame, pages: DataFrame, fold: bool = True) -> DataFrame:
     left = written(left.join(two, "seq", "left_anti").withColumn("qw", words(F.col("quote"))).drop("key"), "left")
     places = feats.select("doc_id", "page", F.lit(None).cast("int").alias("end_page"), F.lit(0).alias("span"), words(F.col("body")).alias("pw")).unionByName(
         pairs.select("doc_id", "page", (F.col("page") + 1).alias("end_page"), F.lit(1).alias("span"), words(F.col("body")).alias("pw")))
-    near = left.join(places, "doc_id").where(_overlap(F.col("qw"), F.array_distinct("pw")) >= K.OVERLAP_FLOOR)
-    near = near.select("seq", "page", "end_page", "span", (~F.col("page").eqNullSafe(F.col("cited"))).alias("other"), "qw", "pw")
+    near = left.join(places, "doc_id").withColumn("overlap", _overlap(F.col("qw"), F.array_distinct("pw"))).where(F.col("overlap") >= K.OVERLAP_FLOOR)
+    near = near.select("seq", "page", "end_page", "span", (~F.col("page").eqNullSafe(F.col("cited"))).alias("other"), "overlap", "qw", "pw")
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def best_of(rows: DataFrame, floor: float) -> DataFrame:
-        # comparing is dear and rows are few: they are spread over all tasks
-        scored = rows.repartition(tasks).mapInPandas(_near(floor), "seq long, page int, end_page int, span int, other boolean, ratio double").where("ratio > 0")
-        return scored.groupBy("seq").agg(F.min(F.struct((-F.bround("ratio", 9)).alias("ratio"), "span", "other", "page", "end_page")).alias("b")).select(
-            "seq", (-F.col("b.ratio")).alias("ratio"), F.col("b.page").alias("page"), F.col("b.end_page").alias("end_page"))
-
-    best = written(best_of(near, K.FUZZY_FLOOR), "near")
-    three = best.select("seq", F.lit("fuzzy").alias("status"), "page", F.bround("ratio", 3).alias("similarity"), "end_page")
+    # comparing is dear and rows are few: quotes are spread over all tasks, each with all its places, one pass for all
+    scored = near.repartition(4 * tasks, "seq").sortWithinPartitions("seq", F.desc("overlap"), "other", "page", "span").mapInPandas(
+        _near, "seq long, page int, end_page int, span int, other boolean, ratio double").where("ratio > 0")
+    best = written(scored.groupBy("seq").agg(F.min(F.struct((-F.bround("ratio", 9)).alias("ratio"), "span", "other", "page", "end_page")).alias("b")).select(
+        "seq", (-F.col("b.ratio")).alias("ratio"), F.col("b.page").alias("page"), F.col("b.end_page").alias("end_page")), "near")
+    three = best.where(F.col("ratio") >= K.FUZZY_FLOOR).select("seq", F.lit("fuzzy").alias("status"), "page", F.bround("ratio", 3).alias("similarity"), "end_page")
     needed = F.array_except(F.array_distinct("qw"), F.array(*[F.lit(w) for w in K.STOPWORDS]))
     open_ = left.join(three.select("seq"), "seq", "left_anti").withColumn("needed", needed).where(F.size("needed") >= 5)
     cells = open_.join(places.where("span = 0"), "doc_id").where(F.size(F.array_except("needed", "pw")) == 0)
@@ -196,9 +229,7 @@ def locate(items: DataFrame, pages: DataFrame, fold: bool = True) -> DataFrame:
     four = runs.groupBy("seq").agg(F.min(F.struct("other", "page", "run", "size")).alias("b")).select(
         "seq", F.lit("assembled").alias("status"), F.col("b.page").alias("page"), F.bround(F.col("b.size") / F.col("b.run"), 3).alias("similarity"), F.lit(None).cast("int").alias("end_page"))
     found = written(one.unionByName(two).unionByName(three).unionByName(four), "found")
-    # how near a missing quote came is worked out for these alone
     none = quotes.select("seq").join(found, "seq", "left_anti")
-    came = best_of(near.join(none, "seq", "left_semi"), 0.0)
-    none = none.join(came.select("seq", "ratio"), "seq", "left").select(
+    none = none.join(best.select("seq", "ratio"), "seq", "left").select(
         "seq", F.lit("missing").alias("status"), F.lit(None).cast("int").alias("page"), F.coalesce(F.bround("ratio", 3), F.lit(0.0)).alias("similarity"), F.lit(None).cast("int").alias("end_page"))
     return found.unionByName(none)

@@ -193,7 +193,8 @@ def _quotes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     i, p = records(spark, d, "items"), records(spark, d, "pages")
     i = T.with_nfkc(i.select("seq", "document", "page", "quote"), "quote")
     q = i.select("seq", F.col("document").alias("doc_id"), F.col("page").alias("cited"), T.squash(F.col("quote")).alias("key")).where(F.length("key") >= K.LEAST_KEY)
-    return q, quotes.features(p)
+    # both are read by each tier
+    return written(q, "keys"), written(quotes.features(p).drop("body"), "squashed")
 
 
 @query

@@ -105,6 +105,18 @@ def test_window_ratio_is_exact():
         assert quotes.window_ratio(q, page, 0.9) == pytest.approx(best if best >= 0.9 else 0.0)
 
 
+def test_ratio_beyond_a_floor():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        a = "".join(r.choices("abc d", k=r.randint(0, 40)))
+        b = "".join(r.choices("abc d", k=r.randint(0, 40))) if r.random() < 0.5 else a[:10] + "x" + a[12:]
+        true, least = SequenceMatcher(None, a, b, autojunk=False).ratio(), r.random()
+        got = quotes.ratio_beyond(a, b, least)
+        assert got == pytest.approx(true) if true > least else got <= least
+
+
 def test_covering():
     assert quotes.covering({"a", "b"}, "a x x b a".split()) == 2
     assert quotes.covering({"a", "z"}, "a b".split()) is None
