@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.functions.text import empty
+from bidweave.functions.text import empty, percent
 from bidweave.session import written
 
 
@@ -118,3 +118,36 @@ def results(facts: DataFrame, factors: DataFrame, checklist: DataFrame, items: D
 def missed(checklist: DataFrame, lines: DataFrame) -> DataFrame:
     """(package_id, id, text) of checklist lines that no item covers; ``lines`` is (package_id, id, text)."""
     return lines.join(checklist.where("NOT found").select("package_id", "id"), ["package_id", "id"], "left_semi").select("package_id", "id", "text")
+
+
+def gold_facts(gold: DataFrame) -> DataFrame:
+    """(package_id, fact, stated, date, time, any) of reference answers as ``sources.files.gold`` reads them; a fact without a
+    value isn't stated."""
+    g = gold.select("package_id", F.explode("facts").alias("fact", "v"))
+    return g.select("package_id", "fact", F.col("v").isNotNull().alias("stated"), "v.date", "v.time", "v.any")
+
+
+def gold_factors(gold: DataFrame) -> DataFrame:
+    """(package_id, id, names, weight) of reference answers."""
+    return gold.select("package_id", F.posexplode("evaluation_factors").alias("id", "f")).select("package_id", "id", F.col("f.name").alias("names"), "f.weight")
+
+
+def gold_checklist(gold: DataFrame) -> DataFrame:
+    """(package_id, id, text, all) of reference answers."""
+    return gold.select("package_id", F.explode("checklist").alias("c")).select("package_id", "c.id", "c.text", "c.all")
+
+
+MEASURES = {
+    "Key facts right": ("facts_correct", "facts_total"), "Deadline times right": ("times_correct", "times_total"), "Evaluation factors found": ("factors_found", "factors_total"),
+    "Must-do checklist items covered": ("checklist_found", "checklist_total")}
+
+
+def table(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(package_id, nth, line): Markdown tables of two results side by side, for each package and (NULL) over all."""
+    both = first.select("package_id", F.struct(*[c for c in first.columns if c != "package_id"]).alias("a")).join(
+        second.select(F.col("package_id").alias("__p"), F.struct(*[c for c in second.columns if c != "package_id"]).alias("b")), F.col("package_id").eqNullSafe(F.col("__p")))
+    cell = lambda x, right, total: percent(F.col(f"{x}.{right}"), F.col(f"{x}.{total}"))
+    rows = [F.concat(F.lit(f"| {k} | "), cell("a", *v), F.lit(" | "), cell("b", *v), F.lit(" |")) for k, v in MEASURES.items()]
+    rows.append(F.concat(F.lit("| Items returned | "), F.col("a.items").cast("string"), F.lit(" | "), F.col("b.items").cast("string"), F.lit(" |")))
+    head = [F.lit("| Measure | Model | Keyword baseline |"), F.lit("|---|---:|---:|")]
+    return both.select("package_id", F.posexplode(F.array(*head, *rows)).alias("nth", "line"))

@@ -403,6 +403,22 @@ def evaluation_results(spark: SparkSession, d: str) -> DataFrame:
     return scoring.results(scoring.score_facts(gold, pick(other)), factors, scoring.score_checklist(_checklist(ref), other), other)
 
 
+@query
+def evaluation_table(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of results: the other models and the keyword baseline against the reference."""
+    ref, other = _two_models(spark, d)
+    pick = lambda x: facts.dated(items.live(x), "response_due").unionByName(facts.dated(items.live(x), "questions_due"))
+    gold = pick(ref).select("package_id", "fact", F.lit(True).alias("stated"), "date", "time", F.array(F.lower("statement")).alias("any"))
+    factors, lines = _factors(ref), _checklist(ref)
+    b = written(keyword.baseline(_ordered(spark, d)).withColumn("superseded_by", F.lit(None).cast("string")), "baseline")
+
+    def of(found: DataFrame, own: DataFrame) -> DataFrame:
+        scored = scoring.score_factors(factors, own.where("kind = 'evaluation_factor'"))
+        return scoring.results(scoring.score_facts(gold, found), scored, scoring.score_checklist(lines, own), own)
+
+    return scoring.table(of(pick(other), other), of(b.where("kind IN ('response_due', 'questions_due')").withColumn("fact", F.col("kind")), b))
+
+
 @query
 def score_checklist(spark: SparkSession, d: str) -> DataFrame:
     """Whether the other models cover the lines of the reference, by two of a line's longest words."""

@@ -55,15 +55,24 @@ def checksums(spark: SparkSession, path: str, ledger: DataFrame | None = None) -
     return own.join(ledger.select("doc_id", F.col("sha256").alias("__old")), "doc_id", "left").withColumn("changed", F.col("sha256") != F.col("__old")).drop("__old")
 
 
-def uploads(requests: DataFrame) -> DataFrame:
+def keep_checksums(sums: DataFrame, path: str) -> None:
+    """The ledger that ``checksums`` compares with: (doc_id, sha256) as JSON lines."""
+    sums.select("doc_id", "sha256").write.mode("overwrite").json(path)
+
+
+def kept_checksums(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, schema="doc_id string, sha256 string")
+
+
+def uploads(requests: DataFrame, most: int = 60 * 1024 * 1024) -> DataFrame:
     """Files of uploads (id, title, files ARRAY<STRUCT<name, role, data>>): decoded, named safely, with a role (attachment
-    where it is none), and the error that an upload fails with, if any."""
+    where it is none), and the error that an upload fails with, if any; ``most`` is the size in bytes up to which one is taken."""
     each = requests.select("id", F.posexplode_outer("files").alias("at", "f"))
     role = F.when(F.col("f.role").isin("base", "amendment", "attachment"), F.col("f.role")).otherwise("attachment")
     data = F.try_to_binary(F.col("f.data"), F.lit("base64"))
     rows = each.select("id", "at", file_name(F.col("f.name")).alias("name"), role.alias("role"), data.alias("data"), (F.coalesce(F.hex(F.substring(data, 1, 4)) == "25504446", F.lit(False))).alias("is_pdf"))
-    checked = rows.groupBy("id").agg(F.count("at").alias("n"), F.count_if(F.col("role") == "base").alias("bases"), F.bool_and("is_pdf").alias("pdfs"))
-    error = F.when(F.col("n") == 0, "no files").when(F.col("bases") != 1, "exactly one base document is needed").when(~F.col("pdfs"), "not a PDF")
+    checked = rows.groupBy("id").agg(F.count("at").alias("n"), F.count_if(F.col("role") == "base").alias("bases"), F.bool_and("is_pdf").alias("pdfs"), F.sum(F.octet_length("data")).alias("bytes"))
+    error = F.when(F.col("n") == 0, "no files").when(F.col("bases") != 1, "exactly one base document is needed").when(F.col("bytes") > most, "too large").when(~F.col("pdfs"), "not a PDF")
     return rows.join(checked.select("id", error.alias("error")), "id")
 
 

@@ -426,3 +426,31 @@ def test_scores_find_parts_of_words_and_every_line(spark, tmp_path):
     rows = spark.createDataFrame(both, ITEM + ", model string").withColumn("loaded_at", F.lit("2026-01-01"))
     rows.write.parquet(str(tmp_path / "items.parquet"))
     assert catalog.QUERIES["score_checklist"](spark, str(tmp_path)).count() == catalog.QUERIES["score_factors"](spark, str(tmp_path)).count() == 30
+
+
+def test_reference_answers(spark, tmp_path):
+    import json
+
+    (tmp_path / "p.json").write_text(json.dumps({
+        "facts": {"naics": {"any": ["541"]}, "set_aside": None, "response_due": {"date": "2026-01-02", "time": "12:00", "page": 3}},
+        "evaluation_factors": [{"name": ["price", "cost"], "weight": None}], "checklist": [{"id": "c1", "text": "Sign it", "all": [["sign"], ["form"]]}]}))
+    gold = files.gold(spark, str(tmp_path / "*.json"))
+    found = frame(spark, [item(1, "naics", "Code 541", "q"), item(2, "response_due", "Due", "q", date="2026-01-02", time="13:00"), item(3, "evaluation_factor", "The Cost", "counts")])
+    facts_ = scoring.score_facts(scoring.gold_facts(gold), found.where("kind <> 'evaluation_factor'").withColumn("fact", F.col("kind")))
+    assert {r["fact"]: r["verdict"] for r in scoring.verdict(facts_).collect()} == {"naics": "yes", "set_aside": "yes", "response_due": "date only"}
+    lines = scoring.gold_checklist(gold)
+    covered = scoring.score_checklist(lines, found)
+    r = scoring.results(facts_, scoring.score_factors(scoring.gold_factors(gold), found.where("kind = 'evaluation_factor'")), covered, found)
+    total = r.where("package_id IS NULL").first()
+    assert [total[c] for c in ("facts_correct", "facts_total", "times_correct", "times_total", "factors_found", "checklist_found", "items")] == [3, 3, 0, 1, 1, 0, 3]
+    assert [x["text"] for x in scoring.missed(covered, lines).collect()] == ["Sign it"]
+    table = [x["line"] for x in scoring.table(r, r).where("package_id IS NULL").orderBy("nth").collect()]
+    assert table[2] == "| Key facts right | 3/3 (100%) | 3/3 (100%) |" and table[-1] == "| Items returned | 3 | 3 |"
+
+
+def test_ledger(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one")
+    files.keep_checksums(files.checksums(spark, str(tmp_path / "in" / "*.txt")), str(tmp_path / "ledger"))
+    (tmp_path / "in" / "a.txt").write_text("two")
+    assert files.checksums(spark, str(tmp_path / "in" / "*.txt"), files.kept_checksums(spark, str(tmp_path / "ledger"))).first()["changed"] is True
