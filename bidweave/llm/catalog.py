@@ -41,6 +41,12 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return cut.select(F.col("key").alias("seq"), F.col("field").alias("field_name"))
 
 
+def p2_reasons(spark: SparkSession, directory: str) -> DataFrame:
+    """By model and field: how many values were cut, by the evidence that shows it."""
+    cut, _ = truncated.truncated(table(spark, directory, "items"), "seq", "model", ["statement", "quote"])
+    return cut.groupBy(F.col("source").alias("model"), F.col("field").alias("field_name"), "reason").agg(F.count("*").alias("values"))
+
+
 def p2_rates(spark: SparkSession, directory: str) -> DataFrame:
     """How often each model's values and items were cut."""
     cut, values = truncated.truncated(table(spark, directory, "items"), "seq", "model", ["statement", "quote"])
@@ -176,7 +182,7 @@ def p8_clean(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups,
-    "p2_found": p2_found, "p2_rates": p2_rates,
+    "p2_found": p2_found, "p2_rates": p2_rates, "p2_reasons": p2_reasons,
     "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_files": p4_files,
     "p5_found": p5_found, "p5_plain": p5_plain, "p5_located": p5_located,
