@@ -260,7 +260,7 @@ def twins(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return alike.join(base.select(F.col("seq").alias("a"), F.col("place").alias("pa")), "a").select("a", "pa", "b"), copies
 
 
-def merge(items: DataFrame, most_rounds: int = 100) -> DataFrame:
+def merge(items: DataFrame) -> DataFrame:
     """One item for each fact: repeats are folded into the first of their kind in reading order. ``seq`` is unique.
 
     An item is kept if no kept item before it is its twin; the first such twin absorbs it. This is settled in rounds
@@ -271,7 +271,7 @@ def merge(items: DataFrame, most_rounds: int = 100) -> DataFrame:
     pairs = written(pairs, "twins")
     nodes = written(pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct(), "nodes")
     settled = written(nodes.join(pairs.select(F.col("b").alias("seq")).distinct(), "seq", "left_anti").select("seq", F.lit(True).alias("kept")), "settled")
-    for _ in range(most_rounds):
+    while True:  # each round settles the first of what is left, at least
         todo = nodes.join(settled, "seq", "left_anti")
         if todo.isEmpty():
             break
@@ -279,8 +279,6 @@ def merge(items: DataFrame, most_rounds: int = 100) -> DataFrame:
         now = known.groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("taken"), F.bool_and(F.col("kept").isNotNull()).alias("ready"))
         # absorbed by a kept one before it, or kept once all before it are settled
         settled = written(settled.unionByName(now.where("taken OR ready").select(F.col("b").alias("seq"), (~F.col("taken")).alias("kept"))), "settled")
-    else:
-        raise RuntimeError("the merge did not settle")
     into = pairs.join(settled.where("kept").select(F.col("seq").alias("a")), "a").join(settled.where("NOT kept").select(F.col("seq").alias("b")), "b").groupBy("b").agg(F.min_by("a", "pa").alias("a"))
     # a copy goes where the first of its equals went, or to it
     led = copies.join(into.select(F.col("b").alias("a"), F.col("a").alias("__into")), "a", "left").select("b", F.coalesce("__into", "a").alias("a"))
