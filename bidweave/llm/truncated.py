@@ -25,6 +25,8 @@ from bidweave.session import written
 
 #: What may stand at the end of a finished value.
 TERMINAL = r"[.!?;:)\]}\"'”’»。．！？；：]\s*$"
+#: What ends a sentence; at the length of a limit nothing else counts as an end.
+SENTENCE = r"[.!?。．！？][)\]}\"'”’»]*\s*$"
 #: What only a cut leaves at the end: an ellipsis, a broken character, a hyphen behind a letter, a comma, an open bracket, a broken character reference.
 MARK = r"(?:\.\.\.|…|\x{FFFD}|\p{L}-|[,(\[{</]|&(?:#\w{0,6}|am?p?|lt?|gt?|qu?o?t?|nb?s?p?|apo?s?)?|\s[-–—])\s*$"
 #: A limit's spike: at least so many values, and so many times what the lengths before it lead to expect.
@@ -183,21 +185,24 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> tuple[
     repeat a key count once in both results (and once each in the length counts); further columns are ignored; an empty
     table gives empty results. Whole values are looked at.
     """
-    long = _long(df, key, source, fields).withColumn("open", _unfinished(F.col("text")))
+    long = _long(df, key, source, fields).withColumn("open", _unfinished(F.col("text"))).withColumn("soft", ~F.col("open") & ~F.substring("text", -8, 8).rlike(SENTENCE))
     facts = long.withColumns({
         "chars": F.length("text"), "bytes": F.octet_length("text"), "mark": F.substring("text", -8, 8).rlike(MARK)})
     values = facts.select("key", "source", "field").distinct()
-    # all that follows the first pass needs only the values left open, a small part of the table
-    opened = written(facts.where("open").dropDuplicates(["key", "field"]).withColumn("rid", F.xxhash64("key", "field")), "open")
+    # all that follows the first pass needs only the values left open, and those that end on a bracket or the like, a small
+    # part of the table
+    opened = written(facts.where("open OR soft").dropDuplicates(["key", "field"]).withColumn("rid", F.xxhash64("key", "field")), "open")
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
-    lengths = opened.select("source", "field", units.alias("u")).groupBy("source", "field", F.col("u.unit").alias("unit"), F.col("u.length").alias("length")).agg(F.count("*").alias("n"))
+    lengths = opened.where("open").select("source", "field", units.alias("u")).groupBy("source", "field", F.col("u.unit").alias("unit"), F.col("u.length").alias("length")).agg(F.count("*").alias("n"))
     spikes = written(_spikes(lengths), "spikes")
     at = spikes.groupBy("source", "field").agg(
         F.collect_set(F.when(F.col("unit") == "chars", F.col("at"))).alias("c"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("at"))).alias("b"))
     short = lambda column, spans, steps: F.exists(F.coalesce(F.col(spans), F.array().cast("array<int>")), lambda x: (F.col(column) <= x) & (F.col(column) >= x - steps))
-    held = opened.join(at, ["source", "field"], "left").withColumn("limit", short("chars", "c", 1) | short("bytes", "b", 3)).drop("c", "b")
+    held = opened.join(at, ["source", "field"], "left").withColumn(
+        # what ends on a bracket or the like must lie at the limit itself
+        "limit", F.when(F.col("open"), short("chars", "c", 1) | short("bytes", "b", 3)).otherwise(short("chars", "c", 0) | short("bytes", "b", 0))).drop("c", "b")
     sizes = facts.groupBy("source", "field").agg(F.count("*").alias("all"))
-    loose = held.where("NOT mark AND NOT limit")
+    loose = held.where("open AND NOT mark AND NOT limit")
     habits = (
         loose.groupBy("source", "field").agg(F.count("*").alias("loose")).join(sizes, ["source", "field"])
         .where((F.col("loose") <= HABIT * F.col("all")) & (F.col("all") >= 50)).select("source", "field", F.lit(True).alias("habit"))
@@ -205,7 +210,7 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> tuple[
     loose = loose.join(habits, ["source", "field"], "left").withColumn("habit", F.coalesce("habit", F.lit(False)))
     # how often endings end a sentence, over all values; values known to be cut end none
     finished = facts.where("NOT open").select("text", F.lit(True).alias("whole"))
-    rest = held.select("text", (~F.col("mark") & ~F.col("limit")).alias("whole"))
+    rest = held.where("open").select("text", (~F.col("mark") & ~F.col("limit")).alias("whole"))
     counts = finished.unionByName(rest).mapInArrow(_count, "code long, seen long, ended long").groupBy("code").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
     keys = loose.where("NOT habit").select("rid", "text").mapInArrow(_endings, "rid long, k int, code long")
     # each value has added one to its own ending
@@ -215,7 +220,7 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> tuple[
     # of the longer endings the longest that is seen often decides
     longest = F.max_by(ended <= ENDS * seen, F.when((F.col("k") > 1) & often, F.col("k")))
     endings = keys.join(counts, "code").groupBy("rid").agg((F.bool_or(last) | F.coalesce(longest, F.lit(False))).alias("ending")).where("ending")
-    known = held.where("mark OR limit").select("key", "source", "field", F.when(F.col("mark"), F.lit("mark")).otherwise(F.lit("limit")).alias("reason"))
+    known = held.where("open AND mark OR limit").select("key", "source", "field", F.when(F.col("mark"), F.lit("mark")).otherwise(F.lit("limit")).alias("reason"))
     rest = loose.join(endings, "rid", "left").where("habit OR ending").select("key", "source", "field", F.when(F.col("habit"), F.lit("habit")).otherwise(F.lit("ending")).alias("reason"))
     return known.unionByName(rest), values
 

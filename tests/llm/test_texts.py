@@ -22,6 +22,8 @@ def test_limit_mark_habit_and_ending(spark):
         text = sentence() + " " + sentence() + "."
         if k % 2 and len(text) > 120:
             text = text[:120]
+            if k % 4 == 1:
+                text = text[:-1] + ")"  # cut behind a bracket
             if not text.endswith("."):
                 cut.add(k)
         rows.append((k, "limited", text, ""))
