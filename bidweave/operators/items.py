@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from bidweave.functions import constants as K
 from bidweave.functions import dates as D
 from bidweave.functions.text import empty, has, json_body, strip, words
-from bidweave.operators.quotes import ratio
+from bidweave.operators.quotes import ratio_beyond
 from bidweave.session import written
 
 RAW = "array<struct<kind string, statement string, quote string, page string, date string, time string, weight string>>"
@@ -60,13 +61,17 @@ def verify(items: DataFrame, located: DataFrame) -> tuple[DataFrame, DataFrame]:
         "verification": F.col("__status"), "similarity": F.col("__sim"), "end_page": F.col("__end"), "page": F.coalesce("__page", "page"),
         "warnings": F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.array_compact(F.array(moved, table))),
     }).drop("__status", "__page", "__sim", "__end")
+    # both parts are read from one table
+    full = written(full, "verified")
     return full.where("verification <> 'missing'"), full.where("verification = 'missing'")
 
 
 def check_dates(items: DataFrame) -> DataFrame:
     """Items with warnings where the normalised date or time isn't written in the quote, and without unreadable dates."""
     claimed, date, time = D.parse_iso(F.col("date")), empty(F.col("date")), empty(F.col("time"))
-    written_, times = D.find_dates(F.col("quote")), D.find_times(F.col("quote"))
+    # read once, behind a generator that no optimisation goes through
+    items = items.withColumn("__read", F.explode(F.array(F.struct(D.find_dates(F.col("quote")).alias("dates"), D.find_times(F.col("quote")).alias("times")))))
+    written_, times = F.col("__read.dates"), F.col("__read.times")
     unreadable = (date != "") & claimed.isNull()
     iso = F.date_format(claimed, "yyyy-MM-dd")
     notes = F.array_compact(F.array(
@@ -78,7 +83,7 @@ def check_dates(items: DataFrame) -> DataFrame:
     out = items.withColumn("__notes", notes).withColumn("__bad", unreadable)
     return out.withColumns({
         "warnings": F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.col("__notes")),
-        "date": F.when(F.col("__bad"), F.lit("")).otherwise(F.col("date"))}).drop("__notes", "__bad")
+        "date": F.when(F.col("__bad"), F.lit("")).otherwise(F.col("date"))}).drop("__notes", "__bad", "__read")
 
 
 def reclassify(items: DataFrame) -> DataFrame:
@@ -103,9 +108,13 @@ def reading_order() -> list[Column]:
 
 
 #: Items of a block: larger groups of a package and kind are compared block by block.
-BLOCK = 1024
-#: Signs of a normalised text (digits, letters, space), bits of a number, and pairs looked at together.
-SIGNS, WORD, PAIRS = 37, 64, 4096
+BLOCK = 2048
+#: Signs of a normalised text, by class, each class about a third of a usual text.
+CLASSES = (" et", "aoinsr", "hldcumpfgwybvkxjqz0123456789")
+#: Their number, bits of a number, and pairs looked at together.
+SIGNS, WORD, PAIRS = sum(map(len, CLASSES)), 64, 4096
+#: Texts against which one is compared at once, at least, and the longest text for that.
+MANY, LONG = 32, 1260
 
 
 class _Texts:
@@ -115,14 +124,62 @@ class _Texts:
         raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
         self.size = np.array([len(r) for r in raw], np.int64)
         flat = np.concatenate(raw) if raw else np.empty(0, np.uint8)
-        code = np.where(flat == 32, 36, np.where(flat < 58, flat - 48, flat - 87)).astype(np.int64)
+        table = np.zeros(128, np.int64)
+        table[np.frombuffer("".join(CLASSES).encode(), np.uint8)] = np.arange(SIGNS)
+        code = table[flat]
+        self.texts = texts
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.code = code
         self.counts = np.bincount(np.repeat(np.arange(len(raw)), self.size) * SIGNS + code, minlength=len(raw) * SIGNS).reshape(-1, SIGNS).astype(np.int32)
 
+    @cached_property
+    def parts(self) -> list[_Texts]:
+        """The texts' signs of each class alone. What a class has in order bounds its part of what all have in order, at a
+        ninth of the cost."""
+        return [_Texts([t.translate(gone) for t in self.texts]) for gone in ({ord(x): None for c in CLASSES if c != own for x in c} for own in CLASSES)]
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """Places at which a text has a sign, by sign, number and text; a bit of each number is left for the carry. Texts
+        beyond ``LONG`` have none."""
+        held = np.minimum(self.size, np.where(self.size > LONG, 0, LONG))
+        out = np.zeros((SIGNS, max(1, -(-int(held.max(initial=0)) // (WORD - 1))), len(self.size)), np.uint64)
+        own = np.repeat(np.arange(len(held)), held)
+        if not len(own):
+            return out
+        n = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        np.bitwise_or.at(out, (self.code[self.start[own] + n], n // (WORD - 1), own), np.uint64(1) << (n % (WORD - 1)).astype(np.uint64))
+        return out
+
+    def against(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of text x and each of ys (none beyond ``LONG``), as ``in_order`` has
+        them, but sign by sign of x over all of ys side by side."""
+        n = max(1, -(-int(self.size[ys].max()) // (WORD - 1)))
+        own, cols = np.unique(self.code[self.start[x]:self.start[x + 1]], return_inverse=True)
+        held = np.empty((len(own), n, len(ys)), np.uint64)
+        for k, c in enumerate(own):
+            self.bits[c, :n].take(ys, axis=1, out=held[k], mode="clip")
+        full, top = np.uint64(2 ** (WORD - 1) - 1), np.uint64(WORD - 1)
+        v = np.full((n, len(ys)), full)
+        u, total, carry = np.empty_like(v), np.empty_like(v), np.empty(len(ys), np.uint64)
+        for c in cols:
+            np.bitwise_and(v, held[c], out=u)
+            np.add(v, u, out=total)
+            v -= u
+            for w in range(1, n):
+                np.right_shift(total[w - 1], top, out=carry)
+                total[w] += carry
+            v |= total
+            v &= full
+        return (WORD - 1) * n - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
+
     def common(self, x: int, ys: np.ndarray) -> np.ndarray:
         """Signs that text x and each of ys have in common in any order: no fewer than are matched in order."""
-        return np.minimum(self.counts[ys], self.counts[x]).sum(axis=1)
+        return self.shared(x, ys).sum(axis=1)
+
+    def shared(self, x: int | np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """The same by class."""
+        return np.add.reduceat(np.minimum(self.counts[ys], self.counts[x]), np.cumsum([0, *map(len, CLASSES[:-1])]), axis=1)
 
     def in_order(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
         """Lengths of the longest common subsequences of pairs of texts: no less than is matched."""
@@ -179,22 +236,34 @@ def _twins(part: pd.DataFrame) -> pd.DataFrame:
     group = g.groupby(["package_id", "kind"], sort=False, dropna=False).ngroup().to_numpy()
     found, waiting, size = [], [], 0
 
-    def reach(t: _Texts, matched: np.ndarray, x: np.ndarray | int, y: np.ndarray, least: float) -> np.ndarray:
+    def reach(t: _Texts, matched: np.ndarray, x: np.ndarray | int, y: np.ndarray, least: float | np.ndarray) -> np.ndarray:
         both = t.size[x] + t.size[y]
         return (both == 0) | (2.0 * matched > least * both)
 
+    def rare_first(t: _Texts, matched: Callable, x: np.ndarray | int, y: np.ndarray, shared: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which pairs are still within reach once each class counts only as far as it stands in order, until few are left."""
+        left, total, pick = np.arange(len(y)), shared.sum(axis=1), lambda c, k: c[k] if isinstance(c, np.ndarray) else c
+        for k in range(len(CLASSES))[::-1]:
+            if len(left) < MANY:
+                break
+            total += matched(t.parts[k], pick(x, left), y[left]) - shared[left, k]
+            keep = reach(t, total, pick(x, left), y[left], least[left])
+            left, total = left[keep], total[keep]
+        return left
+
     def settle() -> None:
         x, y, high, low = (np.concatenate(c) for c in zip(*waiting))
         # statements where only they can bring the pair in, then quotes of what is left
         ask = np.flatnonzero(~high)
         low[ask] = reach(ts, ts.in_order(x[ask], y[ask]), x[ask], y[ask], 0.9)
-        keep = high | low
+        keep = np.flatnonzero(high | low)
+        keep = keep[rare_first(tq, _Texts.in_order, x[keep], y[keep], tq.shared(x[keep], y[keep]), np.where(low[keep], 0.5, 0.8))]
         x, y, high, low = x[keep], y[keep], high[keep], low[keep]
         matched = tq.in_order(x, y)
         keep = (high & reach(tq, matched, x, y, 0.8)) | (low & reach(tq, matched, x, y, 0.5))
         for i, j in zip(x[keep].tolist(), y[keep].tolist()):
-            r = 1.0 if q[i] == q[j] else ratio(q[i].split(" "), q[j].split(" "))
-            if r > 0.8 or (r > 0.5 and ratio(s[i].split(" "), s[j].split(" ")) > 0.9):
+            r = 1.0 if q[i] == q[j] else ratio_beyond(q[i], q[j], 0.5)
+            if r > 0.8 or (r > 0.5 and ratio_beyond(s[i], s[j], 0.9) > 0.9):
                 found.append((seq[i], seq[j]))
 
     for lo, hi in zip(*_runs(group)):
@@ -202,14 +271,20 @@ def _twins(part: pd.DataFrame) -> pd.DataFrame:
             y = np.arange(x + 1, hi)
             ok = ((date[y] == date[x]) | (date[y] < 0) | (date[x] < 0)) & ((weight[y] == weight[x]) | (weight[y] < 0) | (weight[x] < 0))
             y = y[ok & ((side[y] != side[x]) | (side[x] < 0))]
-            shared = tq.common(x, y)
-            low = reach(tq, shared, x, y, 0.5)
-            y, shared = y[low], shared[low]
-            high, low = reach(tq, shared, x, y, 0.8), reach(ts, ts.common(x, y), x, y, 0.9)
-            keep = high | low
-            if keep.any():
-                waiting.append((np.full(keep.sum(), x), y[keep], high[keep], low[keep]))
-                size += len(waiting[-1][0])
+            # lengths alone first
+            y = y[reach(tq, np.minimum(tq.size[x], tq.size[y]), x, y, 0.5)]
+            shared = tq.shared(x, y)
+            all_ = shared.sum(axis=1)
+            high, low = reach(tq, all_, x, y, 0.8), reach(tq, all_, x, y, 0.5)
+            low &= reach(ts, np.minimum(ts.size[x], ts.size[y]), x, y, 0.9)
+            low[low] = reach(ts, ts.common(x, y[low]), x, y[low], 0.9)
+            y, shared, high, low = (c[high | low] for c in (y, shared, high, low))
+            if len(y) >= MANY and (tq.size[y] <= LONG).all():
+                left = rare_first(tq, _Texts.against, x, y, shared, np.where(low, 0.5, 0.8))
+                y, high, low = y[left], high[left], low[left]
+            if len(y):
+                waiting.append((np.full(len(y), x), y, high, low))
+                size += len(y)
             if size > 16 * PAIRS:
                 settle()
                 waiting, size = [], 0

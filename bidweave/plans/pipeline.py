@@ -29,7 +29,7 @@ def analyze(raw: DataFrame, pages: DataFrame) -> Analysis:
     kept, rejected = items.verify(fresh, quotes.locate(fresh, pages))
     kept = written(items.reclassify(items.check_dates(kept)), "kept")
     final = written(items.apply_amendments(items.merge(kept)), "final")
-    return Analysis(final, written(rejected, "rejected"), facts.key_facts(final), facts.stats(final.unionByName(rejected)))
+    return Analysis(final, rejected, facts.key_facts(final), facts.stats(final.unionByName(rejected)))
 
 
 def report(analysis: Analysis, packages: DataFrame, manifest: DataFrame, created: str = "", model: str = "") -> DataFrame:

@@ -117,6 +117,40 @@ def test_ratio_beyond_a_floor():
         assert got == pytest.approx(true) if true > least else got <= least
 
 
+def test_blocks_of_parts_of_a_text_are_kept():
+    import random
+
+    r = random.Random(7)
+    for _ in range(60):
+        a, b = ("".join(r.choices("abcd ", k=n)) for n in (30, 90))
+        known, runs = {}, quotes._runs(a, b)
+        for lo in range(0, 60, 7):
+            for hi in (lo, lo + 25, lo + 30):
+                true = SequenceMatcher(None, a, b[lo:hi], autojunk=False).ratio()
+                assert quotes.ratio_beyond(a, b, -1.0, lo, hi, known, runs) == true
+        windows = [b[n : n + 30] for n in range(0, 60, 9)] + ["", "x"]
+        apart = [next(iter(quotes._common(a, [w]))) for w in windows]
+        assert quotes._common(a, windows).tolist() == apart
+
+
+def test_locate_of_a_crowded_document(spark, monkeypatch):
+    p = spark.createDataFrame(PAGES, "doc_id string, page int, text string, reading string")
+    rows = [(n, "d", q, c) for n, (q, c) in enumerate([("deliver the approach/solution within thirty days", 1), ("thirty days of the award notice. continues here with further", 2), ("further duties of every vendor who signs agreement", 3), ("short", 1)] * 3)]
+    i = spark.createDataFrame([*rows, (99, None, "a quote that has no document at all", None)], "seq long, document string, quote string, page int")
+    alone = sorted(map(tuple, quotes.locate(i, p).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(quotes, "CROWD", 2)
+    assert sorted(map(tuple, quotes.locate(i, p).collect()), key=lambda r: r[0]) == alone
+    assert [r[1:3] for r in alone[:4]] == [("exact", 2), ("exact", 2), ("fuzzy", 3), ("missing", None)] and alone[-1][:2] == (99, "missing")
+
+
+def test_trimmed_is_strip_footer(spark):
+    from bidweave.functions.text import strip_footer
+
+    texts = ["a\nb\n 3 \n\n", "a\nPage 3 of 9\r", "a\n12\u2028", "Page 1", "", "x\nThe page 12", "a\n\x1c", "a\u3000\n\u00a0\n7", "a\n1234", "a\r\n 5\r\n"]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").orderBy("n").select(strip_footer(F.col("t")).alias("t")).collect()
+    assert [quotes._trimmed(t) for t in texts] == [r["t"] for r in got]
+
+
 def test_covering():
     assert quotes.covering({"a", "b"}, "a x x b a".split()) == 2
     assert quotes.covering({"a", "z"}, "a b".split()) is None
@@ -228,6 +262,33 @@ def test_likeness_bounds_are_never_too_low():
     assert [ordered[i * len(texts) + j] for i, j in ((0, 1), (3, 4), (5, 6), (6, 7), (8, 8))] == [0, 15, 64, 65, 200]
 
 
+def test_texts_side_by_side_and_by_class():
+    import random
+
+    r = random.Random(3)
+    texts = ["", "a", "the vendor delivers", "x" * 63, "x" * 64 + " y", "y " + "x" * 130, *("".join(r.choices("etaoin shrdlu019", k=r.randint(0, 400))) for _ in range(40))]
+    t, every = items._Texts(texts), np.arange(46)
+    for x in range(len(texts)):
+        ordered = t.in_order(np.full(46, x), every)
+        assert (t.against(x, every) == ordered).all()
+        parts = np.stack([p.against(x, every) for p in t.parts], axis=1)
+        assert (parts.sum(axis=1) >= ordered).all() and (parts <= t.shared(x, every)).all()
+
+
+def test_large_groups_merge_as_all_pairs_do(spark):
+    import random
+
+    r, words_ = random.Random(5), "vendor shall deliver sealed proposals harbor crane office before monday twelve copies signed original bond".split()
+    rows = []
+    for n in range(120):
+        text = r.sample(words_, 12) if n % 3 or not rows else [w for w in rows[r.randrange(len(rows))][4].split() if r.random() > 0.08]
+        rows.append(item(n, "k", r.choice(["deliver proposals in time", "sign the bond"]), " ".join(text), page=n % 9 + 1, date=r.choice(["", "", "2026-01-01", "2026-02-01"])))
+    kept, also = greedy(rows)
+    got = items.merge(frame(spark, rows)).collect()
+    assert sorted(x["seq"] for x in got) == kept and len(kept) < 110
+    assert {x["seq"]: x["also_on"] for x in got if x["also_on"]} == also
+
+
 def test_amendments_and_facts(spark):
     rows = [
         item(1, "response_due", "due", "q", date="2026-08-07"), item(2, "response_due", "due", "q", date="2026-08-13", role="amendment", document="add2"), item(3, "response_due", "due", "q", date="2026-08-13", document="b"),
